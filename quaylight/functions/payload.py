@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quaylight.functions.text import let
+
 
 def as_variant(text: Column) -> Column:
     return F.try_parse_json(text)
@@ -23,26 +25,34 @@ def field(data: Column, path: str, kind: str = "string") -> Column:
 
 def contains(data: Column, probe: Any) -> Column:
     """Sub-document containment: every key, element and scalar of ``probe`` occurs in ``data``."""
-    kind = F.schema_of_variant(data)
+    return F.coalesce(let(data, lambda doc: _contains(doc, probe)), F.lit(False))
+
+
+def _containing(value: Any):
+    return lambda item: contains(item, value)
+
+
+def _contains(doc: Column, probe: Any) -> Column:
+    kind = F.schema_of_variant(doc)
     if isinstance(probe, dict):
         met = kind.startswith("OBJECT")
         for key, value in probe.items():
-            met = met & contains(F.try_variant_get(data, _key(key), "variant"), value)
-    elif isinstance(probe, list):
-        items = F.try_variant_get(data, "$", "array<variant>")
+            met = met & contains(F.try_variant_get(doc, _key(key), "variant"), value)
+        return met
+    if isinstance(probe, list):
+        items = F.try_variant_get(doc, "$", "array<variant>")
         met = kind.startswith("ARRAY")
         for value in probe:
-            met = met & F.exists(items, lambda item, value=value: contains(item, value))
-    elif isinstance(probe, bool):
-        met = (kind == "BOOLEAN") & (F.try_variant_get(data, "$", "boolean") == F.lit(probe))
-    elif isinstance(probe, (int, float)):
+            met = met & F.exists(items, _containing(value))
+        return met
+    if isinstance(probe, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(doc, "$", "boolean") == F.lit(probe))
+    if isinstance(probe, (int, float)):
         numeric = ~kind.isin("STRING", "BOOLEAN", "VOID")
-        met = numeric & (F.try_variant_get(data, "$", "double") == F.lit(float(probe)))
-    elif probe is None:
-        met = kind == "VOID"
-    else:
-        met = (kind == "STRING") & (F.try_variant_get(data, "$", "string") == F.lit(probe))
-    return F.coalesce(met, F.lit(False))
+        return numeric & (F.try_variant_get(doc, "$", "double") == F.lit(float(probe)))
+    if probe is None:
+        return kind == "VOID"
+    return (kind == "STRING") & (F.try_variant_get(doc, "$", "string") == F.lit(probe))
 
 
 def salvage(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +43,15 @@ def regex(pattern: str, unicode: bool = True) -> str:
     return ("(?iU)" if unicode else "(?i)") + pattern
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` evaluated once, however often the body uses it.
+
+    Without the binding a chain of rewrites would repeat its input in every branch, and the plan
+    would grow exponentially with the number of steps.
+    """
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def mask_text(
     c: Column,
     patterns: Sequence[str],
@@ -55,19 +64,22 @@ def mask_text(
     Patterns run in order, each over the text left by the one before. A row without a match pays
     for one search only.
     """
-    for pattern in patterns:
-        java = regex(pattern, unicode)
+
+    def covered(text: Column, java: str) -> Column:
         stars = F.transform(
-            F.regexp_extract_all(c, F.lit(java), F.lit(0)),
+            F.regexp_extract_all(text, F.lit(java), F.lit(0)),
             lambda m: F.repeat(F.lit(mask_char), F.least(F.length(m), F.lit(mask_length))),
         )
-        joined = F.array_join(
-            F.zip_with(
-                F.split(c, java, -1), stars, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))
-            ),
-            "",
-        )
-        c = F.when(c.rlike(java), joined).otherwise(c)
+        between = F.split(text, java, -1)
+        joined = F.zip_with(between, stars, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(text.rlike(java), F.array_join(joined, "")).otherwise(text)
+
+    # A closure per pattern: a lambda default would be taken for an element index.
+    def step(pattern: str) -> Callable[[Column], Column]:
+        return lambda text: covered(text, regex(pattern, unicode))
+
+    for pattern in patterns:
+        c = let(c, step(pattern))
     return c
 
 

@@ -30,8 +30,8 @@ def from_formats(c: Column, formats: Sequence[str]) -> Column:
 
 def any_time(c: Column, dtype: T.DataType) -> Column:
     """TIMESTAMP from a declared column: instants pass, numbers are Unix seconds, text is ISO."""
-    if isinstance(dtype, T.TimestampType):
-        return c
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return c.cast("timestamp")
     if isinstance(dtype, T.NumericType):
         return F.when(c != 0, from_epoch(c))
     return F.coalesce(from_iso(c), F.when(c.rlike(NUMBER), from_epoch(c)))
@@ -43,7 +43,7 @@ def normalise_text(c: Column, dtype: T.DataType = T.StringType()) -> Column:
     Accepted: four text formats (their fraction is cut), Unix numbers, and any text already in ISO
     form with a zone, which is kept as it is.
     """
-    if isinstance(dtype, T.TimestampType):
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, ISO_SECONDS)
     if isinstance(dtype, T.NumericType):
         return F.date_format(from_epoch(c), ISO_SECONDS)

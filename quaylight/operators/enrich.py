@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quaylight import fixed
 from quaylight.functions import times
 from quaylight.functions.network import ip_number, network_of, parse_ip
-from quaylight.functions.text import expand_template, first_non_empty, lookup, non_empty, strip
+from quaylight.functions.text import expand_template, first_non_empty, let, lookup, non_empty, strip
 from quaylight.schema import col, present
 
 # A lookup table up to this many rows goes into the plan or is broadcast; its size is known
@@ -185,32 +185,31 @@ def site_env_tags(
     name: str = "tags",
 ) -> DataFrame:
     """Set ``tags.site`` and ``tags.environment``; defaults fill gaps of an existing tag map."""
-    fields = present(df, host_fields)
-    host = first_non_empty([col(f) for f in fields])
-    out = df.withColumn("__found", site_env(host, patterns))
-    pairs = F.filter(
-        F.array(
-            F.struct(F.lit("site").alias("key"), non_empty(F.col("__found.site")).alias("value")),
-            F.struct(
-                F.lit("environment").alias("key"),
-                non_empty(F.col("__found.environment")).alias("value"),
-            ),
-        ),
-        lambda e: e["value"].isNotNull(),
-    )
+    host = first_non_empty([col(f) for f in present(df, host_fields)])
     current = col(name) if name in df.columns else F.lit(None).cast("map<string,string>")
-    out = out.withColumn("__pairs", pairs)
-    merged = F.when(
-        F.size("__pairs") > 0,
-        merge_tags(F.coalesce(current, _no_tags()), F.map_from_entries("__pairs")),
-    ).otherwise(current)
-    for key, value in (("site", default_site), ("environment", default_env)):
-        if value:
-            merged = F.when(
-                ~F.map_contains_key(merged, key),
-                F.map_concat(merged, F.create_map(F.lit(key), F.lit(value))),
-            ).otherwise(merged)
-    return out.withColumn(name, merged).drop("__found", "__pairs")
+
+    def as_tags(found: Column) -> Column:
+        both = F.create_map(
+            F.lit("site"), found["site"], F.lit("environment"), found["environment"]
+        )
+        return F.map_filter(both, lambda _k, v: F.coalesce(v, F.lit("")) != "")
+
+    def merged(pair: Column) -> Column:
+        full = merge_tags(F.coalesce(pair["tags"], _no_tags()), pair["extra"])
+        return F.when(F.size(pair["extra"]) > 0, full).otherwise(pair["tags"])
+
+    # Each intermediate value is bound once: filters on tags are pushed into the scan side, and
+    # would otherwise repeat the pattern chain for every use.
+    extra = let(let(host, lambda h: site_env(h, patterns)), as_tags)
+    tags = let(F.struct(current.alias("tags"), extra.alias("extra")), merged)
+    defaults = {k: v for k, v in (("site", default_site), ("environment", default_env)) if v}
+    if defaults:
+        filler = F.create_map(*[F.lit(x) for item in defaults.items() for x in item])
+        tags = let(
+            tags,
+            lambda m: F.when(m.isNotNull(), F.map_concat(m, F.map_filter(filler, lambda k, _v: ~F.map_contains_key(m, k)))),
+        )
+    return df.withColumn(name, tags)
 
 
 def normalise_time(

@@ -7,8 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Times are UTC everywhere: naive texts, epoch numbers and stored instants must agree.
-REQUIRED = {"spark.sql.session.timeZone": "UTC"}
+# Times are UTC everywhere: naive texts, epoch numbers and stored instants must agree. Zoneless
+# Parquet times are read as instants, so time filters reach the scan without a cast.
+REQUIRED = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
+}
 
 # Skewed joins and small shuffle blocks are left to adaptive execution.
 ADAPTIVE = {
@@ -24,6 +28,7 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("quaylight")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
     )
