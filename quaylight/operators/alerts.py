@@ -122,7 +122,9 @@ def down_rule(
     return evaluate(with_eval_time(zero, step_seconds), rule, keys, step_seconds)
 
 
-def reliability_alerts(samples: DataFrame, step_seconds: int = 60) -> DataFrame:
+def reliability_alerts(
+    samples: DataFrame, step_seconds: int = 60, range_seconds: int = 300
+) -> DataFrame:
     """The recommended sink alerts: open circuit, full queue, dead letters, retries, growth."""
     def gauge(name: str) -> DataFrame:
         series = m.select_series(samples, name, ("sink",))
@@ -131,17 +133,29 @@ def reliability_alerts(samples: DataFrame, step_seconds: int = 60) -> DataFrame:
 
     def grown(name: str) -> DataFrame:
         series = m.select_series(samples, name, ("sink",))
-        rates = m.rate(series, 300, ("series", "sink"), step_seconds)
+        rates = m.rate(series, range_seconds, ("series", "sink"), step_seconds)
         return m.sum_by(rates, "rate", ("sink",)).withColumnRenamed("rate", "value")
 
-    growth = m.gauge_growth(m.select_series(samples, "sink_queue_size", ("sink",)), 300, ("series", "sink"), step_seconds)
+    sizes = m.select_series(samples, "sink_queue_size", ("sink",))
+    growth = m.gauge_growth(sizes, range_seconds, ("series", "sink"), step_seconds)
     growth = growth.groupBy("sink", "eval_ts").agg(F.sum("growth").alias("value"))
+    full = m.threshold(gauge("sink_queue_bytes"), "value", ">", 0.9, fixed.QUEUE_CAPACITY_BYTES)
+    critical, warning = {"severity": "critical"}, {"severity": "warning"}
     parts = [
-        (m.threshold(gauge("sink_circuit_state"), "value", "==", 1), Rule("SinkCircuitBreakerOpen", 300, {"severity": "critical"})),
-        (m.threshold(gauge("sink_queue_bytes"), "value", ">", 0.9, fixed.QUEUE_CAPACITY_BYTES), Rule("SinkQueueNearFull", 600, {"severity": "critical"})),
-        (m.threshold(grown("sink_dlq_total"), "value", ">", 0.01), Rule("HighDeadLetterQueueRate", 300, {"severity": "critical"})),
-        (m.threshold(grown("sink_retry_total"), "value", ">", 0.1), Rule("HighSinkRetryRate", 600, {"severity": "warning"})),
-        (m.threshold(growth, "value", ">", 1), Rule("SinkQueueGrowth", 900, {"severity": "warning"})),
+        (
+            m.threshold(gauge("sink_circuit_state"), "value", "==", 1),
+            Rule("SinkCircuitBreakerOpen", 300, critical),
+        ),
+        (full, Rule("SinkQueueNearFull", 600, critical)),
+        (
+            m.threshold(grown("sink_dlq_total"), "value", ">", 0.01),
+            Rule("HighDeadLetterQueueRate", 300, critical),
+        ),
+        (
+            m.threshold(grown("sink_retry_total"), "value", ">", 0.1),
+            Rule("HighSinkRetryRate", 600, warning),
+        ),
+        (m.threshold(growth, "value", ">", 1), Rule("SinkQueueGrowth", 900, warning)),
     ]
     return m.union_rules(
         [

@@ -6,7 +6,7 @@ import importlib
 
 from quaylight.plans.registry import ORACLES, QUERIES
 
-for _part in ("q_events", "q_sources"):
+for _part in ("q_events", "q_sources", "q_logs", "q_metrics", "q_delivery"):
     importlib.import_module(f"quaylight.plans.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]
