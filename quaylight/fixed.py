@@ -131,6 +131,16 @@ PII_PATTERNS = (
     ("Token", r"token\s*[=:]\s*\S+"),
 )
 
+# Text that every match of a pattern holds, ignoring case: rows without it need no search.
+REQUIRED_TEXT = {
+    r"password\s*[=:]\s*\S+": "password",
+    r"token\s*[=:]\s*\S+": "token",
+    r"key\s*[=:]\s*\S+": "key",
+    r"\b\d{3}-\d{2}-\d{4}\b": "-",
+    r"\b\d{3}-\d{3}-\d{4}\b": "-",
+    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b": "@",
+}
+
 # Path patterns and the service each names; a template may use a group.
 PATH_SERVICES = (
     (r"/var/log/nginx/", "nginx"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column
@@ -33,26 +35,27 @@ def _containing(value: Any):
 
 
 def _contains(doc: Column, probe: Any) -> Column:
+    # Values are compared first: naming the kind of a value costs more than reading it. A key or
+    # element lookup already fails on a value of the wrong kind, so only empty probes ask for it.
     kind = F.schema_of_variant(doc)
     if isinstance(probe, dict):
-        met = kind.startswith("OBJECT")
-        for key, value in probe.items():
-            met = met & contains(F.try_variant_get(doc, _key(key), "variant"), value)
-        return met
+        parts = [
+            contains(F.try_variant_get(doc, _key(key), "variant"), value)
+            for key, value in probe.items()
+        ]
+        return reduce(and_, parts) if parts else kind.startswith("OBJECT")
     if isinstance(probe, list):
         items = F.try_variant_get(doc, "$", "array<variant>")
-        met = kind.startswith("ARRAY")
-        for value in probe:
-            met = met & F.exists(items, _containing(value))
-        return met
+        parts = [F.exists(items, _containing(value)) for value in probe]
+        return reduce(and_, parts) if parts else kind.startswith("ARRAY")
     if isinstance(probe, bool):
-        return (kind == "BOOLEAN") & (F.try_variant_get(doc, "$", "boolean") == F.lit(probe))
+        return (F.try_variant_get(doc, "$", "boolean") == F.lit(probe)) & (kind == "BOOLEAN")
     if isinstance(probe, (int, float)):
-        numeric = ~kind.isin("STRING", "BOOLEAN", "VOID")
-        return numeric & (F.try_variant_get(doc, "$", "double") == F.lit(float(probe)))
+        same = F.try_variant_get(doc, "$", "double") == F.lit(float(probe))
+        return same & ~kind.isin("STRING", "BOOLEAN", "VOID")
     if probe is None:
         return kind == "VOID"
-    return (kind == "STRING") & (F.try_variant_get(doc, "$", "string") == F.lit(probe))
+    return (F.try_variant_get(doc, "$", "string") == F.lit(probe)) & (kind == "STRING")
 
 
 def salvage(text: Column) -> Column:

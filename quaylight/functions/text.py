@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaylight.fixed import WHITESPACE
+from quaylight.fixed import REQUIRED_TEXT, WHITESPACE
 
 
 def strip(c: Column) -> Column:
@@ -43,44 +43,64 @@ def regex(pattern: str, unicode: bool = True) -> str:
     return ("(?iU)" if unicode else "(?i)") + pattern
 
 
-def let(c: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(c)`` with ``c`` evaluated once, however often the body uses it.
+def literal(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Without the binding a chain of rewrites would repeat its input in every branch, and the plan
-    would grow exponentially with the number of steps.
-    """
-    return F.get(F.transform(F.array(c), body), F.lit(0))
 
+def found_sql(text: str, pattern: str, unicode: bool = True) -> str:
+    """SQL condition: the pattern occurs in ``text``.
 
-def mask_text(
-    c: Column,
+    A plain containment test comes first when one is known. Folding differs for three letters
+    outside ASCII: a long s folds to S in upper case only, a Kelvin sign to k in lower case only,
+    so the case used depends on the text looked for.
+    """
+    hit = f"{text} RLIKE {literal(regex(pattern, unicode))}"
+    held = REQUIRED_TEXT.get(pattern)
+    if held is None:
+        return hit
+    if not held.isalpha():
+        return f"contains({text}, {literal(held)}) AND {hit}"
+    fold = "upper" if "s" in held else "lower"
+    return f"contains({fold}({text}), {fold}({literal(held)})) AND {hit}"
+
+
+def mask_sql(
+    text: str,
     patterns: Sequence[str],
     mask_char: str = "*",
     mask_length: int = 8,
     unicode: bool = True,
-) -> Column:
-    """Replace each match by ``mask_char`` repeated min(match length, ``mask_length``) times.
+) -> str:
+    """SQL text replacing each match by ``mask_char`` repeated min(match length, ``mask_length``)
+    times.
 
-    Patterns run in order, each over the text left by the one before. A row without a match pays
-    for one search only.
+    Patterns run in order, each over the text left by the one before; each intermediate text is
+    bound once, so the plan grows with the number of patterns only. A row without a match pays for
+    one search. SQL text rather than columns: the expression is long, and one call builds it.
     """
-
-    def covered(text: Column, java: str) -> Column:
-        stars = F.transform(
-            F.regexp_extract_all(text, F.lit(java), F.lit(0)),
-            lambda m: F.repeat(F.lit(mask_char), F.least(F.length(m), F.lit(mask_length))),
+    for pattern in patterns:
+        java = literal(regex(pattern, unicode))
+        stars = (
+            f"transform(regexp_extract_all(t, {java}, 0), "
+            f"m -> repeat({literal(mask_char)}, least(length(m), {mask_length})))"
         )
-        between = F.split(text, java, -1)
-        joined = F.zip_with(between, stars, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        return F.when(text.rlike(java), F.array_join(joined, "")).otherwise(text)
+        covered = (
+            f"array_join(zip_with(split(t, {java}, -1), {stars}, "
+            "(a, b) -> concat(a, coalesce(b, ''))), '')"
+        )
+        hit = found_sql("t", pattern, unicode)
+        text = f"get(transform(array({text}), t -> CASE WHEN {hit} THEN {covered} ELSE t END), 0)"
+    return text
 
-    # A closure per pattern: a lambda default would be taken for an element index.
-    def step(pattern: str) -> Callable[[Column], Column]:
-        return lambda text: covered(text, regex(pattern, unicode))
 
-    for pattern in patterns:
-        c = let(c, step(pattern))
-    return c
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(c)`` with ``c`` evaluated once, however often the body uses it.
+
+    Without the binding a chain of rewrites would repeat its input in every branch, and the plan
+    would grow exponentially with the number of steps.
+    """
+    return F.get(F.transform(F.array(c), body), F.lit(0))
 
 
 def hash_text(c: Column, salt: str = "", algorithm: str = "sha256") -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaylight import fixed
-from quaylight.functions.text import hash_text, mask_text, printed, regex
-from quaylight.schema import col, rewrite_text, text_leaves
+from quaylight.functions.text import found_sql, hash_text, literal, mask_sql, printed
+from quaylight.schema import col, holds_text, leaves_sql, quoted, rewrite_sql
 
 
 def drop_fields(df: DataFrame, names: Sequence[str], payload: str | None = None) -> DataFrame:
@@ -35,16 +35,16 @@ def mask_patterns(
 ) -> DataFrame:
     """Mask every string of the declared schema, however deeply nested."""
     names = set(columns if columns is not None else df.columns)
+
+    def cover(text: str) -> str:
+        return mask_sql(text, patterns, mask_char, mask_length, unicode)
+
     changed = {
-        f.name: rewrite_text(
-            col(f.name),
-            f.dataType,
-            lambda c: mask_text(c, patterns, mask_char, mask_length, unicode),
-        )
+        f.name: F.expr(rewrite_sql(quoted(f.name), f.dataType, cover))
         for f in df.schema
-        if f.name in names
+        if f.name in names and holds_text(f.dataType)
     }
-    return df.withColumns(changed)
+    return df.withColumns(changed) if changed else df
 
 
 def mask_json(
@@ -129,53 +129,51 @@ def detect_pii(
     """Add an array of ``struct(path, type, text)``, one per (string, matching pattern)."""
     wanted = set(columns if columns is not None else df.columns)
     leaves = [
-        leaf
+        f"coalesce({leaf}, cast(array() AS array<struct<path:string,text:string>>))"
         for f in df.schema
         if f.name in wanted
-        for leaf in text_leaves(col(f.name), f.dataType, F.lit(f.name))
+        for leaf in leaves_sql(quoted(f.name), f.dataType, literal(f.name))
     ]
     if not leaves:
         none = F.array().cast("array<struct<path:string,type:string,text:string>>")
         return df.withColumn(name, none)
-    no_text = F.array().cast("array<struct<path:string,text:string>>")
-    texts = F.concat(*[F.coalesce(leaf, no_text) for leaf in leaves])
-
-    def hits(leaf: Column) -> Column:
-        return F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        leaf["text"].rlike(regex(pattern, unicode)),
-                        F.struct(
-                            leaf["path"].alias("path"),
-                            F.lit(kind).alias("type"),
-                            leaf["text"].alias("text"),
-                        ),
-                    )
-                    for kind, pattern in patterns
-                ]
-            )
-        )
-
-    return df.withColumn(name, F.flatten(F.transform(texts, hits)))
+    hits = ", ".join(
+        f"CASE WHEN {found_sql('x.text', pattern, unicode)} "
+        f"THEN named_struct('path', x.path, 'type', {literal(kind)}, 'text', x.text) END"
+        for kind, pattern in patterns
+    )
+    found = f"flatten(transform(concat({', '.join(leaves)}), x -> array_compact(array({hits}))))"
+    return df.withColumn(name, F.expr(found))
 
 
 def pii_gate(
     df: DataFrame, strict: bool = True, name: str = "pii_findings"
 ) -> tuple[DataFrame, DataFrame]:
     """Rows that pass and rows for quarantine; a lax gate passes everything, findings attached."""
-    found = F.size(col(name)) > 0
+    # Coalesced: a bare size would add a null test, and with it a second run of the detection.
+    found = F.coalesce(F.size(col(name)), F.lit(0)) > 0
     if not strict:
         return df, df.where(F.lit(False))
     return df.where(~found), df.where(found)
 
 
+def explode_pii(df: DataFrame, name: str = "pii_findings") -> DataFrame:
+    """One row per finding. The outer form keeps the optimizer from adding an emptiness filter,
+    which would run the detection twice."""
+    rows = df.withColumn("__f", F.explode_outer(name)).where(F.col("__f").isNotNull())
+    return rows.select(*[c for c in df.columns if c != name], "__f.*")
+
+
 def pii_summary(df: DataFrame, name: str = "pii_findings") -> DataFrame:
     """Findings and affected rows per type."""
-    kinds = F.transform(col(name), lambda f: f["type"])
-    return (
-        df.select(F.explode(F.array_distinct(kinds)).alias("type"), kinds.alias("all"))
-        .select("type", F.size(F.filter("all", lambda k: k == F.col("type"))).alias("n"))
-        .groupBy("type")
-        .agg(F.sum("n").alias("findings"), F.count("*").alias("events"))
+    kinds = df.select(F.transform(col(name), lambda f: f["type"]).alias("kinds"))
+    counted = F.transform(
+        F.array_distinct("kinds"),
+        lambda k: F.struct(
+            k.alias("type"), F.size(F.filter("kinds", lambda other: other == k)).alias("n")
+        ),
+    )
+    rows = kinds.select(F.explode_outer(counted).alias("k")).where(F.col("k").isNotNull())
+    return rows.groupBy("k.type").agg(
+        F.sum("k.n").alias("findings"), F.count("*").alias("events")
     )

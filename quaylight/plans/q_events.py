@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from quaylight import fixed
 from quaylight.functions.network import in_subnet, ip_number
-from quaylight.functions.text import mask_text
 from quaylight.operators import annotate, enrich, flow, logs, project, redact, store
 from quaylight.plans import shapes as sh
 from quaylight.plans.registry import query
 from quaylight.plans.shapes import AS_OF, EVENTS_SQL, stamp, table, with_parts
+from quaylight.session import widen
 
 EV = with_parts(EVENTS_SQL)
 SALT = "pepper"
@@ -23,6 +23,10 @@ SERVICE_SQL = (
 )
 
 
+def _texts(spark, folder):
+    return widen(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def flagship(spark, folder):
     """Drop, mask and hash events, map severities, tag them, count by type and hour."""
     steps = flow.build_steps(
@@ -37,7 +41,7 @@ def flagship(spark, folder):
         },
         AS_OF,
     )
-    done = flow.run_steps(sh.events(spark, folder), steps)
+    done = flow.run_steps(widen(sh.events(spark, folder)), steps)
     return (
         done.groupBy("type", F.date_trunc("hour", "ts").alias("hour"))
         .agg(
@@ -111,7 +115,7 @@ _parts, _last = _mask_sql(fixed.MASK_PATTERNS, "documents", "doc_id", "text")
 
 @query(with_parts(*_parts) + f"SELECT doc_id, md5(t) AS masked, length(t) AS n FROM {_last}")
 def mask_patterns(spark, folder):
-    d = redact.mask_patterns(table(spark, folder, "documents").select("doc_id", "text"))
+    d = redact.mask_patterns(_texts(spark, folder))
     return d.select("doc_id", F.md5("text").alias("masked"), F.length("text").cast("bigint").alias("n"))
 
 
@@ -182,15 +186,15 @@ _PII_SQL = " UNION ALL ".join(
 
 @query(_PII_SQL)
 def pii_detect(spark, folder):
-    d = redact.detect_pii(table(spark, folder, "documents").select("doc_id", "text"), ["text"])
-    return d.select("doc_id", F.explode("pii_findings").alias("f")).select("doc_id", "f.path", "f.type")
+    d = redact.detect_pii(_texts(spark, folder), ["text"])
+    return redact.explode_pii(d).select("doc_id", "path", "type")
 
 
 @query(
     f"WITH p AS ({_PII_SQL}) SELECT d.doc_id, d.doc_id IN (SELECT doc_id FROM p) AS quarantined FROM documents d"
 )
 def pii_gate(spark, folder):
-    d = redact.detect_pii(table(spark, folder, "documents").select("doc_id", "text"), ["text"])
+    d = redact.detect_pii(_texts(spark, folder), ["text"])
     good, bad = redact.pii_gate(d)
     return good.select("doc_id", F.lit(False).alias("quarantined")).unionByName(
         bad.select("doc_id", F.lit(True).alias("quarantined"))
@@ -200,7 +204,7 @@ def pii_gate(spark, folder):
 @query(f"WITH p AS ({_PII_SQL}) SELECT type, count(*) AS findings, count(DISTINCT doc_id) AS events FROM p GROUP BY 1")
 def pii_summary(spark, folder):
     return redact.pii_summary(
-        redact.detect_pii(table(spark, folder, "documents").select("doc_id", "text"), ["text"])
+        redact.detect_pii(_texts(spark, folder), ["text"])
     )
 
 
@@ -405,7 +409,9 @@ def annotation_merge(spark, folder):
 )
 def full_event_flow(spark, folder):
     """All configured steps as one plan."""
-    e = sh.events(spark, folder).withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    e = widen(sh.events(spark, folder)).withColumn(
+        "timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    )
     steps = flow.build_steps(
         {
             "redaction": {"drop_fields": ["data"], "hash_fields": ["source"], "salt": SALT},
@@ -509,7 +515,7 @@ def payload_merge(spark, folder):
     EV + f"SELECT event_id AS id FROM ev WHERE {SERVICE_SQL} = 'nginx' AND CAST(json_extract_string(data, '$.k') AS BIGINT) = 42"
 )
 def payload_containment(spark, folder):
-    e = enrich.service_from_path(sh.events(spark, folder))
+    e = enrich.service_from_path(widen(sh.events(spark, folder)))
     doc = F.to_json(
         F.struct(
             F.struct("service").alias("tags"),

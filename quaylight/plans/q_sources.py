@@ -10,6 +10,7 @@ from quaylight.operators import delivery
 from quaylight.plans import shapes as sh
 from quaylight.plans.registry import query
 from quaylight.plans.shapes import DELIVERIES_SQL, EVENTS_SQL, stamp, table, with_parts
+from quaylight.session import widen
 from quaylight.sources import devices, envelopes, exposition, imports, inventory, rawlog, syslog
 
 EV = with_parts(EVENTS_SQL)
@@ -86,7 +87,7 @@ _SYSLOG_LINE = (
 
 
 def _syslog_lines(spark, folder):
-    return table(spark, folder, "events").selectExpr("event_id", f"{_SYSLOG_LINE} AS value")
+    return widen(table(spark, folder, "events")).selectExpr("event_id", f"{_SYSLOG_LINE} AS value")
 
 
 @query(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaylight.functions.text import literal
+
 # Schemas are DDL text: usable by readers before any session exists.
 EVENT = (
     "timestamp STRING, type STRING, source STRING, message STRING, severity STRING, "
@@ -35,7 +37,7 @@ def envelope(event_struct: str = EVENT_STRUCT) -> str:
     )
 
 
-Rewrite = Callable[[Column], Column]
+Rewrite = Callable[[str], str]
 
 
 def holds_text(dtype: T.DataType) -> bool:
@@ -50,58 +52,55 @@ def holds_text(dtype: T.DataType) -> bool:
     return False
 
 
-def rewrite_text(c: Column, dtype: T.DataType, fn: Rewrite) -> Column:
-    """Apply ``fn`` to every string inside ``c``; the plan is built from the declared type."""
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def rewrite_sql(value: str, dtype: T.DataType, fn: Rewrite, depth: int = 0) -> str:
+    """SQL text applying ``fn`` to every string inside ``value``, following its declared type."""
     if not holds_text(dtype):
-        return c
+        return value
     if isinstance(dtype, T.StringType):
-        return fn(c)
+        return fn(value)
     if isinstance(dtype, T.StructType):
-        inner = [rewrite_text(c.getField(f.name), f.dataType, fn).alias(f.name) for f in dtype]
-        return F.when(c.isNotNull(), F.struct(*inner))
+        inner = ", ".join(
+            f"{literal(f.name)}, {rewrite_sql(f'{value}.{quoted(f.name)}', f.dataType, fn, depth)}"
+            for f in dtype
+        )
+        return f"if({value} IS NULL, NULL, named_struct({inner}))"
+    v = f"v{depth}"
     if isinstance(dtype, T.ArrayType):
-        return F.transform(c, lambda item: rewrite_text(item, dtype.elementType, fn))
-    return F.transform_values(c, lambda _k, v: rewrite_text(v, dtype.valueType, fn))
+        return f"transform({value}, {v} -> {rewrite_sql(v, dtype.elementType, fn, depth + 1)})"
+    body = rewrite_sql(v, dtype.valueType, fn, depth + 1)
+    return f"transform_values({value}, (k{depth}, {v}) -> {body})"
 
 
-def text_leaves(c: Column, dtype: T.DataType, path: Column) -> Iterator[Column]:
-    """Arrays of ``struct(path, text)``, one per string leaf of the declared type.
+def leaves_sql(value: str, dtype: T.DataType, path: str, depth: int = 0) -> list[str]:
+    """SQL texts, each an array of ``struct(path, text)`` for one string leaf of a declared type.
 
-    Array items and map keys are only known per row, so each leaf yields an array.
+    Array items and map keys are only known per row, so every leaf is an array. ``path`` is SQL.
     """
+    if not holds_text(dtype):
+        return []
     if isinstance(dtype, T.StringType):
-        yield F.array(F.struct(path.alias("path"), c.alias("text")))
-    elif isinstance(dtype, T.StructType):
-        for f in dtype:
-            yield from text_leaves(
-                c.getField(f.name), f.dataType, F.concat(path, F.lit("." + f.name))
-            )
-    elif isinstance(dtype, T.ArrayType) and holds_text(dtype):
-        yield F.flatten(
-            F.transform(
-                c,
-                lambda item, i: F.concat(
-                    *text_leaves(
-                        item,
-                        dtype.elementType,
-                        F.concat(path, F.lit("["), i.cast("string"), F.lit("]")),
-                    )
-                ),
-            )
-        )
-    elif isinstance(dtype, T.MapType) and holds_text(dtype):
-        yield F.flatten(
-            F.transform(
-                F.map_entries(c),
-                lambda e: F.concat(
-                    *text_leaves(
-                        e["value"],
-                        dtype.valueType,
-                        F.concat(path, F.lit("."), e["key"].cast("string")),
-                    )
-                ),
+        return [f"array(named_struct('path', {path}, 'text', {value}))"]
+    if isinstance(dtype, T.StructType):
+        return [
+            leaf
+            for f in dtype
+            for leaf in leaves_sql(
+                f"{value}.{quoted(f.name)}",
+                f.dataType,
+                f"concat({path}, {literal('.' + f.name)})",
+                depth,
             )
-        )
+        ]
+    v, i = f"v{depth}", f"i{depth}"
+    if isinstance(dtype, T.ArrayType):
+        inner = leaves_sql(v, dtype.elementType, f"concat({path}, '[', {i}, ']')", depth + 1)
+        return [f"flatten(transform({value}, ({v}, {i}) -> concat({', '.join(inner)})))"]
+    inner = leaves_sql(f"{v}.value", dtype.valueType, f"concat({path}, '.', {v}.key)", depth + 1)
+    return [f"flatten(transform(map_entries({value}), {v} -> concat({', '.join(inner)})))"]
 
 
 def present(df: DataFrame, names) -> list[str]:
@@ -111,4 +110,4 @@ def present(df: DataFrame, names) -> list[str]:
 
 def col(name: str) -> Column:
     """A top-level column whatever characters its name holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))

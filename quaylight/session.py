@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
+    # Call sites are not recorded per expression: building long plans takes half the time.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 # Skewed joins and small shuffle blocks are left to adaptive execution.
@@ -68,3 +70,12 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores, for work that costs far more than the read.
+
+    Data of any size has more splits than cores and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
