@@ -16,7 +16,7 @@ from quaylight import fixed
 from quaylight.functions.text import whole_match
 from quaylight.functions.times import step_number
 from quaylight.operators import metrics as m
-from quaylight.operators.series import first_seen_window, per_step, with_eval_time
+from quaylight.operators.series import first_sights, per_step, with_eval_time
 from quaylight.schema import col
 
 
@@ -245,5 +245,4 @@ def notifications(
     ts: str = "eval_ts",
 ) -> DataFrame:
     """Times at which a group notifies: its first evaluation, then once per repeat interval."""
-    sent = first_seen_window(firing, group_by, ts, repeat_seconds, inclusive=True)
-    return sent.where("kept").drop("kept")
+    return first_sights(firing, group_by, ts, repeat_seconds, inclusive=True)

@@ -111,9 +111,15 @@ def merge_annotations(
     """Left join on the event id; only annotations at or above the threshold change an event.
 
     ``annotations`` holds the id and one struct column ``annotation`` of the declared fields.
-    Weak annotations are dropped before the join, so they are not shuffled.
+    Weak annotations are dropped before the join, so they are not shuffled. Of several for one
+    event the most confident counts; they are combined before the shuffle the join needs anyway.
     """
-    strong = annotations.where(F.col("annotation.confidence") >= threshold).select(on, "annotation")
+    best = F.struct("annotation.confidence", "annotation.category", "annotation.summary")
+    strong = (
+        annotations.where(F.col("annotation.confidence") >= threshold)
+        .groupBy(on)
+        .agg(F.max_by("annotation", best).alias("annotation"))
+    )
     out = events.join(strong, on, "left")
     a = F.col("annotation")
     used = a.isNotNull()

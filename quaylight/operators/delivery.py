@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quaylight.fixed import DELIVERY_STATUSES
 from quaylight.functions.payload import as_variant
 from quaylight.operators.project import sanitise
-from quaylight.operators.series import batches, first_seen_window
+from quaylight.operators.series import batches, first_sights
 from quaylight.schema import col
 
 
@@ -43,7 +43,7 @@ def drop_repeats(
     df: DataFrame, keys: Sequence[str], ts: str, id_col: str, window_seconds: int = 3600
 ) -> DataFrame:
     """Rows that survive the windowed duplicate drop; of rows at one instant the lowest id does."""
-    kept = first_seen_window(df, keys, ts, window_seconds).where("kept").drop("kept")
+    kept = first_sights(df, keys, ts, window_seconds)
     rest = [c for c in df.columns if c not in (*keys, ts)]
     firsts = df.groupBy(*keys, ts).agg(F.min_by(F.struct(*rest), id_col).alias("__row"))
     on = [firsts[k].eqNullSafe(kept[k]) for k in keys] + [firsts[ts] == kept[ts]]

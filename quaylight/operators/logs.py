@@ -118,10 +118,13 @@ def group_streams(
 
 
 def write_log_store(entries: DataFrame, path: str, mode: str = "append") -> None:
-    """Sorted by label set and time inside each file: a stream is a run, selective scans skip."""
+    """Sorted by label set and time inside each file: a stream is a run, selective scans skip.
+
+    A hot stream is split over several files by adaptive execution.
+    """
     (
         entries.withColumn("stream", label_key(F.col("labels")))
-        .repartitionByRange("stream", "ts_ns", "line")
+        .hint("rebalance", "stream")
         .sortWithinPartitions("stream", "ts_ns")
         .write.mode(mode)
         .parquet(path)

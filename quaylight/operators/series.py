@@ -100,7 +100,7 @@ def with_eval_time(df: DataFrame, step_seconds: int, name: str = "eval_ts") -> D
     return df.withColumn(name, step_time(F.col("step"), step_seconds)).drop("step")
 
 
-def first_seen_window(
+def first_sights(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
@@ -108,28 +108,26 @@ def first_seen_window(
     inclusive: bool = False,
     hot_limit: int = 50_000,
 ) -> DataFrame:
-    """Distinct ``(keys, ts)`` with ``kept``: true for the first sight and for each sight more than
-    ``window_seconds`` after the last kept one (at least that much with ``inclusive``).
+    """``(keys, ts)`` of every first sight of a key, and of each sight more than ``window_seconds``
+    after the last kept one (at least that much with ``inclusive``).
 
     A kept sight is not refreshed by the duplicates it hides, so the rule is a chain, not a gap.
-    Keys with up to ``hot_limit`` distinct times fold an array. A hotter key is never gathered: its
-    chain is found by pointer doubling, joins on ``(key, ts)`` pairs which are unique.
+    Keys with up to ``hot_limit`` rows fold an array. A hotter key is never gathered: its chain is
+    found by pointer doubling, joins on ``(key, ts)`` pairs which are unique. One cheap count per
+    key, combined before its shuffle, decides which way a key goes.
     """
     # A struct of the keys compares equal on nulls, which plain join keys do not.
-    seen = df.select(F.struct(*[col(k) for k in keys]).alias("key"), F.unix_micros(col(ts)).alias("t"))
-    seen = seen.distinct()
-    sizes = seen.groupBy("key").agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > hot_limit).select("key")
+    rows = df.select(F.struct(*[col(k) for k in keys]).alias("key"), F.unix_micros(col(ts)).alias("t"))
+    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_limit).select("key")
+    seen = rows.distinct()
     width = window_seconds * 1_000_000 - (1 if inclusive else 0)
     if hot.isEmpty():
         kept = _fold_chain(seen, width)
     else:
+        hot = cut_lineage(hot)
         cold = _fold_chain(seen.join(hot, "key", "left_anti"), width)
         kept = cold.unionByName(_double_chain(seen.join(hot, "key", "left_semi"), width))
-    return (
-        seen.join(kept.withColumn("kept", F.lit(True)), ["key", "t"], "left")
-        .select("key.*", F.timestamp_micros("t").alias(ts), F.coalesce("kept", F.lit(False)).alias("kept"))
-    )
+    return kept.select("key.*", F.timestamp_micros("t").alias(ts))
 
 
 def _fold_chain(seen: DataFrame, width: int) -> DataFrame:

@@ -51,12 +51,13 @@ def store_rows(df: DataFrame, as_of: Column, batch: Column | str = "") -> DataFr
 def append(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Append rows partitioned by day.
 
-    Range partitioning spreads a hot day over many files and keeps (type, ts) runs together, so row
-    groups can be skipped.
+    Rebalancing sends a day's rows together, then lets adaptive execution split a hot day and join
+    small ones by size. It needs no sampling pass over the (costly) steps before it. Sorting keeps
+    (type, ts) runs together, so row groups can be skipped.
     """
     (
         rows.withColumn("event_date", F.to_date("ts"))
-        .repartitionByRange("event_date", "type", "ts", "id")
+        .hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "type", "ts")
         .write.mode(mode)
         .partitionBy("event_date")

@@ -52,10 +52,10 @@ def windowed_duplicate_drop(spark, folder):
 )
 def windowed_duplicate_drop_hot(spark, folder):
     """The same rule where a few keys hold all rows: chains are found by pointer doubling."""
-    from quaylight.operators.series import first_seen_window
+    from quaylight.operators.series import first_sights
 
     e = table(spark, folder, "events")
-    k = first_seen_window(e, ["event_type"], "ts", 21600, hot_limit=0).where("kept")
+    k = first_sights(e, ["event_type"], "ts", 21600, hot_limit=0)
     return k.groupBy("event_type").agg(F.count("*").alias("kept"), stamp(F.max("ts")).alias("last_kept"))
 
 

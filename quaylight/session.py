@@ -21,6 +21,8 @@ ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rounds of an iterative join leave checkpoints behind; drop them with their DataFrames.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

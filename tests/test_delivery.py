@@ -28,11 +28,11 @@ def chain(times, window, inclusive=False):
 
 @pytest.mark.parametrize("hot_limit", [0, 50_000])
 @pytest.mark.parametrize("inclusive", [False, True])
-def test_first_seen_window(spark, hot_limit, inclusive):
+def test_first_sights(spark, hot_limit, inclusive):
     rng = random.Random(7)
     keys = {"a": [0, 10, 3600, 3601, 7000, 7201], "b": [rng.randrange(0, 90000) for _ in range(400)], None: [5, 6, 9000], "c": [i * 1800 for i in range(30)]}
     df = at(spark, [(t, k) for k, ts in keys.items() for t in ts])
-    out = series.first_seen_window(df, ["key"], "ts", 3600, inclusive, hot_limit).where("kept").collect()
+    out = series.first_sights(df, ["key"], "ts", 3600, inclusive, hot_limit).collect()
     got = {}
     for r in out:
         got.setdefault(r.key, []).append(int((r.ts - T0).total_seconds()))
