@@ -225,3 +225,59 @@ QUEUE_CAPACITY_BYTES = 104_857_600
 
 # Strip set of a text trim.
 WHITESPACE = " \t\n\r\x0b\x0c"
+
+# Names under which imported records carry each field, in search order.
+SYSLOG_FIELDS = {
+    "source_ip": ("source_ip", "host", "hostname", "source_host", "src_ip", "client_ip"),
+    "source_port": ("source_port", "port", "src_port"),
+    "facility": ("facility", "fac"),
+    "severity": ("severity", "sev", "level"),
+    "priority": ("priority", "pri"),
+    "tag": ("tag", "ident", "program", "process"),
+    "pid": ("pid", "process_id", "proc_id"),
+    "structured_data": ("structured_data", "sd", "data"),
+}
+METRIC_FIELDS = {
+    "host": ("host", "hostname", "target"),
+    "oid": ("oid",),
+    "metric_name": ("metric_name", "name", "metric"),
+    "value": ("value",),
+    "unit": ("unit", "units"),
+    "interface": ("interface", "interface_name", "ifDescr"),
+    "community": ("community",),
+    "snmp_version": ("snmp_version", "version"),
+}
+WEATHER_FIELDS = {
+    "temperature": ("temperature_celsius", "temp", "temperature_c"),
+    "temperature_celsius": ("temperature_celsius", "temp_c", "temp"),
+    "humidity_percent": ("humidity_percent", "humidity", "rh"),
+    "wind_speed_kmh": ("wind_speed_kmh", "wind_speed", "windspeed"),
+    "wind_direction_degrees": ("wind_direction_degrees", "wind_dir", "wind_direction"),
+    "pressure_hpa": ("pressure_hpa", "pressure", "sea_level_pressure"),
+    "weather_code": ("weather_code", "code", "condition_code"),
+    "weather_description": ("weather_description", "description", "condition"),
+}
+WEATHER_NUMERIC = (
+    "temperature_celsius", "humidity_percent", "wind_speed_kmh",
+    "wind_direction_degrees", "pressure_hpa", "weather_code",
+)
+
+# Weather service reply fields and the event fields they become.
+WEATHER_CURRENT = {
+    "time": "time",
+    "temperature_2m": "temperature_celsius",
+    "relative_humidity_2m": "humidity_percent",
+    "apparent_temperature": "apparent_temperature_celsius",
+    "is_day": "is_day",
+    "precipitation": "precipitation_mm",
+    "rain": "rain_mm",
+    "showers": "showers_mm",
+    "snowfall": "snowfall_mm",
+    "weather_code": "weather_code",
+    "cloud_cover": "cloud_cover_percent",
+    "pressure_msl": "pressure_hpa",
+    "surface_pressure": "surface_pressure_hpa",
+    "wind_speed_10m": "wind_speed_kmh",
+    "wind_direction_10m": "wind_direction_degrees",
+    "wind_gusts_10m": "wind_gusts_kmh",
+}

@@ -19,11 +19,13 @@ def consecutive_failures(
     tie: str = "id",
     max_failures: int = SNMP_MAX_FAILURES,
     chunk_seconds: int = 3600,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Add the failure run length after each poll, and whether the target still counts as healthy.
 
     A target's polls are counted per time chunk; what carries into a chunk is computed on one row
-    per chunk, so no task orders all polls of a target.
+    per chunk, so no task orders all polls of a target. ``initial`` (keys, failures) holds run
+    lengths from before the first poll.
     """
     rows = polls.withColumn("__chunk", step_number(F.col(ts), chunk_seconds))
     near = Window.partitionBy(*keys, "__chunk").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
@@ -38,10 +40,14 @@ def consecutive_failures(
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("epoch", F.sum((F.col("oks") > 0).cast("int")).over(before))
     upto = Window.partitionBy(*keys, "epoch").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumn("after", F.sum("tail").over(upto))
-    carry = F.coalesce(
-        F.lag("after").over(Window.partitionBy(*keys).orderBy("__chunk")), F.lit(0)
-    )
+    if initial is None:
+        cells = cells.withColumn("failures", F.lit(0))
+    else:
+        cells = cells.join(initial.select(*keys, "failures"), list(keys), "left")
+    start = F.coalesce("failures", F.lit(0))
+    after = F.sum("tail").over(upto) + F.when(F.col("epoch") == 0, start).otherwise(F.lit(0))
+    cells = cells.withColumn("after", after)
+    carry = F.coalesce(F.lag("after").over(Window.partitionBy(*keys).orderBy("__chunk")), start)
     carried = cells.select(*keys, "__chunk", carry.alias("__carry"))
     total = F.col("__run") + F.when(F.col("__since") == 0, F.col("__carry")).otherwise(F.lit(0))
     return (
@@ -50,3 +56,11 @@ def consecutive_failures(
         .withColumn("healthy", F.col("consecutive_failures") < max_failures)
         .drop("__chunk", "__since", "__run", "__carry")
     )
+
+
+def last_runs(
+    counted: DataFrame, keys: Sequence[str], ts: str = "ts", tie: str = "id"
+) -> DataFrame:
+    """(keys, failures) after the last counted poll of each target."""
+    last = F.max_by("consecutive_failures", F.struct(ts, tie))
+    return counted.groupBy(*keys).agg(last.alias("failures"))

@@ -230,7 +230,39 @@ def recording_rules(spark, folder):
     return rules.select(seconds("ts").alias("eval_s"), "name", F.col("labels")["slo"].alias("slo"), F.round("value", 9).alias("value"))
 
 
-@query()
+def _availability_counts(tag, range_seconds, step):
+    return (
+        f"SELECT 'slo:availability:rate{tag}' AS name, count(*) AS n, count(*) AS values FROM (SELECT DISTINCT sink, status, "
+        f"unnest(generate_series({step_sql('ts', step)}, {step_sql('ts', step)} + {range_seconds // step - 1})) FROM sm WHERE name = 'up')"
+    )
+
+
+def _latency_counts(quantile, tag, n):
+    return (
+        f"SELECT 'slo:latency_p{quantile}:ingest:rate{tag}' AS name, count(*) AS n, count(*) FILTER (WHERE top > 0) AS values FROM "
+        f"(SELECT sink, step, max(total) AS top FROM (SELECT sink, le, step, sum(increase) AS total FROM (SELECT sink, le, unnest(generate_series(step, step + {n - 1})) AS step, increase FROM inc) GROUP BY ALL) GROUP BY ALL)"
+    )
+
+
+_BS = (
+    "bs AS (SELECT ts, event_type AS sink, CAST(b AS DOUBLE) AS le, CASE WHEN value <= b THEN CAST(event_id AS DOUBLE) ELSE 0 END AS value "
+    f"FROM events, unnest({_BUCKETS}) AS u(b) WHERE event_type IN ('view', 'click'))"
+)
+_REQ5 = increase_sql(REQUESTS, "sink, status", 300).replace("dd AS", "rd AS").replace("FROM dd", "FROM rd").replace("inc AS", "ri AS")
+
+
+@query(
+    with_parts(SAMPLES_SQL, _BS, increase_sql("bs", "sink, le", 300), _REQ5)
+    + " UNION ALL ".join(
+        [
+            _availability_counts("5m", 300, 60),
+            _availability_counts("1h", 3600, 300),
+            _availability_counts("1d", 86400, 3600),
+            *[_latency_counts(q, t, n) for q in (95, 99) for t, n in (("5m", 1), ("1h", 12))],
+            "SELECT 'slo:error_rate:http:rate5m' AS name, count(*) AS n, count(*) FILTER (WHERE a > 0) AS values FROM (SELECT step, sum(increase) AS a FROM ri GROUP BY 1)",
+        ]
+    )
+)
 def slo_rules(spark, folder):
     """All service-objective rules over one sample table."""
     s = sh.samples(spark, folder).unionByName(_bucket_samples(spark, folder))
@@ -356,7 +388,22 @@ def alert_error_ratio(spark, folder):
     return _eval(fired).select("eval_s", "state")
 
 
-@query()
+_REL = (
+    f"cells AS (SELECT name, sink, {step_sql('ts', H)} AS step, arg_max(value, ts) AS v FROM sm WHERE name IN ('up', 'sink_queue_bytes') GROUP BY ALL), "
+    f"rates AS (SELECT name, sink, step, sum(increase) / {H}.0 AS v FROM inc GROUP BY ALL), "
+    "c AS (SELECT 'SinkCircuitBreakerOpen' AS alertname, 'critical' AS severity, sink, step FROM cells WHERE name = 'up' AND v = 1 "
+    "UNION ALL SELECT 'SinkQueueNearFull', 'critical', sink, step FROM cells WHERE name = 'sink_queue_bytes' AND v / 104857600.0 > 0.9 "
+    "UNION ALL SELECT 'HighDeadLetterQueueRate', 'critical', sink, step FROM rates WHERE name = 'sink_error_total' AND v > 0.01 "
+    "UNION ALL SELECT 'HighSinkRetryRate', 'warning', sink, step FROM rates WHERE name = 'sink_written_total' AND v > 0.1), "
+    "r AS (SELECT *, step - row_number() OVER (PARTITION BY alertname, sink ORDER BY step) AS run FROM c), "
+    "f AS (SELECT *, min(step) OVER (PARTITION BY alertname, sink, run) AS s0 FROM r)"
+)
+
+
+@query(
+    with_parts(SAMPLES_SQL, increase_sql("(SELECT * FROM sm WHERE name IN ('sink_written_total', 'sink_error_total'))", "name, sink, status", H), _REL)
+    + "SELECT alertname, severity, CASE WHEN step > s0 THEN 'firing' ELSE 'pending' END AS state, count(*) AS n FROM f GROUP BY ALL"
+)
 def alert_reliability(spark, folder):
     """The recommended sink alerts over renamed counters."""
     s = sh.samples(spark, folder)

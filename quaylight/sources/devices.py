@@ -10,30 +10,11 @@ from quaylight.functions import nmea
 from quaylight.functions.network import flow_version
 from quaylight.functions.text import lookup, strip
 
-# Reply field -> event field.
-WEATHER_CURRENT = {
-    "time": "time",
-    "temperature_2m": "temperature_celsius",
-    "relative_humidity_2m": "humidity_percent",
-    "apparent_temperature": "apparent_temperature_celsius",
-    "is_day": "is_day",
-    "precipitation": "precipitation_mm",
-    "rain": "rain_mm",
-    "showers": "showers_mm",
-    "snowfall": "snowfall_mm",
-    "weather_code": "weather_code",
-    "cloud_cover": "cloud_cover_percent",
-    "pressure_msl": "pressure_hpa",
-    "surface_pressure": "surface_pressure_hpa",
-    "wind_speed_10m": "wind_speed_kmh",
-    "wind_direction_10m": "wind_direction_degrees",
-    "wind_gusts_10m": "wind_gusts_kmh",
-}
 WEATHER_REPLY = (
     "latitude DOUBLE, longitude DOUBLE, timezone STRING, elevation DOUBLE, current STRUCT<"
     + ", ".join(
         f"{n}: {'STRING' if n == 'time' else 'INT' if n in ('is_day', 'weather_code') else 'DOUBLE'}"
-        for n in WEATHER_CURRENT
+        for n in fixed.WEATHER_CURRENT
     )
     + ">, current_units MAP<STRING,STRING>"
 )
@@ -50,7 +31,7 @@ def weather_description(code: Column) -> Column:
 def weather_replies(df: DataFrame, as_of: Column, source: str = "open-meteo") -> DataFrame:
     """Weather events from reply documents of ``WEATHER_REPLY`` shape."""
     current = []
-    for field, name in WEATHER_CURRENT.items():
+    for field, name in fixed.WEATHER_CURRENT.items():
         c = F.col(f"current.{field}")
         current.append((F.coalesce(c == 1, F.lit(False)) if name == "is_day" else c).alias(name))
     return df.select(

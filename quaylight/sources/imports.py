@@ -16,41 +16,6 @@ from quaylight.schema import col, present
 
 CORRUPT = "_corrupt_record"
 
-SYSLOG_FIELDS = {
-    "source_ip": ("source_ip", "host", "hostname", "source_host", "src_ip", "client_ip"),
-    "source_port": ("source_port", "port", "src_port"),
-    "facility": ("facility", "fac"),
-    "severity": ("severity", "sev", "level"),
-    "priority": ("priority", "pri"),
-    "tag": ("tag", "ident", "program", "process"),
-    "pid": ("pid", "process_id", "proc_id"),
-    "structured_data": ("structured_data", "sd", "data"),
-}
-METRIC_FIELDS = {
-    "host": ("host", "hostname", "target"),
-    "oid": ("oid",),
-    "metric_name": ("metric_name", "name", "metric"),
-    "value": ("value",),
-    "unit": ("unit", "units"),
-    "interface": ("interface", "interface_name", "ifDescr"),
-    "community": ("community",),
-    "snmp_version": ("snmp_version", "version"),
-}
-WEATHER_FIELDS = {
-    "temperature": ("temperature_celsius", "temp", "temperature_c"),
-    "temperature_celsius": ("temperature_celsius", "temp_c", "temp"),
-    "humidity_percent": ("humidity_percent", "humidity", "rh"),
-    "wind_speed_kmh": ("wind_speed_kmh", "wind_speed", "windspeed"),
-    "wind_direction_degrees": ("wind_direction_degrees", "wind_dir", "wind_direction"),
-    "pressure_hpa": ("pressure_hpa", "pressure", "sea_level_pressure"),
-    "weather_code": ("weather_code", "code", "condition_code"),
-    "weather_description": ("weather_description", "description", "condition"),
-}
-WEATHER_NUMERIC = (
-    "temperature_celsius", "humidity_percent", "wind_speed_kmh",
-    "wind_direction_degrees", "pressure_hpa", "weather_code",
-)
-
 
 def read_jsonl(
     spark: SparkSession, path: str, schema: str | None = None, max_lines: int | None = None
@@ -106,28 +71,28 @@ def syslog_events(
     """
     message = _first_not_null(df, ("message", "msg"))
     raw = F.coalesce(message, F.lit(""))
-    port_name = first_non_empty([col(n) for n in present(df, SYSLOG_FIELDS["source_port"])])
+    port_name = first_non_empty([col(n) for n in present(df, fixed.SYSLOG_FIELDS["source_port"])])
     out = {
         "timestamp": _time(df, as_of, fixed.IMPORT_TIME_FORMATS, tz),
         "type": F.lit("syslog_event"),
         "source": F.lit("jsonl-import"),
         "raw_message": raw,
         "rfc_variant": rfc_variant(raw),
-        "source_ip": first_non_empty([col(n) for n in present(df, SYSLOG_FIELDS["source_ip"])]),
+        "source_ip": first_non_empty([col(n) for n in present(df, fixed.SYSLOG_FIELDS["source_ip"])]),
         "source_port": port_name.try_cast("int"),
     }
     for name in ("facility", "severity", "priority", "tag", "pid"):
-        value = _first_not_null(df, SYSLOG_FIELDS[name])
+        value = _first_not_null(df, fixed.SYSLOG_FIELDS[name])
         out[name] = value
         if name in ("severity", "priority", "pid"):
             out[f"{name}_int"] = value.try_cast("bigint")
     out["structured_data"] = first_non_empty(
-        [_as_text(df, n) for n in present(df, SYSLOG_FIELDS["structured_data"])]
+        [_as_text(df, n) for n in present(df, fixed.SYSLOG_FIELDS["structured_data"])]
     )
     if map_severity:
         out["severity_num"] = import_severity(out["severity"])
     mapped = {"message", "msg", CORRUPT, *fixed.IMPORT_TIME_FIELDS}
-    mapped.update(n for names in SYSLOG_FIELDS.values() for n in names)
+    mapped.update(n for names in fixed.SYSLOG_FIELDS.values() for n in names)
     out.update(_extras(df, mapped))
     return df.select(*[c.alias(n) for n, c in out.items()])
 
@@ -146,13 +111,13 @@ def metric_events(
         "type": F.lit("snmp_metric"),
         "source": F.lit("jsonl-import"),
     }
-    for name, names in METRIC_FIELDS.items():
+    for name, names in fixed.METRIC_FIELDS.items():
         out[name] = _first_not_null(df, names)
     out["value_double"] = out["value"].try_cast("double")
     if percent_as_ratio:
         out["value_ratio"] = F.when(out["unit"] == "%", out["value_double"] / 100.0)
     mapped = {CORRUPT, *fixed.IMPORT_TIME_FIELDS}
-    mapped.update(n for names in METRIC_FIELDS.values() for n in names)
+    mapped.update(n for names in fixed.METRIC_FIELDS.values() for n in names)
     out.update(_extras(df, mapped))
     return df.select(*[c.alias(n) for n, c in out.items()])
 
@@ -186,15 +151,15 @@ def weather_events(df: DataFrame, as_of: Column, tz: str | None = None) -> DataF
     """
     stamp = F.nullif(_one_of(df, ("timestamp", "time", "datetime")), F.lit(""))
     numeric, text = {}, {}
-    for name, names in WEATHER_FIELDS.items():
+    for name, names in fixed.WEATHER_FIELDS.items():
         value = first_non_empty([col(n) for n in present(df, names)])
-        if name in WEATHER_NUMERIC:
+        if name in fixed.WEATHER_NUMERIC:
             numeric[name] = value.try_cast("double")
             text[name] = F.when(value.try_cast("double").isNull(), value)
         else:
             numeric[name] = value
     mapped = {"timestamp", "time", "datetime", "latitude", "lat", "longitude", "lon", "city", "location"}
-    mapped.update(n for names in WEATHER_FIELDS.values() for n in names)
+    mapped.update(n for names in fixed.WEATHER_FIELDS.values() for n in names)
     for n in df.columns:
         if n not in mapped and not n.startswith("_"):
             numeric[n] = col(n).try_cast("double")

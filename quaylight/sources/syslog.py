@@ -27,34 +27,52 @@ def priority(pri: Column) -> dict[str, Column]:
     }
 
 
+# Groups of each variant in the order they are cut out. No group but the last can hold a line
+# break, so a line break separates them; the last part takes whatever is left.
+_CUT_5424 = ("priority", "version", "time", "host", "app", "proc", "msgid", "data", "message")
+_CUT_3164 = ("priority", "host", "tag", "proc", "message", "time")
+_ORDER_3164 = (1, 3, 4, 5, 6, 2)
+
+
 def parse(df: DataFrame, line: str = "value") -> DataFrame:
     """Add the parsed syslog fields of a text column.
 
-    The line is matched once per variant: the groups are pulled out of one marker-joined rewrite of
-    the match rather than by a search per field.
+    A line is searched once per variant and rewritten once: the rewrite yields all groups at once,
+    instead of one search per field.
     """
     text = F.col(line)
-    new, old = text.rlike(fixed.RFC5424), text.rlike(fixed.RFC3164)
+    rest = r"[\s\S]*"
+    new = F.regexp_replace(text, fixed.RFC5424 + rest, "\n".join(f"${i}" for i in range(1, 10)))
+    old = F.regexp_replace(text, fixed.RFC3164 + rest, "\n".join(f"${i}" for i in _ORDER_3164))
     out = df.withColumn(
-        "__v", F.when(new, F.lit("rfc5424")).when(old, F.lit("rfc3164")).otherwise(F.lit("unknown"))
+        "__v",
+        F.when(text.rlike(fixed.RFC5424), "rfc5424")
+        .when(text.rlike(fixed.RFC3164), "rfc3164")
+        .otherwise("unknown"),
+    ).withColumn(
+        "__g",
+        F.when(F.col("__v") == "rfc5424", F.split(new, "\n", 9)).when(
+            F.col("__v") == "rfc3164", F.split(old, "\n", 6)
+        ),
     )
     variant = F.col("__v")
+    unknown = variant == "unknown"
 
-    def group(n5424: int | None, n3164: int | None) -> Column:
-        found = F
+    def group(name: str) -> Column:
         cases = None
-        if n5424 is not None:
-            cases = F.when(variant == "rfc5424", F.regexp_extract(text, fixed.RFC5424, n5424))
-        if n3164 is not None:
-            value = F.regexp_extract(text, fixed.RFC3164, n3164)
-            cases = F.when(variant == "rfc3164", value) if cases is None else cases.when(variant == "rfc3164", value)
+        for label, cut in (("rfc5424", _CUT_5424), ("rfc3164", _CUT_3164)):
+            if name in cut:
+                value = F.get("__g", F.lit(cut.index(name)))
+                is_it = variant == label
+                cases = F.when(is_it, value) if cases is None else cases.when(is_it, value)
         return cases
 
-    dash = F.lit("-")
+    def given(name: str) -> Column:
+        return F.nullif(F.nullif(group(name), F.lit("-")), F.lit(""))
+
     raw = strip(text)
-    out = out.withColumn("__pri", group(1, 1).cast("int"))
+    out = out.withColumn("__pri", group("priority").cast("int"))
     codes = priority(F.col("__pri"))
-    unknown = variant == "unknown"
     return out.withColumns(
         {
             "type": F.lit("syslog"),
@@ -65,17 +83,15 @@ def parse(df: DataFrame, line: str = "value") -> DataFrame:
             "facility_code": codes["facility_code"],
             "severity": F.when(unknown, "unknown").otherwise(codes["severity"]),
             "severity_code": codes["severity_code"],
-            "version": group(2, None).try_cast("int"),
-            "timestamp_original": group(3, 2),
-            "hostname": F.when(unknown, "unknown").otherwise(group(4, 3)),
-            "tag": group(None, 4),
-            "app_name": group(5, None),
-            "process_id": F.when(
-                variant == "rfc5424", F.nullif(F.regexp_extract(text, fixed.RFC5424, 6), dash)
-            ).when(variant == "rfc3164", F.nullif(F.regexp_extract(text, fixed.RFC3164, 5), F.lit(""))),
-            "message_id": F.nullif(group(7, None), dash),
-            "structured_data": F.nullif(group(8, None), dash),
-            "message": F.when(unknown, raw).otherwise(group(9, 6)),
+            "version": group("version").try_cast("int"),
+            "timestamp_original": group("time"),
+            "hostname": F.when(unknown, "unknown").otherwise(group("host")),
+            "tag": group("tag"),
+            "app_name": group("app"),
+            "process_id": given("proc"),
+            "message_id": given("msgid"),
+            "structured_data": given("data"),
+            "message": F.when(unknown, raw).otherwise(group("message")),
             "parse_error": F.when(unknown, PARSE_ERROR),
         }
-    ).drop("__v", "__pri")
+    ).drop("__v", "__g", "__pri")

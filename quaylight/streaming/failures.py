@@ -1,35 +1,52 @@
-"""Consecutive failures per target on a stream: one integer of state per target."""
+"""Consecutive failures per target on a stream.
+
+The state is a table with one number per target. Each micro-batch is counted by the batch operator,
+starting from the state its predecessor left, so a busy target is split over tasks like any other.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from quaylight.fixed import SNMP_MAX_FAILURES
-
-OUTPUT = "target STRING, id BIGINT, ts TIMESTAMP, ok BOOLEAN, consecutive_failures INT, healthy BOOLEAN"
-
-
-def failure_runs(polls: DataFrame, max_failures: int = SNMP_MAX_FAILURES) -> DataFrame:
-    """(target, id, ts, ok) polls with the run length after each; a success resets it.
-
-    Within a micro-batch a target's polls are taken in time order.
+from quaylight.operators.failures import consecutive_failures, last_runs
+
+
+def run_failures(
+    polls: DataFrame,
+    keys: Sequence[str],
+    ok: str,
+    root: str,
+    checkpoint: str,
+    max_failures: int = SNMP_MAX_FAILURES,
+    chunk_seconds: int = 3600,
+    seconds: int | None = None,
+) -> StreamingQuery:
+    """Write counted polls below ``root/polls`` and the state below ``root/state``.
+
+    Both go into folders named by the batch: a replay starts from the same state and overwrites.
     """
 
-    def follow(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"], ignore_index=True)
-        carry = state.get[0] if state.exists else 0
-        since = rows["ok"].cumsum()
-        run = (~rows["ok"]).astype("int32").groupby(since).cumsum()
-        run = run + (since == 0) * carry
-        state.update((int(run.iloc[-1]),))
-        rows["consecutive_failures"] = run.astype("int32")
-        rows["healthy"] = rows["consecutive_failures"] < max_failures
-        yield rows[["target", "id", "ts", "ok", "consecutive_failures", "healthy"]]
-
-    return polls.select("target", "id", "ts", "ok").groupBy("target").applyInPandasWithState(
-        follow, OUTPUT, "failures INT", "append", GroupStateTimeout.NoTimeout
-    )
+    def count(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.parquet(f"{root}/state/batch_id={batch_id - 1}") if batch_id else None
+        counted = consecutive_failures(
+            batch, keys, ok, max_failures=max_failures, chunk_seconds=chunk_seconds, initial=before
+        )
+        path = f"{root}/polls/batch_id={batch_id}"
+        counted.write.mode("overwrite").parquet(path)
+        now = last_runs(spark.read.schema(counted.schema).parquet(path), keys)
+        if before is not None:
+            older = before.withColumnRenamed("failures", "older")
+            merged = F.coalesce("failures", "older").cast("bigint").alias("failures")
+            now = now.join(older, list(keys), "full").select(*keys, merged)
+        now.write.mode("overwrite").parquet(f"{root}/state/batch_id={batch_id}")
+
+    writer = polls.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+    if seconds:
+        return writer.trigger(processingTime=f"{seconds} seconds").start()
+    return writer.trigger(availableNow=True).start()

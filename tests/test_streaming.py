@@ -15,7 +15,12 @@ def drain(stream, spark, name, mode="append"):
 
 
 def events_stream(spark, tmp_path, df, parts=3):
-    df.repartitionByRange(parts, "ts").write.parquet(str(tmp_path / "in"))
+    # One file per slice, written in time order: the stream reads older files first.
+    cuts = [r.ts for r in df.select("ts").orderBy("ts").collect()]
+    bounds = [cuts[len(cuts) * i // parts] for i in range(parts)] + [None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = df.where((F.col("ts") >= low) & (F.col("ts") < high if high else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
@@ -61,10 +66,15 @@ def test_failure_runs_match_batch(spark, tmp_path):
         "id", (F.col("id") % 4).cast("string").alias("target"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("ts"), (F.xxhash64("id") % 4 == 0).alias("ok"))
     want = batch_failures.consecutive_failures(df, ["target"], "ok", chunk_seconds=30)
-    stream = events_stream(spark, tmp_path, df, 1)
-    got = drain(failures.failure_runs(stream), spark, "runs")
+    stream = events_stream(spark, tmp_path, df.orderBy("ts"), 3)
+    root = str(tmp_path / "out")
+    failures.run_failures(stream, ["target"], "ok", root, str(tmp_path / "ck"), chunk_seconds=30).awaitTermination(120)
+    got = spark.read.parquet(f"{root}/polls")
+    assert got.select("batch_id").distinct().count() == 3
     pick = lambda d: sorted((r.id, r.consecutive_failures, r.healthy) for r in d.collect())
     assert pick(got) == pick(want)
+    last = spark.read.parquet(f"{root}/state/batch_id=2")
+    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, batch_failures.last_runs(want, ["target"]).collect()))
 
 
 def test_log_files_on_stream(spark, tmp_path):
