@@ -33,9 +33,12 @@ def with_audit(df: DataFrame, step: str, action: str, name: str = "audit") -> Da
     return df.withColumn(name, F.concat(col(name), entry))
 
 
-def observed(df: DataFrame, ok: Column, name: str = "step") -> tuple[DataFrame, Observation]:
-    """Count processed and failed rows while another action runs; no extra job."""
-    seen = Observation(name)
+def observed(df: DataFrame, ok: Column) -> tuple[DataFrame, Observation]:
+    """Count processed and failed rows while another action runs; no extra job.
+
+    Filters are not moved below an observation, so what it watches is computed once, there.
+    """
+    seen = Observation()
     out = df.observe(
         seen,
         F.count(F.lit(1)).alias("total"),
@@ -61,10 +64,12 @@ def build_steps(
     as_of: Column | str,
     quarantine: Callable[[DataFrame], None] | None = None,
     annotations: DataFrame | None = None,
+    stats: dict[str, Observation] | None = None,
 ) -> list[Step]:
     """Configured steps in their fixed order; a block that is missing or disabled is skipped.
 
     Order: redaction, personal-data check, tags, severity, service, place, site, time, annotations.
+    ``quarantine`` receives the events held back; ``stats`` receives the counts of the check.
     """
     steps: list[Step] = []
 
@@ -77,7 +82,12 @@ def build_steps(
     if (block := enabled("pii_check")) is not None:
 
         def check(df: DataFrame, b=block) -> DataFrame:
-            good, bad = redact.pii_gate(redact.detect_pii(df), b.get("strict_mode", True))
+            found = redact.detect_pii(df)
+            if not df.isStreaming:
+                found, seen = observed(found, F.size("pii_findings") == 0)
+                if stats is not None:
+                    stats["pii_check"] = seen
+            good, bad = redact.pii_gate(found, b.get("strict_mode", True))
             if quarantine is not None:
                 quarantine(bad)
             return good.drop("pii_findings")

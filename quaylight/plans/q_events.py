@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quaylight import fixed
 from quaylight.functions.network import in_subnet, ip_number
-from quaylight.operators import annotate, enrich, flow, logs, project, redact, store
+from quaylight.operators import annotate, enrich, flow, project, redact, store
 from quaylight.plans import shapes as sh
 from quaylight.plans.registry import query
 from quaylight.plans.shapes import AS_OF, EVENTS_SQL, stamp, table, with_parts
@@ -515,7 +515,7 @@ def payload_merge(spark, folder):
     EV + f"SELECT event_id AS id FROM ev WHERE {SERVICE_SQL} = 'nginx' AND CAST(json_extract_string(data, '$.k') AS BIGINT) = 42"
 )
 def payload_containment(spark, folder):
-    e = enrich.service_from_path(widen(sh.events(spark, folder)))
+    e = enrich.service_from_path(sh.events(spark, folder))
     doc = F.to_json(
         F.struct(
             F.struct("service").alias("tags"),

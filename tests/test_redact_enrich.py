@@ -151,8 +151,10 @@ def test_flow_order_and_skips(spark):
     assert r.message == "********" and r.severity_num == 3 and r.tags == {"a": "b"} and r.timestamp == "2024-01-01T00:00:00Z"
     assert quarantined[0].count() == 0
     assert flow.build_steps({"redaction": {"enabled": False}}, "now") == []
-    raw = flow.run_steps(df, flow.build_steps({"pii_check": {}}, "now", quarantine=quarantined.append))
-    assert raw.count() == 0 and quarantined[1].count() == 1
+    stats = {}
+    raw = flow.run_steps(df, flow.build_steps({"pii_check": {}}, "now", quarantine=quarantined.append, stats=stats))
+    assert len(raw.collect()) == 0 and len(quarantined[1].collect()) == 1
+    assert stats["pii_check"].get == {"total": 1, "processed": 0, "errors": 1}
     audited = flow.with_audit(flow.with_audit(df, "mask", "changed"), "tag", "added").first().audit
     assert [tuple(a) for a in audited] == [("mask", "changed"), ("tag", "added")]
     safe = flow.fail_safe(df, "severity", F.lit(None).cast("string")).first()
