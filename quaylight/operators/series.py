@@ -161,13 +161,19 @@ def _double_chain(seen: DataFrame, width: int) -> DataFrame:
     both = sights.unionByName(probes).withColumn("cell", F.expr("at div 1000000"))
     # A probe (origin set) sorts after a sight at the same instant: the successor is strictly later.
     sight = F.when(F.col("origin").isNull(), F.col("at"))
+    # Looking ahead is written as looking back in descending order: a frame that grows from the
+    # start is kept up row by row, one that shrinks towards the end is recomputed for every row.
     ahead = (
         Window.partitionBy("key", "cell")
-        .orderBy("at", F.col("origin").asc_nulls_first())
-        .rowsBetween(1, Window.unboundedFollowing)
+        .orderBy(F.col("at").desc(), F.col("origin").desc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     inside = both.withColumn("next", F.min(sight).over(ahead))
-    later = Window.partitionBy("key").orderBy("cell").rowsBetween(1, Window.unboundedFollowing)
+    later = (
+        Window.partitionBy("key")
+        .orderBy(F.col("cell").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     cells = (
         both.groupBy("key", "cell")
         .agg(F.min(sight).alias("first"))
