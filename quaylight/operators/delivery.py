@@ -33,7 +33,7 @@ def batch_keys(
         batches(df.select(id_col, text.alias("__text")), id_col, size)
         .groupBy("batch_no")
         .agg(
-            F.md5(F.array_join(F.array_sort(F.collect_list("__text")), "")).alias("batch_key"),
+            F.md5(F.array_join(F.sort_array(F.collect_list("__text")), "")).alias("batch_key"),
             F.count("*").alias("batch_size"),
         )
     )

@@ -19,7 +19,7 @@ from quaylight.session import cut_lineage
 
 def label_key(labels: Column) -> Column:
     """Canonical text of a label map: equal maps give equal text whatever their key order."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(labels))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(labels))))
 
 
 def numbered(
@@ -144,7 +144,7 @@ def _fold_chain(seen: DataFrame, width: int) -> DataFrame:
 
     return (
         seen.groupBy("key")
-        .agg(F.array_sort(F.collect_list("t")).alias("ts"))
+        .agg(F.sort_array(F.collect_list("t")).alias("ts"))
         .select("key", F.explode(F.aggregate("ts", start, visit, lambda s: s["kept"])).alias("t"))
     )
 

@@ -342,13 +342,12 @@ def import_time_zone(spark, folder):
 
 @query(
     "SELECT doc_id, CASE WHEN length(text) > 500 THEN md5(concat(substr(text, 1, 500), '...')) ELSE md5(text) END AS message "
-    "FROM documents WHERE length(text) <= 4000"
+    "FROM documents WHERE length(CAST(to_json({'doc_id': doc_id, 'message': text}) AS VARCHAR)) <= 10000"
 )
 def prompt_projection(spark, folder):
     """Message part of the safe prompt, for events below the size limit."""
     d = table(spark, folder, "documents").select("doc_id", F.col("text").alias("message"))
-    small = d.where(F.length("message") <= 4000)
-    p = annotate.prompt_text(annotate.annotatable(small, 100_000))
+    p = annotate.prompt_text(annotate.annotatable(d))
     return p.select("doc_id", F.md5(F.get_json_object("prompt_event", "$.message")).alias("message"))
 
 
