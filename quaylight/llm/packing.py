@@ -202,7 +202,7 @@ def pack(table: DataFrame, size: int = SIZE) -> DataFrame:
     """
     spark = table.sparkSession
     counts = {r.length: r.n for r in table.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    most = max(2_000, sum(counts.values()) // (4 * shuffle_partitions(spark)))
+    most = max(256, sum(counts.values()) // (4 * shuffle_partitions(spark)))
     salts = [-(-counts.get(n, 0) // most) or 1 for n in range(size + 1)]
     width = F.element_at(F.lit(np.array(salts, np.int32)), F.col("length").cast("int") + 1)
     salted = table.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), width.cast("bigint")).cast("int"))
