@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import chat, decontaminate, language, packing, quality, toxicity, urls
+from quaylight.llm import caps, chat, decontaminate, language, packing, quality, toxicity, urls
 from quaylight.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ def op7_best_fit_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(docs, tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return caps.cap_links(table(spark, folder, "embeddings"))
+
+
 @query
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

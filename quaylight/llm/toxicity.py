@@ -121,28 +121,29 @@ def likelihood_ratio(k: np.ndarray, n: int, all_k: np.ndarray, all_n: int) -> np
     return np.where((a > b) & (k > 0), np.nan_to_num(g, nan=0.0, posinf=0.0), 0.0)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-4, size: int = 512) -> tuple[np.ndarray, float]:
-    """Logistic loss, Adam; where the corrected negative part falls below zero its gradient is turned round."""
-    rng = np.random.default_rng(11)
-    width = positive.shape[1]
-    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1, decay: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Logistic loss over all rows of the samples, Adam steps.
 
-    def sigmoid(s: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(s, -50, 50)))
+    Where the corrected risk of the clean class, R_u- - pi R_p-, falls below zero, its gradient is turned round.
+    """
+    p, u = positive.astype(np.float32), unlabelled.astype(np.float32)
+    w = np.zeros(p.shape[1] + 1, np.float32)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+
+    def gradient(slope: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ slope, slope.sum()) / len(x)
 
     for step in range(1, steps + 1):
-        p = positive[rng.integers(0, len(positive), size)].astype(np.float64)
-        u = unlabelled[rng.integers(0, len(unlabelled), size)].astype(np.float64)
         sp, su = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        good = np.append(p.T @ (sigmoid(sp) - 1), (sigmoid(sp) - 1).sum()) / size  # of the loss "is toxic" on confirmed texts
-        pbad = np.append(p.T @ sigmoid(sp), sigmoid(sp).sum()) / size
-        ubad = np.append(u.T @ sigmoid(su), sigmoid(su).sum()) / size
-        negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
-        g = prior * good + (ubad - prior * pbad) if negative >= 0 else -(ubad - prior * pbad)
+        toxic = 1 / (1 + np.exp(-np.clip(sp, -50, 50)))
+        clean = gradient(1 / (1 + np.exp(-np.clip(su, -50, 50))), u) - prior * gradient(toxic, p)
+        risk = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
+        g = prior * gradient(toxic - 1, p) + clean if risk >= 0 else -clean
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w[:-1], float(w[-1])
+        w = (w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return w[:-1].astype(np.float64), float(w[-1])
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, positive_rows: int = POSITIVE, unlabelled_rows: int = UNLABELLED) -> ToxicityModel:
