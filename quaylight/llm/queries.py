@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import caps, chat, decontaminate, language, packing, quality, toxicity, urls
+from quaylight.llm import caps, chat, decontaminate, jaccard, language, packing, quality, toxicity, urls
 from quaylight.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.rate_quality(docs, table(spark, folder, "labels"), F.col("source"), F.col("lang"))
+
+
+@query
+def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, folder, "documents"))
