@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import caps, chat, decontaminate, jaccard, language, packing, quality, toxicity, urls
+from quaylight.llm import caps, chat, decontaminate, jaccard, language, packing, phrases, quality, toxicity, urls
 from quaylight.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.repeat_digest(table(spark, folder, "documents"))
+
+
 @query
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
