@@ -6,8 +6,9 @@ most one row per label set and evaluation time, so ordering along a label set is
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +17,13 @@ from quaylight import fixed
 from quaylight.functions.text import whole_match
 from quaylight.functions.times import step_number
 from quaylight.operators import metrics as m
-from quaylight.operators.series import first_sights, per_step, with_eval_time
+from quaylight.operators.series import first_sights, matched, per_step, with_eval_time
 from quaylight.schema import col
 
 
+_BLOCK = 10_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """Name, hold time and static labels of an alert."""
@@ -68,22 +72,26 @@ def silent(
     Unlike ``no_growth`` this also covers times at which the counter is not sampled at all.
     """
     grown = m.increase(series, range_seconds, keys, step_seconds).where(F.col("increase") > 0)
-    first = series.groupBy(*keys).agg(F.min("ts").alias("first"))
     last = step_number(F.lit(until).cast("timestamp"), step_seconds)
-    steps = first.select(
-        *keys, F.explode(F.sequence(step_number(F.col("first"), step_seconds), last)).alias("step")
-    )
-    return with_eval_time(steps, step_seconds).join(grown, [*keys, "eval_ts"], "left_anti")
+    first = series.groupBy(*keys).agg(step_number(F.min("ts"), step_seconds).alias("first"))
+    # A series first seen after ``until`` has no evaluation yet. Steps are made in two levels (blocks of
+    # steps, then steps), so no row holds the whole life of a series.
+    begun = first.where(F.col("first") <= last)
+    blocks = begun.select(*keys, "first", F.explode(F.sequence(F.expr(f"first div {_BLOCK}"), F.floor(last / _BLOCK))).alias("block"))
+    low = F.greatest(F.col("first"), F.col("block") * _BLOCK)
+    high = F.least(last, F.col("block") * _BLOCK + (_BLOCK - 1))
+    steps = blocks.where(low <= high).select(*keys, F.explode(F.sequence(low, high)).alias("step"))
+    return matched(with_eval_time(steps, step_seconds), grown, [*keys, "eval_ts"], "left_anti")
 
 
 def both(left: DataFrame, right: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """``left and on(...) right``: left rows with a right row at the same time and labels."""
-    return left.join(right.select("eval_ts", *on).distinct(), ["eval_ts", *on], "left_semi")
+    return matched(left, right, ["eval_ts", *on], "left_semi")
 
 
 def unless(left: DataFrame, right: DataFrame, on: Sequence[str] = ()) -> DataFrame:
     """Left rows without a right row at the same time and labels."""
-    return left.join(right.select("eval_ts", *on).distinct(), ["eval_ts", *on], "left_anti")
+    return matched(left, right, ["eval_ts", *on], "left_anti")
 
 
 def either(left: DataFrame, right: DataFrame, on: Sequence[str] = ()) -> DataFrame:
@@ -185,27 +193,25 @@ INHIBITIONS = (
 def inhibit(firing: DataFrame, rules: Sequence[Inhibition] = INHIBITIONS, ts: str = "eval_ts") -> DataFrame:
     """Drop target alerts at the times their source fires; missing labels are equal to each other.
 
-    One anti join serves all rules: a rule number on both sides keeps them apart.
+    Every rule counts: an alert is dropped if any rule that has it as a target has a firing source. Rules are
+    told apart by their number and the values of their own ``equal`` labels, so one join serves them all.
     """
-    target = F.coalesce(
-        *[F.when(whole_match(F.col("alertname"), r.target), F.lit(i)) for i, r in enumerate(rules)],
-        F.lit(-1),
-    )
-    out = firing
-    equal = {r.equal for r in rules}
-    if len(equal) != 1:
-        for r in rules:
-            out = inhibit(out, [r], ts)
-        return out
-    names = next(iter(equal))
-    source = F.coalesce(
-        *[F.when(F.col("alertname") == r.source, F.lit(i)) for i, r in enumerate(rules)]
-    )
-    shared = {f"__{n}": F.coalesce(col(n), F.lit("")) for n in names}
-    left = firing.withColumns({"__rule": target, **shared})
-    right = firing.withColumns({"__rule": source, **shared}).where(F.col("__rule").isNotNull())
-    on = [ts, "__rule", *shared]
-    return left.join(right.select(*on).distinct(), on, "left_anti").select(*firing.columns)
+    if not rules:
+        return firing
+
+    def shared(r: Inhibition) -> Column:
+        return F.array(*[F.coalesce(col(n).cast("string"), F.lit("")) for n in r.equal]).cast("array<string>")
+
+    def cases(fits: Callable[[Inhibition], Column]) -> Column:
+        each = [F.when(fits(r), F.struct(F.lit(i).alias("rule"), shared(r).alias("labels"))) for i, r in enumerate(rules)]
+        return F.explode(F.array_compact(F.array(*each))).alias("case")
+
+    names = sorted({n for r in rules for n in r.equal})
+    identity = [ts, "alertname", *names]
+    sources = firing.select(ts, cases(lambda r: F.col("alertname") == r.source))
+    targets = firing.select(*identity, cases(lambda r: whole_match(F.col("alertname"), r.target)))
+    hidden = matched(targets, sources, [ts, "case"], "left_semi")
+    return matched(firing, hidden, identity, "left_anti")
 
 
 @dataclass(frozen=True)
@@ -241,8 +247,20 @@ def route(firing: DataFrame, routes: Sequence[Route] = ROUTES, default: str = "n
 def notifications(
     firing: DataFrame,
     group_by: Sequence[str] = ("alertname", "cluster", "service"),
-    repeat_seconds: int = 3600,
+    repeat_seconds: int | None = 3600,
     ts: str = "eval_ts",
+    routes: Sequence[Route] = ROUTES,
 ) -> DataFrame:
-    """Times at which a group notifies: its first evaluation, then once per repeat interval."""
-    return first_sights(firing, group_by, ts, repeat_seconds, inclusive=True)
+    """Times at which a group notifies: its first evaluation, then once per repeat interval.
+
+    With ``repeat_seconds`` None the alerts are routed first, and each receiver repeats at its own route's
+    interval; the receiver is then part of the group.
+    """
+    if repeat_seconds is not None:
+        return first_sights(firing, group_by, ts, repeat_seconds, inclusive=True)
+    routed = route(firing, routes)
+    parts = [
+        first_sights(routed.where(F.col("repeat_seconds") == n), [*group_by, "receiver"], ts, n, inclusive=True)
+        for n in sorted({r.repeat_seconds for r in routes} | {3600})
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -13,11 +13,6 @@ from quaylight.functions.network import ip_number, network_of, parse_ip
 from quaylight.functions.text import expand_template, first_non_empty, let, lookup, non_empty, strip
 from quaylight.schema import col, present
 
-# A lookup table up to this many rows goes into the plan or is broadcast; its size is known
-# because it is a Python mapping on the driver. Larger tables join without a hint.
-LITERAL_ROWS = 64
-BROADCAST_ROWS = 100_000
-
 
 def _no_tags() -> Column:
     return F.create_map().cast("map<string,string>")
@@ -111,22 +106,11 @@ def geo_hint(
     out = out.withColumn("__num", ip_number(F.col("__ip")))
 
     def attach(left: DataFrame, rows: list, key: Column, label: str) -> DataFrame:
-        if len(rows) <= LITERAL_ROWS:
-            table = F.create_map(
-                *[
-                    x
-                    for k, order, place in rows
-                    for x in (F.lit(k), F.struct(F.lit(order).alias("o"), _literal_map(place).alias("p")))
-                ]
-            )
-            return left.withColumn(label, F.try_element_at(table, key))
         kind = "string" if isinstance(rows[0][0], str) else "bigint"
         small = spark.createDataFrame(
             [(k, (o, dict(p))) for k, o, p in rows],
             f"__k {kind}, {label} struct<o:int,p:map<string,string>>",
         )
-        if len(rows) <= BROADCAST_ROWS:
-            small = F.broadcast(small)
         return left.join(small, key == F.col("__k"), "left").drop("__k")
 
     exact = [(ip, 0, place) for ip, place in ip_map.items()]
@@ -153,12 +137,6 @@ def geo_hint(
     return out.withColumn(name, place).drop("__ip", "__num", *labels)
 
 
-def _literal_map(values: Mapping[str, str]) -> Column:
-    if not values:
-        return _no_tags()
-    return F.create_map(*[F.lit(str(x)) for item in values.items() for x in item])
-
-
 def site_env(
     c: Column, patterns: Sequence[tuple[str, Mapping[str, str]]] = fixed.SITE_PATTERNS
 ) -> Column:

@@ -8,6 +8,7 @@ a window over that piece, and only the one-row-per-piece summary is ordered alon
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,6 +74,13 @@ def spread(df: DataFrame, step: str, n: int) -> DataFrame:
     return df.withColumn(step, F.explode(F.sequence(F.col(step), F.col(step) + F.lit(n - 1))))
 
 
+def matched(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join on ``on`` where a missing value equals a missing value."""
+    keys = right.select(*[col(c).alias(f"__on{i}") for i, c in enumerate(on)]).distinct()
+    same = [left[f"`{c}`"].eqNullSafe(keys[f"__on{i}"]) for i, c in enumerate(on)]
+    return left.join(keys, reduce(Column.__and__, same), how)
+
+
 def steps_of(range_seconds: int, step_seconds: int) -> int:
     if range_seconds % step_seconds:
         raise ValueError("the range must be a multiple of the step")

@@ -10,7 +10,6 @@ from quaylight.operators import annotate, enrich, flow, project, redact, store
 from quaylight.plans import shapes as sh
 from quaylight.plans.registry import query
 from quaylight.plans.shapes import AS_OF, EVENTS_SQL, stamp, table, with_parts
-from quaylight.session import widen
 
 EV = with_parts(EVENTS_SQL)
 SALT = "pepper"
@@ -24,7 +23,7 @@ SERVICE_SQL = (
 
 
 def _texts(spark, folder):
-    return widen(table(spark, folder, "documents").select("doc_id", "text"))
+    return table(spark, folder, "documents").select("doc_id", "text")
 
 
 def flagship(spark, folder):
@@ -41,7 +40,7 @@ def flagship(spark, folder):
         },
         AS_OF,
     )
-    done = flow.run_steps(widen(sh.events(spark, folder)), steps)
+    done = flow.run_steps(sh.events(spark, folder), steps)
     return (
         done.groupBy("type", F.date_trunc("hour", "ts").alias("hour"))
         .agg(
@@ -408,7 +407,7 @@ def annotation_merge(spark, folder):
 )
 def full_event_flow(spark, folder):
     """All configured steps as one plan."""
-    e = widen(sh.events(spark, folder)).withColumn(
+    e = sh.events(spark, folder).withColumn(
         "timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     )
     steps = flow.build_steps(

@@ -137,3 +137,40 @@ def test_burn(spark):
     out = m.fast_burn(series([1.0, 0.9, 1.0]), series([0.1, 0.1, 2.0, 0.1]), series([0.0]))
     assert [b for _, b in secs(out, "burning")] == [False, True, True, False]
     assert [b for _, b in secs(m.slow_burn(series([1.0, 0.99])), "burning")] == [False, True]
+
+
+def _at(spark, rows, schema):
+    return spark.createDataFrame(rows, schema).withColumn("eval_ts", F.timestamp_seconds("t")).drop("t")
+
+
+def test_overlapping_inhibitions_all_count(spark):
+    firing = _at(spark, [(0, "NoIngestEvents", "a", "x"), (0, "HighWritesLatency", "a", "x"), (0, "HighReadLatency", "b", "x"), (0, "ServiceDown", None, "x"), (0, "DiskWritesSlow", None, "x")], "t int, alertname string, job string, zone string")
+    left = {r.alertname for r in al.inhibit(firing).collect()}
+    assert left == {"NoIngestEvents", "HighReadLatency", "ServiceDown"}
+    twice = [al.Inhibition("NoIngestEvents", "High.*", ("job",)), al.Inhibition("NoIngestEvents", "High.*", ("zone",))]
+    assert {r.alertname for r in al.inhibit(firing, twice).collect()} == {"NoIngestEvents", "ServiceDown", "DiskWritesSlow"}
+
+
+def test_missing_labels_are_equal(spark):
+    left = _at(spark, [(0, None), (0, "a"), (60, None)], "t int, sink string")
+    right = _at(spark, [(0, None)], "t int, sink string")
+    assert [r.sink for r in al.both(left, right, ["sink"]).collect()] == [None]
+    assert al.unless(left, right, ["sink"]).count() == 2
+    assert al.either(left, right, ["sink"]).count() == 3
+
+
+def test_silence_of_late_born_and_unlabelled_series(spark):
+    rows = [(0, "s", None, 1.0), (30, "s", None, 2.0), (70, "s", None, 2.0), (5000, "late", "b", 1.0)]
+    series = spark.createDataFrame(rows, "t int, series string, sink string, value double").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    found = al.silent(series, 60, 60, "1970-01-01 00:03:00", ("series", "sink")).collect()
+    assert {r.series for r in found} == {"s"}
+    grown = {r.eval_ts for r in m.increase(series, 60, ("series", "sink"), 60).where("increase > 0").collect()}
+    assert grown and not grown & {r.eval_ts for r in found}
+
+
+def test_routes_repeat_at_their_own_interval(spark):
+    routes = (al.Route("fast", {"severity": "critical"}, 600), al.Route("slow", {"severity": "warning"}, 1800))
+    rows = [(t, "A", "critical") for t in range(0, 3600, 300)] + [(t, "B", "warning") for t in range(0, 3600, 300)]
+    firing = _at(spark, rows, "t int, alertname string, severity string")
+    sent = al.notifications(firing, ("alertname",), None, routes=routes).groupBy("receiver").count().collect()
+    assert {r.receiver: r["count"] for r in sent} == {"fast": 6, "slow": 2}
