@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaylight import fixed
-from quaylight.functions.text import found_sql, hash_text, literal, mask_sql, printed
+from quaylight.functions.text import found_sql, hash_text, literal, mask_json_sql, mask_sql, printed
 from quaylight.schema import col, holds_text, leaves_sql, quoted, rewrite_sql
 
+#: Columns of JSON text of undeclared shape.
+JSON_COLUMNS = ("data",)
+
 
 def drop_fields(df: DataFrame, names: Sequence[str], payload: str | None = None) -> DataFrame:
     """Drop top-level columns; with ``payload`` also those keys of a map column."""
@@ -32,53 +35,28 @@ def mask_patterns(
     mask_length: int = 8,
     columns: Sequence[str] | None = None,
     unicode: bool = True,
+    json_columns: Sequence[str] = JSON_COLUMNS,
 ) -> DataFrame:
-    """Mask every string of the declared schema, however deeply nested."""
+    """Mask every string of the declared schema, however deeply nested.
+
+    Top-level columns of JSON text (``json_columns``) stay JSON: only the string values in it are masked.
+    """
     names = set(columns if columns is not None else df.columns)
 
     def cover(text: str) -> str:
         return mask_sql(text, patterns, mask_char, mask_length, unicode)
 
+    def cover_json(text: str) -> str:
+        return mask_json_sql(text, patterns, mask_char, mask_length, unicode)
+
     changed = {
-        f.name: F.expr(rewrite_sql(quoted(f.name), f.dataType, cover))
+        f.name: F.expr(rewrite_sql(quoted(f.name), f.dataType, cover_json if f.name in json_columns else cover))
         for f in df.schema
         if f.name in names and holds_text(f.dataType)
     }
     return df.withColumns(changed) if changed else df
 
 
-def mask_json(
-    text: Column, patterns: Sequence[str], mask_char: str = "*", mask_length: int = 8
-) -> Column:
-    """Mask the string values of undeclared JSON text; keys and text that is not JSON stay.
-
-    The shape is unknown to the plan, so this is the one place a vectorised Python function is used.
-    """
-    compiled = [re.compile(p, re.IGNORECASE) for p in patterns]
-
-    def cover(value):
-        if isinstance(value, dict):
-            return {k: cover(v) for k, v in value.items()}
-        if isinstance(value, list):
-            return [cover(v) for v in value]
-        if isinstance(value, str):
-            for pattern in compiled:
-                value = pattern.sub(lambda m: mask_char * min(len(m[0]), mask_length), value)
-        return value
-
-    def one(doc):
-        try:
-            return json.dumps(cover(json.loads(doc)), separators=(",", ":"), ensure_ascii=False)
-        except (TypeError, ValueError):
-            return doc
-
-    @F.pandas_udf("string")
-    def mask(docs: pd.Series) -> pd.Series:
-        return docs.map(one)
-
-    return mask(text)
-
-
 def hash_fields(
     df: DataFrame,
     names: Sequence[str] = fixed.HASH_FIELDS,
@@ -119,20 +97,63 @@ def redact(df: DataFrame, config: Mapping) -> DataFrame:
     return df
 
 
+def json_leaves(name: str):
+    """The (path, text) of every string value in JSON text, ``name`` first in each path.
+
+    The shape is unknown to the plan, so a vectorised Python function walks it; text that is not JSON is one
+    string of its own.
+    """
+
+    def walk(value, path: str, out: list[dict]) -> list[dict]:
+        if isinstance(value, dict):
+            for k, v in value.items():
+                walk(v, f"{path}.{k}", out)
+        elif isinstance(value, list):
+            for i, v in enumerate(value):
+                walk(v, f"{path}[{i}]", out)
+        elif isinstance(value, str):
+            out.append({"path": path, "text": value})
+        return out
+
+    def one(text: str | None) -> list[dict]:
+        if text is None:
+            return []
+        try:
+            return walk(json.loads(text), name, [])
+        except ValueError:
+            return [{"path": name, "text": text}]
+
+    @F.pandas_udf("array<struct<path:string,text:string>>")
+    def leaves(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return leaves
+
+
 def detect_pii(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     patterns: Sequence[tuple[str, str]] = fixed.PII_PATTERNS,
     name: str = "pii_findings",
     unicode: bool = True,
+    json_columns: Sequence[str] = JSON_COLUMNS,
 ) -> DataFrame:
-    """Add an array of ``struct(path, type, text)``, one per (string, matching pattern)."""
+    """Add an array of ``struct(path, type, text)``, one per (string, matching pattern).
+
+    Columns of JSON text (``json_columns``) are walked by value: ``data.user.mail``, not ``data``.
+    """
     wanted = set(columns if columns is not None else df.columns)
+    walked = [f.name for f in df.schema if f.name in wanted and f.name in json_columns and isinstance(f.dataType, T.StringType)]
+    if walked:
+        own = df.columns
+        opened = df.withColumns({f"__json_{c}": json_leaves(c)(col(c)) for c in walked})
+        found = detect_pii(opened, [c for c in own if c in wanted and c not in walked] + [f"__json_{c}" for c in walked], patterns, name, unicode, ())
+        return found.select(*[col(c) for c in own if c != name], name)
     leaves = [
         f"coalesce({leaf}, cast(array() AS array<struct<path:string,text:string>>))"
         for f in df.schema
         if f.name in wanted
-        for leaf in leaves_sql(quoted(f.name), f.dataType, literal(f.name))
+        for leaf in ([quoted(f.name)] if f.name.startswith("__json_") else leaves_sql(quoted(f.name), f.dataType, literal(f.name)))
     ]
     if not leaves:
         none = F.array().cast("array<struct<path:string,type:string,text:string>>")

@@ -1,3 +1,4 @@
+import json
 import hashlib
 import re
 
@@ -40,7 +41,7 @@ def test_mask_nested_and_json(spark):
     )
     r = redact.mask_patterns(df, columns=["a", "m", "none"]).first()
     assert r.a.b == ["********", "fine"] and r.a.n == 3 and r.m == {"k": "******"} and r.none is None
-    j = df.select(redact.mask_json(F.col("j"), fixed.MASK_PATTERNS).alias("j")).first().j
+    j = redact.mask_patterns(df, columns=["j"], json_columns=["j"]).first().j
     assert j == '{"x":{"y":["********"]},"n":2}'
 
 
@@ -162,3 +163,18 @@ def test_flow_order_and_skips(spark):
     seen_df, seen = flow.observed(df, F.col("severity").isNotNull())
     seen_df.count()
     assert seen.get == {"total": 1, "processed": 1, "errors": 0}
+
+
+def test_payload_is_masked_and_walked_by_value(spark):
+    docs = [
+        r'{"note":"token=abc","n":1.50,"token=k":[true,null,"a\"token=\u0041\\ x"]}', '{"ok": "fine", "deep": {"mail": ["x", "a@b.co"]}}', "password=1 no json", None, "[]", '"token=zz"',
+        json.dumps({"long": ["line\n" * 3000, "token=q"]}),
+    ]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, data string")
+    patterns = [r"token=\S+", r"password=\S+"]
+    got = [r.data for r in redact.mask_patterns(df, patterns).orderBy("id").collect()]
+    assert json.loads(got[0]) == {"note": "********", "n": 1.5, "token=k": [True, None, 'a"******** x']}
+    assert got[1] == docs[1] and got[2] == "******** no json" and got[3] is None and got[4] == "[]" and got[5] == '"********"'
+    assert json.loads(got[6]) == {"long": ["line\n" * 3000, "*******"]}
+    found = redact.detect_pii(df, patterns=[("email", r"\w+@\w+\.\w+"), ("password", r"password=\S+")]).orderBy("id").collect()
+    assert [[(f.path, f.type) for f in r.pii_findings] for r in found] == [[], [("data.deep.mail[1]", "email")], [("data", "password")], [], [], [], []]
