@@ -167,6 +167,12 @@ def detect_pii(
     return df.withColumn(name, F.expr(found))
 
 
+def pii_flag(df: DataFrame, name: str = "pii_findings", flag: str = "quarantined") -> DataFrame:
+    """Every row with whether it has findings: written partitioned by the flag, good rows and quarantine
+    come from one detection."""
+    return df.withColumn(flag, F.coalesce(F.size(col(name)), F.lit(0)) > 0)
+
+
 def pii_gate(
     df: DataFrame, strict: bool = True, name: str = "pii_findings"
 ) -> tuple[DataFrame, DataFrame]:

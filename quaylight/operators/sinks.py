@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +17,16 @@ Sink = Callable[[DataFrame, int], dict[str, int]]
 STATS = "batch_id BIGINT, sink STRING, written BIGINT, errors BIGINT, retries BIGINT, queued BIGINT"
 
 
-def file_sink(path: str, prepare: Callable[[DataFrame], DataFrame]) -> Sink:
-    """Parquet sink: each batch overwrites its own folder, so a replay changes nothing."""
+def file_sink(path: str, prepare: Callable[[DataFrame], DataFrame], by: Sequence[str] = ()) -> Sink:
+    """Parquet sink: each batch overwrites its own folder, so a replay changes nothing.
+
+    Inside it rows are partitioned by the columns ``by``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> dict[str, int]:
         seen = Observation()
         rows = prepare(batch).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch_id={batch_id}")
         return {"written": seen.get["n"], "errors": 0, "retries": 0, "queued": 0}
 
     return write

@@ -55,18 +55,27 @@ def append(rows: DataFrame, path: str, mode: str = "append") -> None:
     small ones by size. It needs no sampling pass over the (costly) steps before it. Sorting keeps
     (type, ts) runs together, so row groups can be skipped.
     """
-    (
-        rows.withColumn("event_date", F.to_date("ts"))
-        .hint("rebalance", "event_date")
-        .sortWithinPartitions("event_date", "type", "ts")
-        .write.mode(mode)
-        .partitionBy("event_date")
-        .parquet(path)
-    )
+    dated(rows).write.mode(mode).partitionBy("event_date").parquet(path)
+
+
+def dated(rows: DataFrame) -> DataFrame:
+    """Rows with their day, dealt and sorted for writing."""
+    days = rows.withColumn("event_date", F.to_date("ts")).hint("rebalance", "event_date")
+    return days.sortWithinPartitions("event_date", "type", "ts")
+
+
+def compact(spark: SparkSession, streamed: str, path: str) -> None:
+    """Rewrite the batch folders of a streamed store as one day-partitioned store (a periodic batch job).
+
+    ``read`` takes either layout; many small batches list and scan slowly.
+    """
+    append(read(spark, streamed).drop("event_date"), path, "overwrite")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORED_EVENT + ", event_date DATE").parquet(path)
+    """A store as ``append`` or the streaming sink leaves it: days, or days inside batches."""
+    stored = spark.read.schema(STORED_EVENT + ", event_date DATE").option("recursiveFileLookup", "false").parquet(path)
+    return stored.select(*[f.strip().split(" ")[0] for f in STORED_EVENT.split(",")], "event_date")
 
 
 def in_range(

@@ -118,6 +118,28 @@ def mask_patterns(spark, folder):
     return d.select("doc_id", F.md5("text").alias("masked"), F.length("text").cast("bigint").alias("n"))
 
 
+def _payloads(spark, folder):
+    """Texts inside JSON payloads: a value under a key that itself looks like a secret."""
+    doc = F.struct(F.lit("x").alias("token=k"), F.struct(F.array("text").alias("lines"), "doc_id").alias("body"))
+    return table(spark, folder, "documents").select("doc_id", F.to_json(doc).alias("data"))
+
+
+@query(
+    with_parts(*_parts)
+    + f"SELECT doc_id, md5(t) AS masked, true AS is_json, true AS key_kept, doc_id AS number FROM {_last}"
+)
+def mask_payload(spark, folder):
+    """Values inside JSON are masked; it stays JSON, and keys and numbers stay as they are."""
+    d = redact.mask_patterns(_payloads(spark, folder)).select("doc_id", F.try_parse_json("data").alias("v"))
+    return d.select(
+        "doc_id",
+        F.md5(F.try_variant_get("v", "$.body.lines[0]", "string")).alias("masked"),
+        F.col("v").isNotNull().alias("is_json"),
+        (F.try_variant_get("v", "$['token=k']", "string") == "x").alias("key_kept"),
+        F.try_variant_get("v", "$.body.doc_id", "bigint").alias("number"),
+    )
+
+
 _parts2, _last2 = _mask_sql([r"value=\d+", r"user-\d+"], "flat", "event_id", "t0")
 
 
@@ -193,11 +215,14 @@ def pii_detect(spark, folder):
     f"WITH p AS ({_PII_SQL}) SELECT d.doc_id, d.doc_id IN (SELECT doc_id FROM p) AS quarantined FROM documents d"
 )
 def pii_gate(spark, folder):
-    d = redact.detect_pii(_texts(spark, folder), ["text"])
-    good, bad = redact.pii_gate(d)
-    return good.select("doc_id", F.lit(False).alias("quarantined")).unionByName(
-        bad.select("doc_id", F.lit(True).alias("quarantined"))
-    )
+    """One pass: every row with its verdict; writers split on the flag."""
+    return redact.pii_flag(redact.detect_pii(_texts(spark, folder), ["text"])).select("doc_id", "quarantined")
+
+
+@query(_PII_SQL.replace("'text' AS path", "'data.body.lines[0]' AS path"))
+def pii_payload(spark, folder):
+    """Findings inside JSON carry the path of the value."""
+    return redact.explode_pii(redact.detect_pii(_payloads(spark, folder), ["data"])).select("doc_id", "path", "type")
 
 
 @query(f"WITH p AS ({_PII_SQL}) SELECT type, count(*) AS findings, count(DISTINCT doc_id) AS events FROM p GROUP BY 1")

@@ -40,6 +40,45 @@ def envelope_source(spark, folder):
     return accepted.withColumn("message", F.md5("message"))
 
 
+def _open_envelopes(spark, folder):
+    """Envelopes with undeclared keys in their messages; every 7th document is cut off."""
+    c = table(spark, folder, "conversations")
+    message = F.struct(
+        F.when(F.col("role") != "system", F.col("role")).alias("type"),
+        F.col("text").alias("message"),
+        F.struct(F.col("conv_id").alias("conv"), F.lit("own").alias("kind")).alias("data"),
+        F.col("turn").alias("turn"),
+        F.lit("outer").alias("kind"),
+    )
+    text = F.to_json(F.struct(F.array(message).alias("messages"), F.lit(1).alias("batch_size")))
+    broken = F.pmod("conv_id", F.lit(7)) == 0
+    docs = c.select(F.when(broken, F.concat(F.lit("{"), F.col("text"))).otherwise(text).alias("document"))
+    return envelopes.parse(docs, F.col("document"), "VARIANT")
+
+
+@query(
+    "SELECT role AS type, md5(text) AS message, conv_id AS conv, turn, 'own' AS kind FROM conversations WHERE role <> 'system' AND conv_id % 7 <> 0"
+)
+def envelope_extras(spark, folder):
+    """Undeclared keys of a message are kept in its payload; the payload's own keys win."""
+    accepted, _ = envelopes.split_valid(envelopes.open_messages(_open_envelopes(spark, folder)))
+    v = F.try_parse_json("data")
+    return accepted.select(
+        "type", F.md5("message").alias("message"), F.try_variant_get(v, "$.conv", "bigint").alias("conv"),
+        F.try_variant_get(v, "$.turn", "bigint").alias("turn"), F.try_variant_get(v, "$.kind", "string").alias("kind"),
+    )
+
+
+@query(
+    "SELECT CASE WHEN conv_id % 7 = 0 THEN 'corrupt document' ELSE 'no type' END AS reason, count(*) AS n "
+    "FROM conversations WHERE conv_id % 7 = 0 OR role = 'system' GROUP BY 1"
+)
+def envelope_corrupt(spark, folder):
+    """Documents that cannot be read and messages without a type both reach the rejects."""
+    e = _open_envelopes(spark, folder)
+    return envelopes.rejects(e, envelopes.open_messages(e)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT conv_id * 1000 + turn AS id FROM conversations WHERE role = 'system'")
 def envelope_rejects(spark, folder):
     _, rejected = envelopes.split_valid(_envelope_rows(spark, folder))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quaylight.operators import failures as batch_failures
 from quaylight.operators import flow
+from quaylight.operators import store as event_store
 from quaylight.sources import rawlog
 from quaylight.streaming import failures, ingest, windows
 
@@ -33,15 +34,26 @@ def test_ingest_to_both_sinks(spark, tmp_path):
     steps = flow.build_steps({"redaction": {"mask_patterns": [r"token=\S+"]}, "enrichment": {"add_tags": {"v": "1"}}}, "2024-01-02T00:00:00Z")
     sinks = {"store": ingest.store_sink(str(tmp_path / "store"), "2024-01-02"), "logs": ingest.log_sink(str(tmp_path / "logs"), "2024-01-02")}
     args = (events, steps, sinks, str(tmp_path / "ckpt"), str(tmp_path / "stats"))
-    ingest.run_ingest(*args).awaitTermination(120)
-    ingest.run_ingest(*args).awaitTermination(120)  # nothing new: files are read once
+    quarantine = str(tmp_path / "quarantine")
+    ingest.run_ingest(*args, quarantine=quarantine).awaitTermination(120)
+    (tmp_path / "in" / "broken.json").write_text('{"messages": [{"type": "cut')
+    (tmp_path / "in" / "extra.json").write_text(json.dumps({"messages": [{"type": "late", "shard": 7, "timestamp": "2024-01-05T00:00:00Z"}]}))
+    ingest.run_ingest(*args, quarantine=quarantine).awaitTermination(120)  # the first files are not read again
+    refused = spark.read.parquet(quarantine).groupBy("rejected").count().collect()
+    assert {r.rejected: r["count"] for r in refused} == {"no type": 2, "corrupt document": 1}
+    whole = event_store.read(spark, str(tmp_path / "store"))
+    late = event_store.query_events(whole, start="2024-01-04", end="2024-01-06").collect()
+    assert [r.type for r in late] == ["late"] and json.loads(json.loads(late[0].data)["data"]) == {"shard": 7}
+    event_store.compact(spark, str(tmp_path / "store"), str(tmp_path / "compact"))
+    assert event_store.read(spark, str(tmp_path / "compact")).count() == 3
     store = spark.read.parquet(str(tmp_path / "store"))
+    store = store.where("type = 'syslog'")
     assert store.count() == 2 and store.select("id").distinct().count() == 2
     assert all("********" in r.data for r in store.collect())
     lines = spark.read.parquet(str(tmp_path / "logs"))
-    assert {r.labels["severity"] for r in lines.collect()} == {"error"} and lines.count() == 2
+    assert {r.labels.get("severity") for r in lines.collect()} == {"error", None} and lines.count() == 3
     stats = spark.read.parquet(str(tmp_path / "stats"))
-    assert stats.agg(F.sum("written")).first()[0] == 4
+    assert stats.agg(F.sum("written")).first()[0] == 6
 
 
 def test_windows_match_batch(spark, tmp_path):
