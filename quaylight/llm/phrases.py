@@ -11,6 +11,9 @@ A window is ``WINDOW`` consecutive words. Documents are dealt into buckets, one
    documents through. Since a window always holds a whole aligned block of ``BLOCK`` words, the automaton holds
    the passages' blocks; each occurrence is then followed to both sides, word by word, to its full length.
 
+A row whose whole text a smaller document has too is one occurrence of that document: it owns nothing, so only
+its first copy takes part in the search, and the copies are marked in their buckets.
+
 What decides is the text itself, not hashes. A passage that a third of all documents share has one owner and
 reaches each bucket once; rows that repeat a window are reduced in their bucket before they are shuffled.
 """
@@ -87,10 +90,18 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 CANDIDATES = "w bigint, bucket int, low bigint, high bigint"
 
 
+def _copies(bucket: pa.Table, marks: pa.Table) -> np.ndarray:
+    """Which rows of a bucket are marked as copies."""
+    marks = marks.filter(marks.column("copy").is_valid())
+    known = set(zip(marks.column("copy").to_pylist(), marks.column("digest").to_pylist(), strict=True))
+    return np.array([k in known for k in zip(_ids(bucket.column("doc_id")).tolist(), bucket.column("digest").to_pylist(), strict=True)], bool)
+
+
 def _candidates(bucket: pa.Table, anchors: pa.Table) -> pa.Table:
     """Windows of a bucket under recurring anchors, each once, with its smallest and largest document."""
+    bucket = bucket.filter(pa.array(~_copies(bucket, anchors)))
     w, anchor, row, _ = _windows(bucket.column("text"))
-    known = np.sort(anchors.column("anchor").to_numpy().astype(np.uint64))
+    known = np.sort(anchors.column("anchor").drop_null().to_numpy().astype(np.uint64))
     at = np.minimum(np.searchsorted(known, anchor), max(len(known) - 1, 0))
     take = known[at] == anchor if len(known) else np.zeros(len(w), bool)
     w, doc = w[take], _ids(bucket.column("doc_id"))[row[take]]
@@ -114,6 +125,7 @@ def _passages(bucket: pa.Table, wanted: pa.Table) -> pa.Table:
     if wanted.num_rows and bucket.num_rows:
         ids = _ids(bucket.column("doc_id"))
         w, _, row, place = _windows(bucket.column("text"))
+        # Copies come after the owner in the order below, so they need not be left out.
         # The smallest document of a window owns it, so in this bucket its first place is the owner's.
         order = np.lexsort((place, row, ids[row], w))
         at = order[np.searchsorted(w[order], wanted.column("w").to_numpy().astype(np.uint64))]
@@ -193,11 +205,16 @@ class PassageAutomaton:
 
 def _located(make: Callable[[pa.Table, list[list[str]], Spans], pa.Table]):
     def task(bucket: pa.Table, passages: pa.Table) -> pa.Table:
+        copies = _copies(bucket, passages)
+        passages = passages.filter(passages.column("passage").is_valid())
         automaton = PassageAutomaton(sorted(zip(passages.column("owner").to_pylist(), passages.column("passage").to_pylist(), strict=True)))
         words = [t.as_py().encode().split() if t.is_valid else [] for t in bucket.column("text")]
         texts = [b"\n".join(w).decode().split("\n") if w else [] for w in words]
-        spans = [automaton.covered(int(d), w) for d, w in zip(_ids(bucket.column("doc_id")), texts, strict=True)]
-        return make(bucket, texts, spans)
+        spans = [
+            ([(0, len(w))] if len(w) >= WINDOW else []) if copy else automaton.covered(int(d), w)
+            for d, w, copy in zip(_ids(bucket.column("doc_id")), texts, copies, strict=True)
+        ]
+        return make(bucket.drop_columns(["digest"]), texts, spans)
 
     return task
 
@@ -206,15 +223,23 @@ def _bucketed(docs: DataFrame, bucket_bytes: int) -> DataFrame:
     """``docs`` with a bucket of about ``bucket_bytes`` text each, by what a row holds."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n = max(2 * shuffle_partitions(docs.sparkSession), -(-total // bucket_bytes))
-    return docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    return docs.withColumn("digest", F.xxhash64("text")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(n)).cast("int"))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    """(bucket, copy, digest) of rows with the text of a smaller doc_id."""
+    keys = rows.where("text is not null").select("bucket", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("copy"), "digest", F.xxhash64(F.lit("again"), "text").alias("again"))
+    first = keys.groupBy("digest", "again").agg(F.min("copy").alias("first"), F.max("copy").alias("last")).where("first < last").drop("last")
+    return keys.join(first, ["digest", "again"]).where("copy > first").select("bucket", "copy", "digest").distinct()
 
 
 def _with_repeats(docs: DataFrame, make: Callable[[pa.Table, list[list[str]], Spans], pa.Table], schema: str, bucket_bytes: int) -> DataFrame:
     rows = _bucketed(docs, bucket_bytes)
-    slim = rows.select("bucket", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    slim = rows.select("bucket", "digest", F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    marks = stored(_marked(rows), "copies")
     anchors = _anchor_rows(slim)
     common = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    sought = stored(anchors.join(common, "anchor", "left_semi").distinct(), "anchors")
+    sought = stored(anchors.join(common, "anchor", "left_semi").distinct().unionByName(marks, allowMissingColumns=True), "anchors")
     found = slim.groupBy("bucket").cogroup(sought.groupBy("bucket")).applyInArrow(_candidates, CANDIDATES)
     found = stored(found, "windows")
     discard(sought)
@@ -225,6 +250,7 @@ def _with_repeats(docs: DataFrame, make: Callable[[pa.Table, list[list[str]], Sp
     discard(found)
     passages = stored(slim.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_passages, PASSAGES), "passages")
     discard(wanted)
+    passages = passages.unionByName(marks, allowMissingColumns=True)
     return rows.groupBy("bucket").cogroup(passages.groupBy("bucket")).applyInArrow(_located(make), schema)
 
 
@@ -294,7 +320,7 @@ def without_repeats(docs: DataFrame, min_words: int = 0, bucket_bytes: int = BUC
                 table = table.set_column(at, table.schema.field(at), pa.array(values, table.schema.field(at).type))
         return table.filter(pa.array(keep))
 
-    clash = "bucket" in docs.columns
-    rows = docs.withColumnRenamed("bucket", "__own_bucket") if clash else docs
+    hidden = {c: f"__own_{c}" for c in ("bucket", "digest") if c in docs.columns}
+    rows = docs.withColumnsRenamed(hidden)
     out = _with_repeats(rows, make, rows.schema, bucket_bytes)
-    return (out.withColumnRenamed("__own_bucket", "bucket") if clash else out).select(*schema.names)
+    return out.withColumnsRenamed({v: k for k, v in hidden.items()}).select(*schema.names)

@@ -83,7 +83,7 @@ def test_repeats_without_ids_repeated_rows_and_empty(spark):
 
 
 def test_repeats_cut_from_documents(spark, corpus):
-    frame = spark.createDataFrame(rows_of(corpus), SCHEMA).withColumn("bucket", F.lit("mine"))
+    frame = spark.createDataFrame(rows_of(corpus), SCHEMA).withColumn("bucket", F.lit("mine")).withColumn("digest", F.lit(1))
     out = phrases.without_repeats(frame, min_words=1)
     assert out.columns == frame.columns
     want, before = removed(corpus), dict(corpus)
