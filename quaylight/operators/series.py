@@ -1,7 +1,7 @@
 """Shared building blocks for ordered work without one task per key.
 
 A key may hold any share of the rows, so ordered steps are split: rows are first cut into bounded
-pieces (an evaluation step, or a range of unique ids), each piece is reduced by a hash aggregate or
+pieces (an evaluation step, or a range of ids), each piece is reduced by a hash aggregate or
 a window over that piece, and only the one-row-per-piece summary is ordered along the whole key.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,36 +25,25 @@ def label_key(labels: Column) -> Column:
 
 
 def numbered(
-    df: DataFrame, id_col: str, piece_rows: int = 100_000, name: str = "row_index"
+    df: DataFrame, id_col: str, parts: int | None = None, name: str = "row_index"
 ) -> DataFrame:
-    """Number rows 0, 1, 2, ... in the order of a unique integer id.
+    """Number rows 0, 1, 2, ... in the order of any orderable id.
 
-    Ids are unique, so a range of ``piece_rows`` ids holds at most that many rows: no piece can be
-    hot. Offsets come from prefix sums over per-piece counts, themselves summed in two levels.
+    Rows are range partitioned by the id (in ``parts``, or the session's number), sorted and written to the shared checkpoint folder once. A row's
+    number is its place in its partition plus the rows of all partitions before; only one count per partition
+    is gathered. Equal ids keep the order they were written in.
     """
-    piece = F.call_function("div", col(id_col) - F.pmod(col(id_col), F.lit(piece_rows)), F.lit(piece_rows))
-    rows = df.withColumn("__piece", piece)
-    counts = rows.groupBy("__piece").agg(F.count("*").alias("__n"))
-    block = F.call_function("div", F.col("__piece") - F.pmod("__piece", F.lit(10_000)), F.lit(10_000))
-    counts = counts.withColumn("__block", block)
-    inner = Window.partitionBy("__block").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        counts.groupBy("__block")
-        .agg(F.sum("__n").alias("__bn"))
-        .select("__block", F.coalesce(F.sum("__bn").over(outer), F.lit(0)).alias("__boff"))
-    )
-    offsets = (
-        counts.withColumn("__in", F.coalesce(F.sum("__n").over(inner), F.lit(0)))
-        .join(blocks, "__block")
-        .select("__piece", (F.col("__in") + F.col("__boff")).alias("__off"))
-    )
-    order = Window.partitionBy("__piece").orderBy(id_col)
-    return (
-        rows.join(offsets, "__piece")
-        .withColumn(name, F.col("__off") + F.row_number().over(order) - 1)
-        .drop("__piece", "__off")
-    )
+    by = [col(id_col)] if parts is None else [parts, col(id_col)]
+    ranged = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(col(id_col)))
+    placed = ranged.withColumn("__at", F.monotonically_increasing_id())
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for i in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(i, 0)
+    offset = F.element_at(F.lit(np.array(before or [0], np.int64)), part.cast("int") + 1)
+    return placed.withColumn(name, offset + place).drop("__at")
 
 
 def batches(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quaylight.operators import delivery, failures, series, sinks
 from quaylight.operators.project import sanitise
+from quaylight.operators.series import numbered
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -134,3 +135,15 @@ def test_consecutive_failures(spark, chunk):
     df = at(spark, rows, "target string, ok boolean, id int")
     out = failures.consecutive_failures(df, ["target"], "ok", chunk_seconds=chunk)
     assert {(r.target, r.id): (r.consecutive_failures, r.healthy) for r in out.collect()} == want
+
+
+def test_numbers_follow_any_orderable_id(spark):
+    ids = [hash((i, "x")) for i in range(3000)] + [-(1 << 62), 1 << 62]
+    rows = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    got = [r.id for r in numbered(rows, "id").orderBy("row_index").collect()]
+    assert got == sorted(ids)
+    texts = spark.createDataFrame([("b",), ("a",), (None,)], "id string")
+    assert {r.id: r.row_index for r in numbered(texts, "id").collect()} == {None: 0, "a": 1, "b": 2}
+    assert numbered(rows.limit(0), "id").count() == 0
+    plan = numbered(rows, "id")._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
