@@ -12,7 +12,7 @@ an item larger than a shard has one to itself.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -161,17 +161,27 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     words; null or empty items and items without an id have no windows; items that repeat count once; rows
     that repeat are each judged; with an empty benchmark nothing is hit.
     """
-    spark = docs.sparkSession
     own = docs.drop("n_words", "spans", "items", "__held", "__found")
-    found = own.withColumn("__held", F.lit(None).cast("array<struct<start:int,length:int>>")).withColumn("__found", F.lit(None).cast("array<bigint>")).withColumn("n_words", F.lit(0).cast("bigint"))
-    shards = list(map(lambda s: spark.sparkContext.broadcast(ItemAutomaton(s, window)), _shards(benchmark, shard_words))) or [spark.sparkContext.broadcast(ItemAutomaton([], window))]
-    for shard in shards:
-        found = found.mapInArrow(_search(shard), found.schema)
+    found = _scanned(own, benchmark, window, shard_words)
     spans = F.coalesce("__held", F.expr("array()").cast("array<struct<start:int,length:int>>"))
     return found.select(*own.columns, "n_words", spans.alias("spans"), F.coalesce("__found", F.expr("array()").cast("array<bigint>")).alias("items"))
 
 
-def _search(shard):
+#: What becomes of a batch once all shards have seen it: its columns and the hit spans, to the columns that stay.
+Finish = Callable[[dict[str, pa.Array], list[list[dict] | None], list[int]], dict[str, pa.Array]]
+
+
+def _scanned(own: DataFrame, benchmark: DataFrame, window: int, shard_words: int, finish: Finish | None = None) -> DataFrame:
+    """``own`` with n_words, __held and __found; ``finish`` runs in the pass of the last shard."""
+    spark = own.sparkSession
+    found = own.withColumn("__held", F.lit(None).cast("array<struct<start:int,length:int>>")).withColumn("__found", F.lit(None).cast("array<bigint>")).withColumn("n_words", F.lit(0).cast("bigint"))
+    shards = [spark.sparkContext.broadcast(ItemAutomaton(s, window)) for s in _shards(benchmark, shard_words)] or [spark.sparkContext.broadcast(ItemAutomaton([], window))]
+    for shard in shards:
+        found = found.mapInArrow(_search(shard, finish if shard is shards[-1] else None), found.schema)
+    return found
+
+
+def _search(shard, finish: Finish | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: ItemAutomaton = shard.value
         for batch in batches:
@@ -187,6 +197,8 @@ def _search(shard):
             columns["n_words"] = pa.array(counts, pa.int64())
             columns["__held"] = pa.array(held, columns["__held"].type)
             columns["__found"] = pa.array(items, columns["__found"].type)
+            if finish:
+                columns = finish(columns, held, counts)
             yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
 
     return task
@@ -211,24 +223,25 @@ def strip_benchmark(docs: DataFrame, benchmark: DataFrame, min_words: int = 1, d
     is, byte for byte; in one that is, what stands between kept words stays. ``n_chars``, where there is
     such a column, follows the text.
     """
-    found = find_benchmark(docs, benchmark, window)
-    hit = F.aggregate("spans", F.lit(0), lambda a, s: a + s["length"])
-    kept = found.where(hit <= F.col("n_words") * drop_share)
-    shape = kept.schema
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, spans = batch.column("text"), batch.column("spans")
-            if any(len(s) for s in spans):
-                new = [_without(t.as_py(), s.as_py(), min_words) if len(s) else t.as_py() for t, s in zip(texts, spans, strict=True)]
-                batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(new, texts.type))
-            yield batch
-
-    out = kept.mapInArrow(task, shape).drop("n_words", "spans", "items")
-    if "n_chars" in out.columns:
-        size = F.length("text").cast(out.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), size))
-    return out.select(*docs.columns)
+    def cut(columns: dict[str, pa.Array], held: list[list[dict] | None], counts: list[int]) -> dict[str, pa.Array]:
+        if any(held):
+            texts, keep = columns["text"].to_pylist(), []
+            sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else [None] * len(texts)
+            for i, (spans, n) in enumerate(zip(held, counts, strict=True)):
+                keep.append(sum(s["length"] for s in spans or ()) <= n * drop_share)
+                if spans:
+                    texts[i] = _without(texts[i], spans, min_words)
+                    sizes[i] = None if sizes[i] is None else len(texts[i])
+            columns["text"] = pa.array(texts, columns["text"].type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            columns = {k: c.filter(pa.array(keep)) for k, c in columns.items()}
+        return columns
+
+    names = {c: f"__own_{c}" for c in ("n_words", "spans", "items") if c in docs.columns}
+    out = _scanned(docs.withColumnsRenamed(names), benchmark, window, SHARD_WORDS, cut)
+    return out.drop("n_words", "__held", "__found").withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
 
 
 def _without(text: str, spans: list[dict], min_words: int) -> str:

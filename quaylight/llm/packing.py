@@ -43,7 +43,7 @@ class WordIds:
     punctuation other than an apostrophe, so a word's ids are those of its body and of its closing marks.
     """
 
-    LIMIT, LONGEST, CHUNK = 500_000, 64, 100_000
+    LIMIT, LONGEST, CHUNK = 250_000, 64, 100_000
     MARKS = b".,!?:;|%$#&*()"
 
     def __init__(self, path: str):

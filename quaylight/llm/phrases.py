@@ -34,7 +34,7 @@ from quaylight.llm.shared import discard, shuffle_partitions, stored
 from quaylight.llm.words import text_parts, window_owner, windows, word_hashes
 
 WINDOW, ANCHOR, BLOCK = 13, 5, 7
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 LAST = (1 << 63) - 1  # the place of a null doc_id: after all others
 
 Spans = list[list[tuple[int, int]]]

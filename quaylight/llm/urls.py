@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaylight.llm.shared import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FLOOR, Z = 0.5, 2.0
 #: Prior strengths outside this range say "all alike" or "nothing in common".
@@ -88,6 +90,7 @@ def reputation(pages: DataFrame) -> DataFrame:
     """
     hosts = pages.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = stored(hosts, "hosts")  # one row per host, read several times below
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()

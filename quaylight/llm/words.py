@@ -15,7 +15,7 @@ import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
 _STEP = 0xD6E8FEB86659FD93
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
