@@ -42,13 +42,18 @@ def batch_keys(
 def drop_repeats(
     df: DataFrame, keys: Sequence[str], ts: str, id_col: str, window_seconds: int = 3600
 ) -> DataFrame:
-    """Rows that survive the windowed duplicate drop; of rows at one instant the lowest id does."""
+    """Rows that survive the windowed duplicate drop; of rows at one instant the lowest id does.
+
+    A row without a time cannot be placed in a window: all of them stay.
+    """
     kept = first_sights(df, keys, ts, window_seconds)
     rest = [c for c in df.columns if c not in (*keys, ts)]
-    firsts = df.groupBy(*keys, ts).agg(F.min_by(F.struct(*rest), id_col).alias("__row"))
+    timed = df.where(F.col(ts).isNotNull())
+    firsts = timed.groupBy(*keys, ts).agg(F.min_by(F.struct(*rest), id_col).alias("__row"))
     on = [firsts[k].eqNullSafe(kept[k]) for k in keys] + [firsts[ts] == kept[ts]]
     joined = firsts.join(kept, on, "left_semi")
-    return joined.select(*keys, ts, "__row.*").select(*df.columns)
+    found = joined.select(*keys, ts, "__row.*").select(*df.columns)
+    return found.unionByName(df.where(F.col(ts).isNull()))
 
 
 def fifo_batch(df: DataFrame, n: int, ts: str = "ts", tie: str = "id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quaylight.fixed import SNMP_MAX_FAILURES
 from quaylight.functions.times import step_number
+from quaylight.operators.series import joined_on
 
 
 def consecutive_failures(
@@ -43,7 +44,7 @@ def consecutive_failures(
     if initial is None:
         cells = cells.withColumn("failures", F.lit(0))
     else:
-        cells = cells.join(initial.select(*keys, "failures"), list(keys), "left")
+        cells = joined_on(cells, initial.select(*keys, "failures"), keys, "left")
     start = F.coalesce("failures", F.lit(0))
     after = F.sum("tail").over(upto) + F.when(F.col("epoch") == 0, start).otherwise(F.lit(0))
     cells = cells.withColumn("after", after)
@@ -51,7 +52,7 @@ def consecutive_failures(
     carried = cells.select(*keys, "__chunk", carry.alias("__carry"))
     total = F.col("__run") + F.when(F.col("__since") == 0, F.col("__carry")).otherwise(F.lit(0))
     return (
-        rows.join(carried, [*keys, "__chunk"])
+        joined_on(rows, carried, [*keys, "__chunk"])
         .withColumn("consecutive_failures", total)
         .withColumn("healthy", F.col("consecutive_failures") < max_failures)
         .drop("__chunk", "__since", "__run", "__carry")

@@ -15,7 +15,7 @@ from quaylight.functions import payload as js
 from quaylight.functions import times
 from quaylight.functions.text import strip, whole_match
 from quaylight.operators.series import (
-    batches, label_key, per_step, spread, steps_of, time_grid, with_eval_time,
+    batches, joined_on, label_key, per_step, spread, steps_of, time_grid, with_eval_time,
 )
 from quaylight.schema import col, present
 
@@ -235,20 +235,33 @@ def top_k(df: DataFrame, k: int, value: str, window: str, tie: Sequence[str]) ->
 
 
 def quantile_over_time(
-    df: DataFrame, q: float, value: str, range_seconds: int, by: Sequence[str] = ()
+    df: DataFrame,
+    q: float,
+    value: str,
+    range_seconds: int,
+    by: Sequence[str] = (),
+    step_seconds: int | None = None,
 ) -> DataFrame:
-    """Exact interpolated quantile of a numeric column per range and label values.
+    """Exact interpolated quantile of a numeric column per range and label values, at every step.
 
-    Equal values are counted before the shuffle. Counts are ordered in two levels: magnitude bins
-    (a fixed number per group) find the bin of each wanted rank, and only the values of those bins
-    are ordered, so no group is sorted as a whole.
+    Equal values are counted before the shuffle, and those counts serve every range that covers their step.
+    Counts are ordered in two levels: magnitude bins find the bin of each wanted rank, and only the values of
+    those bins are ordered. Values within about 1 % share a bin, so a group whose values are all that close
+    is ordered in one task. Missing labels are a group of their own; infinities and NaN are values above (or
+    below) all others.
     """
+    step = step_seconds or range_seconds
     keys = [*by, "step"]
     rows = _grouped(df, by).where(col(value).isNotNull())
     cells = rows.groupBy(
-        *by, times.step_number(F.col("ts"), range_seconds).alias("step"), col(value).alias("v")
+        *by, times.step_number(F.col("ts"), step).alias("step"), col(value).cast("double").alias("v")
     ).agg(F.count("*").alias("n"))
-    size = F.floor(F.log2(F.abs("v")) * 64).cast("bigint") + F.lit(100_000)
+    if range_seconds != step:
+        spent = spread(cells, "step", steps_of(range_seconds, step))
+        cells = spent.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+    endless = F.isnan("v") | (F.abs("v") == float("inf"))
+    finite = F.when(~endless, F.floor(F.log2(F.abs("v")) * 64).cast("bigint") + F.lit(100_000))
+    size = F.coalesce(finite, F.when(F.isnan("v"), F.lit(1 << 41)), F.lit(1 << 40))
     cells = cells.withColumn(
         "bin", F.when(F.col("v") > 0, size).when(F.col("v") < 0, -size).otherwise(F.lit(0))
     )
@@ -267,7 +280,7 @@ def quantile_over_time(
         )
     )
     inside = Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    picked = cells.join(bins, [*keys, "bin"]).withColumn(
+    picked = joined_on(cells, bins, [*keys, "bin"]).withColumn(
         "first", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     )
     last = F.col("first") + F.col("n") - 1
@@ -277,8 +290,9 @@ def quantile_over_time(
 
     frac = F.max(F.lit(q) * (F.col("total") - 1) - F.col("lo"))
     out = picked.groupBy(*keys).agg(at("lo").alias("a"), at("hi").alias("b"), frac.alias("f"))
-    out = out.withColumn("quantile", F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
-    return with_eval_time(out.drop("a", "b", "f"), range_seconds)
+    between = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
+    out = out.withColumn("quantile", F.when((F.col("a") == F.col("b")) | (F.col("f") == 0), F.col("a")).otherwise(between))
+    return with_eval_time(out.drop("a", "b", "f"), step)
 
 
 def absent_over_time(

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from quaylight import fixed
 from quaylight.functions.times import step_number
 from quaylight.operators.logs import select_streams
-from quaylight.operators.series import label_key, per_step, spread, steps_of, with_eval_time
+from quaylight.operators.series import (
+    joined_on, label_key, per_step, spread, steps_of, with_eval_time,
+)
 from quaylight.schema import col
 
 
@@ -270,8 +272,13 @@ def record(
     by: Sequence[str] = (),
     labels: Mapping[str, str] | None = None,
     ts: str = "eval_ts",
+    series: str | None = None,
 ) -> DataFrame:
-    """A derived series in sample shape: its labels are ``by`` columns plus static ones."""
+    """A derived series in sample shape: its labels are ``by`` columns plus static ones.
+
+    With ``series`` (a column of ``select_series``) it keeps the whole label set of its input as well, so that
+    two inputs never give two samples of equal name, labels and time; static labels win.
+    """
     entries = F.array(
         *[F.struct(F.lit(b).alias("key"), col(b).alias("value")) for b in by],
         *[
@@ -284,6 +291,10 @@ def record(
         if by or labels
         else F.create_map().cast("map<string,string>")
     )
+    if series:
+        own = F.coalesce(F.from_json(col(series), "map<string,string>"), F.create_map().cast("map<string,string>"))
+        kept = F.map_filter(own, lambda k, _v: ~F.array_contains(F.map_keys(label_map), k))
+        label_map = F.map_concat(kept, label_map)
     return df.select(
         col(ts).alias("ts"),
         F.lit(name).alias("name"),
@@ -301,7 +312,7 @@ def slo_rules(samples: DataFrame, prefix: str = "slo", metric: str = "ingest", j
     up = select_series(samples, "up", **({"job": job} if job else {}))
     rules = [
         record(avg_over_time(up, r, step_seconds=s), f"{prefix}:availability:rate{tag}", "avg",
-               labels={"slo": "availability"})
+               labels={"slo": "availability"}, series="series")
         for r, s, tag in ((300, 60, "5m"), (3600, 300, "1h"), (86400, 3600, "1d"))
     ]
     buckets = {
@@ -337,15 +348,18 @@ def fast_burn(
     latency_limit: float = fixed.SLO_LATENCY_P95,
     error_limit: float = fixed.SLO_ERROR_RATE,
     factor: float = fixed.FAST_BURN,
+    on: Sequence[str] = (),
 ) -> DataFrame:
     """Evaluation times at which any of the three budgets burns; missing series do not burn.
 
-    Inputs are (eval_ts, value) with one row per evaluation time.
+    Inputs are (eval_ts, value) and the labels ``on``. Of several series with equal labels the worst counts,
+    which is what "any burns" asks; so there is one row per evaluation time and labels, and no pairs.
     """
-    a = availability.select("eval_ts", F.col("value").alias("availability"))
-    b = latency.select("eval_ts", F.col("value").alias("latency"))
-    c = errors.select("eval_ts", F.col("value").alias("errors"))
-    joined = a.join(b, "eval_ts", "full").join(c, "eval_ts", "full")
+    keys = ["eval_ts", *on]
+    a = availability.groupBy(*keys).agg(F.min("value").alias("availability"))
+    b = latency.groupBy(*keys).agg(F.max("value").alias("latency"))
+    c = errors.groupBy(*keys).agg(F.max("value").alias("errors"))
+    joined = joined_on(joined_on(a, b, keys, "full"), c, keys, "full")
     burning = (
         F.coalesce((1 - F.col("availability")) > factor * (1 - slo), F.lit(False))
         | F.coalesce(F.col("latency") > latency_limit, F.lit(False))
@@ -354,6 +368,23 @@ def fast_burn(
     return joined.withColumn("burning", burning)
 
 
+def burn_rules(rules: DataFrame, prefix: str = "slo", metric: str = "ingest") -> DataFrame:
+    """The two burn series over already recorded rules: 1 where a budget burns, else 0."""
+    def of(name: str) -> DataFrame:
+        return rules.where(F.col("name") == f"{prefix}:{name}").select(F.col("ts").alias("eval_ts"), "value")
+
+    fast = fast_burn(of("availability:rate1h"), of(f"latency_p95:{metric}:rate1h"), of("error_rate:http:rate5m"))
+    worst = of("availability:rate1d").groupBy("eval_ts").agg(F.min("value").alias("value"))
+    parts = (("fast:4h", "fast", fast), ("slow:30d", "slow", slow_burn(worst)))
+    return union_rules(
+        [
+            record(df.withColumn("value", F.col("burning").cast("double")), f"{prefix}:error_budget_burn:{name}", "value",
+                   labels={"slo": "error_budget_burn", "window": window})
+            for name, window, df in parts
+        ]
+    )
+
+
 def slow_burn(
     availability: DataFrame, slo: float = fixed.SLO_AVAILABILITY, factor: float = fixed.SLOW_BURN
 ) -> DataFrame:

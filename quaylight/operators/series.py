@@ -71,6 +71,16 @@ def matched(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> D
     return left.join(keys, reduce(Column.__and__, same), how)
 
 
+def joined_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Inner, left or full join on ``on`` where a missing value equals a missing value."""
+    named = right.withColumnsRenamed({c: f"__on{i}" for i, c in enumerate(on)})
+    same = [left[f"`{c}`"].eqNullSafe(named[f"__on{i}"]) for i, c in enumerate(on)]
+    out = left.join(named, reduce(Column.__and__, same), how)
+    if how == "full":
+        out = out.withColumns({c: F.coalesce(col(c), F.col(f"__on{i}")) for i, c in enumerate(on)})
+    return out.drop(*[f"__on{i}" for i in range(len(on))])
+
+
 def steps_of(range_seconds: int, step_seconds: int) -> int:
     if range_seconds % step_seconds:
         raise ValueError("the range must be a multiple of the step")
@@ -109,7 +119,8 @@ def first_sights(
     """``(keys, ts)`` of every first sight of a key, and of each sight more than ``window_seconds``
     after the last kept one (at least that much with ``inclusive``).
 
-    A kept sight is not refreshed by the duplicates it hides, so the rule is a chain, not a gap.
+    A kept sight is not refreshed by the duplicates it hides, so the rule is a chain, not a gap. Rows without a
+    time are in no chain: they are not sights.
     Keys with up to ``hot_limit`` rows fold an array. A hotter key is never gathered: its chain is
     found by pointer doubling, joins on ``(key, ts)`` pairs which are unique. One cheap count per
     key, combined before its shuffle, decides which way a key goes.
@@ -117,7 +128,7 @@ def first_sights(
     # A struct of the keys compares equal on nulls, which plain join keys do not.
     rows = df.select(F.struct(*[col(k) for k in keys]).alias("key"), F.unix_micros(col(ts)).alias("t"))
     hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_limit).select("key")
-    seen = rows.distinct()
+    seen = rows.where("t IS NOT NULL").distinct()
     width = window_seconds * 1_000_000 - (1 if inclusive else 0)
     if hot.isEmpty():
         kept = _fold_chain(seen, width)

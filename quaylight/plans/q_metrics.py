@@ -176,7 +176,7 @@ def histogram_quantile(spark, folder):
 
 def _bucket_samples(spark, folder):
     """Cumulative bucket counters: one sample per event and bucket it falls below."""
-    e = table(spark, folder, "events").where(F.col("event_type").isin("view", "click"))
+    e = table(spark, folder, "events")
     le = F.explode(F.array(*[F.struct(F.lit(n).alias("le"), F.lit(b).alias("b")) for n, b in
                              [*((repr(b), b) for b in BOUNDS), ("+Inf", float("inf"))]]))
     rows = e.select("ts", "event_id", "event_type", "value", le.alias("l"))
@@ -189,7 +189,7 @@ def _bucket_samples(spark, folder):
 
 
 @query(
-    f"WITH bs AS (SELECT ts, event_type AS sink, CAST(b AS DOUBLE) AS le, CASE WHEN value <= b THEN CAST(event_id AS DOUBLE) ELSE 0 END AS value FROM events, unnest({_BUCKETS}) AS u(b) WHERE event_type IN ('view', 'click')), "
+    f"WITH bs AS (SELECT ts, event_type AS sink, CAST(b AS DOUBLE) AS le, CASE WHEN value <= b THEN CAST(event_id AS DOUBLE) ELSE 0 END AS value FROM events, unnest({_BUCKETS}) AS u(b)), "
     + increase_sql("bs", "sink, le", 86400)
     + ", w AS (SELECT *, coalesce(lag(le) OVER q, 0) AS low, coalesce(lag(increase) OVER q, 0) AS below, 0.5 * max(increase) OVER (PARTITION BY sink, step) AS r FROM inc WINDOW q AS (PARTITION BY sink, step ORDER BY le)), "
     "f AS (SELECT sink, step * 86400 AS eval_s, arg_min(CASE WHEN le > 1e300 THEN low WHEN increase = below THEN le ELSE low + (le - low) * (r - below) / (increase - below) END, le) AS quantile FROM w WHERE increase >= r AND r > 0 GROUP BY ALL) "
@@ -246,7 +246,7 @@ def _latency_counts(quantile, tag, n):
 
 _BS = (
     "bs AS (SELECT ts, event_type AS sink, CAST(b AS DOUBLE) AS le, CASE WHEN value <= b THEN CAST(event_id AS DOUBLE) ELSE 0 END AS value "
-    f"FROM events, unnest({_BUCKETS}) AS u(b) WHERE event_type IN ('view', 'click'))"
+    f"FROM events, unnest({_BUCKETS}) AS u(b))"
 )
 _REQ5 = increase_sql(REQUESTS, "sink, status", 300).replace("dd AS", "rd AS").replace("FROM dd", "FROM rd").replace("inc AS", "ri AS")
 
@@ -270,14 +270,14 @@ def slo_rules(spark, folder):
 
 
 _LAT = (
-    f"lt AS (SELECT {step_sql('ts', 6 * H)} * {6 * H} AS eval_s, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1)"
+    f"lt AS (SELECT {step_sql('ts', 6 * H)} * {6 * H} AS eval_s, max(value) AS v FROM events GROUP BY 1)"
 )
 
 
 def _latency(spark, folder):
     from quaylight.operators.series import per_step, with_eval_time
 
-    v = table(spark, folder, "events").where("event_type = 'view'")
+    v = table(spark, folder, "events")
     return with_eval_time(per_step(v, [], 6 * H, [F.max("value").alias("value")]), 6 * H)
 
 

@@ -355,8 +355,8 @@ def listener_inventory(spark, folder):
 @query(
     "WITH l AS (SELECT concat('host', s_suppkey % 40) AS host, count(DISTINCT s_suppkey) + count(DISTINCT s_nationkey) AS n FROM supplier GROUP BY 1), "
     "f AS (SELECT concat('host', c_custkey % 37) AS host, max(CASE WHEN c_custkey % 5 = 1 THEN 1 ELSE 0 END) AS d, max(CASE WHEN c_custkey % 5 = 2 THEN 1 ELSE 0 END) AS x, max(CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END) AS a FROM customer GROUP BY 1) "
-    "SELECT l.host, l.n AS listeners, concat_ws(',', CASE WHEN d = 1 THEN '/var/log/dnsmasq.log' END, CASE WHEN a = 1 THEN '/var/log/nginx/access.log' END) AS logs "
-    "FROM l LEFT JOIN f ON l.host = f.host"
+    "SELECT coalesce(l.host, f.host) AS host, coalesce(l.n, 0) AS listeners, concat_ws(',', CASE WHEN d = 1 THEN '/var/log/dnsmasq.log' END, CASE WHEN a = 1 THEN '/var/log/nginx/access.log' END) AS logs "
+    "FROM l FULL JOIN (SELECT * FROM f WHERE d = 1 OR a = 1) f ON l.host = f.host"
 )
 def host_inventory(spark, folder):
     i = inventory.inventory(_listings(spark, folder), _files(spark, folder))

@@ -17,10 +17,15 @@ def samples(df: DataFrame, ts: Column, line: str = "value") -> DataFrame:
     text = strip(F.col(line))
     labels = F.regexp_extract(text, LINE, 2)
     raw = F.regexp_extract_all(labels, F.lit(LABEL), F.lit(2))
+    # An escaped backslash splits a value first: what follows it is no escape.
     plain = F.transform(
         raw,
-        lambda v: F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(v, r"\\n", "\n"), r'\\"', '"'), r"\\\\", r"\\"
+        lambda v: F.array_join(
+            F.transform(
+                F.split(v, r"\\\\", -1),
+                lambda part: F.regexp_replace(F.regexp_replace(part, r"\\n", "\n"), r'\\"', '"'),
+            ),
+            "\\",
         ),
     )
     return df.where(text.rlike(LINE) & ~text.startswith("#")).select(

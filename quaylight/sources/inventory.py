@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaylight import fixed
+from quaylight.operators.series import joined_on
 from quaylight.functions.text import strip
 
 
@@ -41,16 +42,25 @@ def known_logs(files: DataFrame, path: str = "path", extra: Sequence[str] = ())
 
 
 def inventory(
-    listings: DataFrame, files: DataFrame, host: str = "host", output: str = "output"
+    listings: DataFrame,
+    files: DataFrame,
+    host: str = "host",
+    output: str = "output",
+    snapshot: str | None = None,
 ) -> DataFrame:
-    """One inventory event per host; its sets are bounded by ports and by the known-log list."""
-    logs = known_logs(files).groupBy(host).agg(F.array_sort(F.collect_set("path")).alias("log_candidates"))
-    items = listings.select(host, F.explode_outer(listeners(F.col(output))).alias("l"))
-    socks = items.groupBy(host).agg(F.array_sort(F.collect_set("l")).alias("listeners"))
-    none = F.array().cast("array<string>")
-    return socks.join(logs, host, "left").select(
+    """One inventory event per host, or per host and ``snapshot`` where both inputs have that column.
+
+    A host known from one input only is reported with the other part empty. Sets are bounded by ports and by
+    the known-log list within a snapshot.
+    """
+    keys = [host, *([snapshot] if snapshot else [])]
+    logs = known_logs(files).groupBy(*keys).agg(F.array_sort(F.collect_set("path")).alias("log_candidates"))
+    items = listings.select(*keys, F.explode_outer(listeners(F.col(output))).alias("l"))
+    socks = items.groupBy(*keys).agg(F.array_sort(F.collect_set("l")).alias("listeners"))
+    found = joined_on(socks, logs, keys, "full")
+    return found.select(
         F.lit("host_service_inventory").alias("type"),
-        host,
-        "listeners",
-        F.coalesce("log_candidates", none).alias("log_candidates"),
+        *keys,
+        F.coalesce("listeners", F.array().cast(socks.schema["listeners"].dataType)).alias("listeners"),
+        F.coalesce("log_candidates", F.array().cast("array<string>")).alias("log_candidates"),
     )

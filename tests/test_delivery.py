@@ -147,3 +147,11 @@ def test_numbers_follow_any_orderable_id(spark):
     assert numbered(rows.limit(0), "id").count() == 0
     plan = numbered(rows, "id")._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan
+
+
+def test_missing_keys_and_times_are_not_lost(spark):
+    polls = spark.createDataFrame([(1, None, 0, False), (2, None, 10, False), (3, "a", 0, True)], "id int, host string, t int, ok boolean").withColumn("ts", F.timestamp_seconds("t"))
+    found = failures.consecutive_failures(polls, ["host"], "ok").select("id", "consecutive_failures").collect()
+    assert sorted(map(tuple, found)) == [(1, 1), (2, 2), (3, 0)]
+    rows = spark.createDataFrame([(1, "k", 0), (2, "k", 10), (3, "k", None), (4, "k", None)], "id int, key string, t int").withColumn("ts", F.timestamp_seconds("t"))
+    assert sorted(r.id for r in delivery.drop_repeats(rows, ["key"], "ts", "id").collect()) == [1, 3, 4]

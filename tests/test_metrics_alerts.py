@@ -174,3 +174,26 @@ def test_routes_repeat_at_their_own_interval(spark):
     firing = _at(spark, rows, "t int, alertname string, severity string")
     sent = al.notifications(firing, ("alertname",), None, routes=routes).groupBy("receiver").count().collect()
     assert {r.receiver: r["count"] for r in sent} == {"fast": 6, "slow": 2}
+
+
+def test_burn_takes_the_worst_of_several_series(spark):
+    a = _at(spark, [(0, "x", 1.0), (0, "y", 0.2), (60, "x", 1.0)], "t int, job string, value double")
+    b = _at(spark, [(0, "x", 0.1), (0, None, 9.0)], "t int, job string, value double")
+    c = _at(spark, [(60, "x", 0.0)], "t int, job string, value double")
+    found = m.fast_burn(a, b, c, slo=0.99, latency_limit=1.0, error_limit=0.5)
+    assert secs0(found) == [(0, True), (60, False)]
+    by_job = m.fast_burn(a, b, c, slo=0.99, latency_limit=1.0, error_limit=0.5, on=("job",))
+    assert sorted(((r.job or "-"), r.burning) for r in by_job.where("eval_ts = timestamp_seconds(0)").collect()) == [("-", True), ("x", False), ("y", True)]
+
+
+def secs0(df):
+    return sorted((int(r.eval_ts.timestamp()), r.burning) for r in df.collect())
+
+
+def test_availability_rules_keep_series_apart_and_burn_series_follow(spark):
+    up = samples(spark, "up", [(0, 1), (60, 1)], instance="a").unionByName(samples(spark, "up", [(0, 0), (60, 0)], instance="b"))
+    rules = m.slo_rules(up)
+    rows = rules.where("name LIKE '%availability%'").select("ts", "name", F.to_json("labels").alias("l")).collect()
+    assert len(rows) == len(set(rows)) and {"a", "b"} == {r.i for r in rules.where("name LIKE '%availability%'").select(F.col("labels")["instance"].alias("i")).collect()}
+    burns = m.burn_rules(rules).groupBy("name").agg(F.max("value").alias("v")).collect()
+    assert {r.name: r.v for r in burns} == {"slo:error_budget_burn:fast:4h": 1.0, "slo:error_budget_burn:slow:30d": 1.0}

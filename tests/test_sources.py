@@ -179,3 +179,17 @@ def test_exposition(spark):
         ("queue_size", {}, 3.5),
         ("b_bucket", {"le": "+Inf"}, 7.0),
     ]
+
+
+def test_escaped_backslash_before_n_is_no_line_break(spark):
+    line = r'm{path="C:\\new\n\"x\"",b="\\"} 1'
+    got = exposition.samples(spark.createDataFrame([(line,)], "value string"), F.lit(0).cast("timestamp")).first()
+    assert got.labels == {"path": 'C:\\new\n"x"', "b": "\\"}
+
+
+def test_inventory_of_a_host_without_a_listing(spark):
+    listings = spark.createDataFrame([("h1", "Netid\ntcp LISTEN 0 1 *:22 users:x", "s1")], "host string, output string, snap string")
+    files = spark.createDataFrame([("h2", "/var/log/dnsmasq.log", "s1"), ("h1", "/var/log/dnsmasq.log", "s2"), (None, "/var/log/dnsmasq.log", "s1")], "host string, path string, snap string")
+    found = {r.host: (len(r.listeners), len(r.log_candidates)) for r in inventory.inventory(listings, files).collect()}
+    assert found == {"h1": (1, 1), "h2": (0, 1), None: (0, 1)}
+    assert inventory.inventory(listings, files, snapshot="snap").count() == 4

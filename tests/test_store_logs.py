@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -110,3 +111,13 @@ def test_log_store_round_trip(spark, tmp_path):
     logs.write_log_store(df, str(tmp_path / "l"))
     back = spark.read.parquet(str(tmp_path / "l"))
     assert logs.select_streams(back, a="1").count() == 5
+
+
+def test_quantile_of_missing_labels_infinities_and_overlapping_ranges(spark):
+    rows = [(0, None, 1.0), (10, None, 3.0), (0, "a", float("inf")), (5, "a", float("inf")), (70, "a", 2.0), (71, "a", float("-inf")), (72, "a", 100.0), (73, "a", 100.1)]
+    df = spark.createDataFrame(rows, "t int, lab string, v double").select(
+        F.timestamp_seconds("t").alias("ts"), F.when(F.col("lab").isNotNull(), F.create_map(F.lit("lab"), "lab")).otherwise(F.create_map().cast("map<string,string>")).alias("labels"), "v")
+    found = {(r.lab, int(r.eval_ts.timestamp())): r.quantile for r in logs.quantile_over_time(df, 0.5, "v", 120, ["lab"], 60).collect()}
+    # The value at t covers (t - 120, t].
+    assert found[None, 0] == 1.0 and found[None, 60] == 2.0 and found["a", 60] == float("inf")
+    assert found["a", 120] == 100.0 and found["a", 180] == pytest.approx(51.0)
