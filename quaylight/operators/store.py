@@ -105,13 +105,14 @@ def query_events(
     end: dt.datetime | str | None = None,
     type: str | None = None,
     source: str | None = None,
-    limit: int = 1000,
+    limit: int | None = 1000,
     offset: int = 0,
     tie: str = "id",
 ) -> DataFrame:
     """Newest events first under optional time, type and source filters.
 
-    Sort, offset and limit run as one top-k: each task keeps ``offset + limit`` rows.
+    Sort, offset and limit run as one top-k: each task keeps ``offset + limit`` rows. Without a limit all rows
+    come back, unordered.
     """
     df = in_range(df, start, end)
     if type:
@@ -121,7 +122,10 @@ def query_events(
     order = [F.col("ts").desc()]
     if tie in df.columns:
         order.append(F.col(tie))
-    return df.orderBy(*order).offset(offset).limit(limit)
+    if limit is None and not offset:
+        return df
+    rows = df.orderBy(*order).offset(offset)
+    return rows if limit is None else rows.limit(limit)
 
 
 def merge_payload(

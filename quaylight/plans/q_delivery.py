@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quaylight.operators import delivery, failures, logs, sinks
@@ -179,7 +181,6 @@ def sink_totals(spark, folder):
 )
 def dual_fan_out(spark, folder):
     """One batch written to both sinks under its batch id and read back from the shared folder."""
-    import uuid
 
     from quaylight.operators import store
     from quaylight.session import checkpoint_dir
@@ -234,3 +235,88 @@ def consecutive_failures(spark, folder):
     )
     c = failures.consecutive_failures(polls, ["user_id"], "ok", chunk_seconds=86400)
     return c.select(F.col("id").alias("event_id"), "consecutive_failures", "healthy")
+
+
+# ---- the stream operators themselves, drained over the given files ----------------------------
+
+
+def _stream(spark, folder, name):
+    """The table as a stream of its files; all of it is there, so the stream drains and stops."""
+    # A pattern, since the table may be one file: a plain path must be a folder.
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}.parquet*")
+
+
+def _root(spark, name):
+    from quaylight.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _drained(counts, root):
+    """Run a complete-mode stream to its end; each batch replaces the result."""
+
+    def put(batch, _batch_id):
+        batch.write.mode("overwrite").parquet(f"{root}/out")
+
+    writer = counts.writeStream.outputMode("complete").foreachBatch(put)
+    writer.option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
+    return counts.sparkSession.read.schema(counts.schema).parquet(f"{root}/out")
+
+
+@query(
+    "SELECT event_type, strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS count FROM events GROUP BY ALL"
+)
+def stream_counts(spark, folder):
+    """Windowed counts by the stream itself, drained to its end."""
+    counts = windows.windowed_counts(_stream(spark, folder, "events"), ["event_type"], "5 minutes")
+    return _drained(counts, _root(spark, "counts")).select("event_type", stamp("start").alias("start"), "count")
+
+
+@query(
+    "WITH p AS (SELECT *, event_type IN ('error', 'view') AS bad FROM events), "
+    "g AS (SELECT *, count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM p), "
+    "r AS (SELECT *, count(*) FILTER (WHERE bad) OVER (PARTITION BY user_id, grp ORDER BY ts, event_id) AS n FROM g) "
+    "SELECT event_id, n AS consecutive_failures, n < 5 AS healthy FROM r"
+)
+def stream_failures(spark, folder):
+    """Failure runs counted by the stream, from the state each micro-batch leaves."""
+    from quaylight.streaming.failures import run_failures
+
+    polls = _stream(spark, folder, "events").select(
+        F.col("event_id").alias("id"), "user_id", "ts", (~F.col("event_type").isin("error", "view")).alias("ok")
+    )
+    root = _root(spark, "polls")
+    run_failures(polls, ["user_id"], "ok", root, f"{root}/log", chunk_seconds=86400).awaitTermination()
+    counted = spark.read.parquet(f"{root}/polls")
+    return counted.select(F.col("id").alias("event_id"), "consecutive_failures", "healthy")
+
+
+@query(
+    "SELECT 'store' AS output, role AS kind, count(*) AS n, count(DISTINCT conv_id) AS sources FROM conversations WHERE role <> 'system' GROUP BY ALL "
+    "UNION ALL SELECT 'quarantine', 'no type', count(*), count(DISTINCT conv_id) FROM conversations WHERE role = 'system'"
+)
+def stream_store_query(spark, folder):
+    """Envelope files through the live path, a replayed batch, and the event query over what it stored."""
+    from quaylight.operators import store
+    from quaylight.streaming import ingest
+
+    root = _root(spark, "live")
+    c = table(spark, folder, "conversations")
+    message = F.struct(
+        F.when(F.col("role") != "system", F.col("role")).alias("type"),
+        F.col("conv_id").cast("string").alias("source"),
+        F.col("text").alias("message"),
+        F.lit("2024-01-02T00:00:00Z").alias("timestamp"),
+        F.col("turn").alias("turn"),
+    )
+    c.select(F.to_json(F.struct(F.array(message).alias("messages"))).alias("value")).write.text(f"{root}/in")
+    for run in ("first", "again"):  # the second run is a replay: same batches, same folders
+        events = ingest.event_stream(spark, f"{root}/in", max_files=100_000)
+        sinks = {"store": ingest.store_sink(f"{root}/store", sh.AS_OF)}
+        ingest.run_ingest(events, [], sinks, f"{root}/log-{run}", quarantine=f"{root}/refused").awaitTermination()
+    rows = store.query_events(store.read(spark, f"{root}/store"), start="2024-01-02", end="2024-01-02 23:00:00", limit=None)
+    kept = rows.groupBy(F.lit("store").alias("output"), F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"))
+    refused = spark.read.parquet(f"{root}/refused")
+    source = F.get_json_object("event", "$.source")
+    lost = refused.groupBy(F.lit("quarantine").alias("output"), F.col("rejected").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(source).alias("sources"))
+    return kept.unionByName(lost)

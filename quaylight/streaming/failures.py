@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quaylight.fixed import SNMP_MAX_FAILURES
 from quaylight.operators.failures import consecutive_failures, last_runs
+from quaylight.operators.series import joined_on
 
 
 def run_failures(
@@ -43,8 +44,11 @@ def run_failures(
         if before is not None:
             older = before.withColumnRenamed("failures", "older")
             merged = F.coalesce("failures", "older").cast("bigint").alias("failures")
-            now = now.join(older, list(keys), "full").select(*keys, merged)
+            now = joined_on(now, older, keys, "full").select(*keys, merged)
         now.write.mode("overwrite").parquet(f"{root}/state/batch_id={batch_id}")
+        # A replay can only ask for the state before the newest batch: older states go.
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/state/batch_id={batch_id - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     writer = polls.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
     if seconds:
