@@ -428,7 +428,10 @@ def annotation_merge(spark, folder):
 @query(
     EV + f"SELECT event_id, CAST({SEVERITY_SQL} AS BIGINT) AS severity_num, {SERVICE_SQL} AS service, "
     f"CASE WHEN user_id % 5 = 4 THEN 'default' ELSE split_part(hostname, '.', 2) END AS site, "
-    "sha256(concat('pepper', source)) AS source, '1.5' AS version FROM ev"
+    "sha256(concat('pepper', source)) AS source, '1.5' AS version, "
+    "regexp_replace(message, 'value=\\d+', repeat('*', least(8, length(regexp_extract(message, 'value=\\d+'))))) AS message, "
+    "CASE WHEN source_ip = '10.0.1.5' THEN 'exact' WHEN user_id % 4 = 1 THEN 'east' WHEN user_id % 4 = 0 AND user_id % 250 < 4 THEN 'tiny' "
+    "WHEN user_id % 4 IN (2, 3) THEN 'west' END AS datacenter, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM ev"
 )
 def full_event_flow(spark, folder):
     """All configured steps as one plan."""
@@ -437,7 +440,7 @@ def full_event_flow(spark, folder):
     )
     steps = flow.build_steps(
         {
-            "redaction": {"drop_fields": ["data"], "hash_fields": ["source"], "salt": SALT},
+            "redaction": {"drop_fields": ["data"], "mask_patterns": [r"value=\d+"], "hash_fields": ["source"], "salt": SALT},
             "pii_check": {"strict_mode": True},
             "enrichment": {
                 "add_tags": {"version": "1.5"},
@@ -450,7 +453,8 @@ def full_event_flow(spark, folder):
     done = flow.run_steps(e, steps)
     return done.select(
         "event_id", "severity_num", "service", F.col("tags")["site"].alias("site"), "source",
-        F.col("tags")["version"].alias("version"),
+        F.col("tags")["version"].alias("version"), "message",
+        F.col("geo_hint")["datacenter"].alias("datacenter"), "timestamp",
     )
 
 
