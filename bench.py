@@ -40,6 +40,7 @@ HEADLINE = (
     "batch_keys",
     "envelope_sink",
     "consecutive_failures",
+    "slo_rules",
 )
 
 
