@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,23 +37,25 @@ def file_sink(path: str, prepare: Callable[[DataFrame], DataFrame], by: Sequence
 def fan_out(
     batch: DataFrame, batch_id: int, sinks: Mapping[str, Sink], stats_path: str | None = None
 ) -> list[tuple]:
-    """Write one batch to every sink; a failing sink does not stop the others.
+    """Write one batch to every sink at once; a failing sink does not stop the others.
 
-    The batch is computed once and kept while the sinks read it.
+    The batch is computed once and kept while the sinks read it. Counts come back in the order of ``sinks``.
     """
     spark: SparkSession = batch.sparkSession
     held = batch.persist()
-    rows = []
+
+    def write(item: tuple[str, Sink]) -> tuple:
+        name, sink = item
+        try:
+            got = sink(held, batch_id)
+        except Exception:
+            log.exception("sink %s failed on batch %s", name, batch_id)
+            got = {"written": 0, "errors": held.count(), "retries": 0, "queued": 0}
+        return (batch_id, name, got["written"], got["errors"], got["retries"], got["queued"])
+
     try:
-        for name, sink in sinks.items():
-            try:
-                got = sink(held, batch_id)
-            except Exception:
-                log.exception("sink %s failed on batch %s", name, batch_id)
-                got = {"written": 0, "errors": held.count(), "retries": 0, "queued": 0}
-            rows.append(
-                (batch_id, name, got["written"], got["errors"], got["retries"], got["queued"])
-            )
+        with ThreadPoolExecutor(max(1, len(sinks))) as pool:
+            rows = list(pool.map(inheritable_thread_target(spark)(write), sinks.items()))
     finally:
         held.unpersist()
     if stats_path:
