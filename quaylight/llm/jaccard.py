@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaylight.llm.components import components
-from quaylight.llm.shared import discard, stored
+from quaylight.llm.shared import discard, settle, stored
 from quaylight.llm.words import LOWER, mixed, text_parts, text_slices, windows, word_hashes
 
 PERCENT, SHINGLE = 90, 3
@@ -100,6 +100,7 @@ def _token_rows(docs: DataFrame, size: int, percent: int, front: bool) -> DataFr
                     yield _tokens(held, owners)
                     held, owners, total = [], [], 0
             yield _tokens(held, owners)
+        settle()
 
     return docs.mapInArrow(task, TOKENS)
 

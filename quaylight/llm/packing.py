@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylight.llm.shared import shuffle_partitions, stored
+from quaylight.llm.shared import settle, shuffle_partitions, stored
 from quaylight.llm.words import text_parts
 
 SIZE = 2048
@@ -132,6 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = F
                     yield _piece_batch(rows)
                     rows, held = [], 0
             yield _piece_batch(rows)
+        settle()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(task, PIECES)
 

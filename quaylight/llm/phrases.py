@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.llm.shared import discard, shuffle_partitions, stored
+from quaylight.llm.shared import discard, settle, shuffle_partitions, stored
 from quaylight.llm.words import text_parts, window_owner, windows, word_hashes
 
 WINDOW, ANCHOR, BLOCK = 13, 5, 7
@@ -214,7 +214,10 @@ def _located(make: Callable[[pa.Table, list[list[str]], Spans], pa.Table]):
             ([(0, len(w))] if len(w) >= WINDOW else []) if copy else automaton.covered(int(d), w)
             for d, w, copy in zip(_ids(bucket.column("doc_id")), texts, copies, strict=True)
         ]
-        return make(bucket.drop_columns(["digest"]), texts, spans)
+        out = make(bucket.drop_columns(["digest"]), texts, spans)
+        del automaton, words, texts, spans
+        settle()
+        return out
 
     return task
 

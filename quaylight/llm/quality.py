@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quaylight.llm.shared import stored
+from quaylight.llm.shared import settle, stored
 from quaylight.llm.words import INSIDE, PLAIN, text_parts, text_slices, word_hashes
 
 SAMPLE = 8000
@@ -120,6 +120,7 @@ def evidence(docs: DataFrame, model: QualityModel, host: Column, path: Column) -
         for batch in batches:
             logits = shared.value.logits(measures(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(logits, pa.float64())], names=["doc_id", "host", "path", "logit"])
+        settle()
 
     return rows.mapInArrow(task, "doc_id bigint, host string, path string, logit double")
 
