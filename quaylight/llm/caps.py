@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaylight.llm.components import components
-from quaylight.llm.shared import stored
+from quaylight.llm.shared import shuffle_partitions, stored
 
 SIMILARITY = 0.95
 CODES = 8
 LIST = 4  # filters of a code that a vector is expected to be in
 NEIGHBOURS = 8  # unrelated vectors expected in a filter
 BLOCK = 1024  # vectors of a list compared at once
+BUNDLE = 8192  # rows of lists handled in one call
 
 
 @dataclass(frozen=True)
@@ -124,48 +125,58 @@ def _members(distinct: DataFrame, code: CapCode) -> DataFrame:
     return distinct.select("vec_id", "copies", "embedding").mapInArrow(task, MEMBER)
 
 
-def _first_common(left: list[bytes], right: list[bytes], here: int, pairs: np.ndarray) -> np.ndarray:
-    """Of index pairs, those whose first common filter is ``here``."""
-    sets: dict[bytes, set[int]] = {}
-
-    def below(raw: bytes) -> set[int]:
-        if raw not in sets:
-            f = np.frombuffer(raw, np.int64)
-            sets[raw] = set(f[f < here].tolist())
-        return sets[raw]
-
-    return np.array([below(left[i]).isdisjoint(below(right[j])) for i, j in pairs], bool)
+def _first_common(filters: list[bytes], here: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of index pairs (a, b), those whose first common filter is ``here``: no smaller filter holds both."""
+    used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    lists = [np.frombuffer(filters[k], np.int64) for k in used]
+    below = [set(f[f < here].tolist()) for f in lists]
+    return np.array([below[i].isdisjoint(below[j]) for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True)], bool)
 
 
 def _compare(similarity: float, dim: int):
-    """Links within one block of a list, or between two: counts per vector, and a spanning set of links."""
+    """Links within blocks of lists, or between two blocks: counts per vector, and a spanning set of links.
 
-    def task(key: tuple, group: pa.Table) -> pa.Table:
-        here, low, high = (k.as_py() for k in key)
-        ids, copies = np.array(group.column("vec_id"), np.int64), np.array(group.column("copies"), np.int64)
-        blocks = np.array(group.column("block"), np.int64)
-        raw = group.column("vector").to_pylist()
+    A bundle holds many short lists, so the cost of a call is shared.
+    """
+
+    def task(bundle: pa.Table) -> pa.Table:
+        ids, copies, filters, low, high, blocks = (bundle.column(c).to_numpy() for c in ("vec_id", "copies", "filter", "low", "high", "block"))
+        raw = bundle.column("vector").to_pylist()
         x = _units(np.array([np.frombuffer(r, np.float64 if len(r) == 8 * dim else np.float32) for r in raw], np.float64))
-        filters = group.column("filters").to_pylist()
-        order = np.lexsort((ids, blocks))
-        left = order[blocks[order] == low]
-        right = left if low == high else order[blocks[order] == high]
-        i, j = np.nonzero(x[left] @ x[right].T >= similarity - 1e-9)
-        if low == high:
-            i, j = i[i < j], j[i < j]
-        a, b = left[i], right[j]
+        lists = bundle.column("filters").to_pylist()
+        order = np.lexsort((ids, blocks, high, low, filters))
+        cut = np.flatnonzero((np.diff(filters[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for rows in np.split(order, cut):
+            if len(rows) > 1:
+                left = rows[blocks[rows] == low[rows[0]]]
+                right = left if low[rows[0]] == high[rows[0]] else rows[blocks[rows] == high[rows[0]]]
+                found += _links(ids, copies, lists, x, left, right, int(filters[rows[0]]), similarity)
+        columns = [np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found, strict=True) if found else [()] * 3)]
+        return pa.table({name: c.astype(np.int64) for name, c in zip(("vec_id", "other", "n"), columns, strict=True)})
+
+    return task
+
+
+def _links(ids, copies, lists, x, left, right, here, similarity) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of two blocks of one list: vectors with links, the smallest id they reach here, and their links."""
+    i, j = np.nonzero(x[left] @ x[right].T >= similarity - 1e-9)
+    if left is right:
+        i, j = i[i < j], j[i < j]
+    a, b = left[i], right[j]
+    if len(a):
         # Near the limit the order of summation decides: one way for every pair.
-        near = np.einsum("ij,ij->i", x[a], x[b]) >= similarity if len(a) else np.zeros(0, bool)
+        near = np.einsum("ij,ij->i", x[a], x[b]) >= similarity
         a, b = a[near], b[near]
-        pairs = np.column_stack([a, b])
-        taken = _first_common(filters, filters, here, pairs) if len(pairs) else np.zeros(0, bool)
+    if len(a):
+        taken = _first_common(lists, here, a, b)
         a, b = a[taken], b[taken]
-        n = np.bincount(a, weights=copies[b], minlength=len(ids)) + np.bincount(b, weights=copies[a], minlength=len(ids))
-        root = _spanned(ids, a, b)
-        out = np.flatnonzero(n)
-        return pa.table({"vec_id": ids[out], "other": root[out], "n": n[out].astype(np.int64)})
-
-    return task
+    if not len(a):
+        return []
+    members, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    p, q = at[: len(a)], at[len(a) :]
+    n = np.bincount(p, weights=copies[b], minlength=len(members)) + np.bincount(q, weights=copies[a], minlength=len(members))
+    return [(ids[members], _spanned(ids[members], p, q), n)]
 
 
 def _spanned(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,7 +208,7 @@ def cap_links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     groups = stored(usable.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.any_value("embedding").alias("embedding")), "vectors")
     found = spark.createDataFrame([], FOUND)
     for r in groups.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
-        part = _found(groups.where(F.size("embedding") == r.dim), CapCode.for_data(r.n, r.dim), similarity)
+        part = _found(groups.where(F.size("embedding") == r.dim), r.n, CapCode.for_data(r.n, r.dim), similarity)
         found = found.unionByName(part)
     found = stored(found, "cap-links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("linked"))
@@ -211,11 +222,14 @@ def cap_links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), kept.alias("kept"))
 
 
-def _found(distinct: DataFrame, code: CapCode, similarity: float) -> DataFrame:
+def _found(distinct: DataFrame, n: int, code: CapCode, similarity: float) -> DataFrame:
+    # A bundle of short lists has about ``BUNDLE`` rows; a block of a long list is at most 2 * BLOCK rows of one.
+    bundles = max(4 * shuffle_partitions(distinct.sparkSession), n * CODES * LIST // BUNDLE)
     members = stored(_members(distinct, code), "cap-members")
     sizes = members.groupBy("filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = members.join(sizes, "filter").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks").cast("bigint")).cast("int"))
     pairs = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(k, block) as low, greatest(k, block) as high))")
     spread = placed.withColumn("pair", F.explode(pairs)).select("filter", "pair.low", "pair.high", "vec_id", "copies", "block", "vector", "filters")
-    return spread.groupBy("filter", "low", "high").applyInArrow(_compare(similarity, code.edges[-1]), FOUND)
+    spread = spread.withColumn("bundle", F.pmod(F.xxhash64("filter", "low", "high"), F.lit(bundles)))
+    return spread.groupBy("bundle").applyInArrow(_compare(similarity, code.edges[-1]), FOUND)
