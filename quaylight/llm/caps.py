@@ -1,12 +1,12 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 Filter directions come from a few random product codes: the rotated dimensions are cut into blocks, each block
-has its own small codebook of unit vectors, and a direction is one word per block. A vector belongs to every
-direction whose inner product with it exceeds a threshold (and to its best one in each code); these are found
-by list decoding, block by block, dropping prefixes that the best remaining words cannot bring over it. Two near vectors share a filter with
-high probability, unrelated ones rarely; vectors that share one are compared exactly, in double precision.
+has its own small codebook of unit vectors, and a direction is one word per block. In each code a vector belongs
+to the few directions nearest to it; these are found by list decoding, block by block. Two near vectors share a
+filter with high probability, unrelated ones rarely; vectors that share one are compared exactly, in double precision.
 
-The code's size and threshold follow the number of distinct vectors, so lists stay short as data grow. Equal
+The code's size follows the number of distinct vectors, so lists stay short as data grow, and the number of codes
+follows the chance that one of them brings a pair at the limit similarity together, in the dimension at hand. Equal
 vectors are one. A long list is cut into blocks that are compared pair by pair in separate tasks, and within
 them a pair is taken only at its first common filter. Misses are possible: the expected share of missed
 links at the limit similarity is below 1 in 100 (tests measure it).
@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,58 +27,103 @@ from quaylight.llm.components import components
 from quaylight.llm.shared import shuffle_partitions, stored
 
 SIMILARITY = 0.95
-CODES = 8
-LIST = 4  # filters of a code that a vector is expected to be in
+CODES = 4  # at least, so that no pair rests on one codebook
+MISSED = 0.005  # of pairs at the limit similarity
+BESTS = (1, 2, 4, 8, 16)  # filters of a code that a vector is in: the one that needs fewest in all
+FILTERS = 96  # of a vector in all codes; above that filters get larger
+TRIALS = 1000  # pairs to measure a code on
 NEIGHBOURS = 8  # unrelated vectors expected in a filter
 BLOCK = 1024  # vectors of a list compared at once
 BUNDLE = 8192  # rows of lists handled in one call
 
 
+def _cap_share(similarity: float, dim: int) -> float:
+    """The share of the sphere that is at least so similar to one of its points."""
+    if dim < 2:
+        return 0.5
+    angles = np.linspace(0, math.pi, 200_001)
+    weights = np.sin(angles) ** (dim - 2)
+    return float(weights[angles <= math.acos(max(-1.0, min(similarity, 1.0)))].sum() / weights.sum())
+
+
 @dataclass(frozen=True)
 class CapCode:
-    """Several product codes, each behind its own rotation, and the threshold of a cap."""
+    """Several product codes, each behind its own rotation; a vector is in the ``best`` nearest directions of each."""
 
     rotations: tuple[np.ndarray, ...]
     books: tuple[tuple[np.ndarray, ...], ...]
     edges: tuple[int, ...]
-    threshold: float
+    best: int
 
     @staticmethod
-    def for_data(n: int, dim: int) -> CapCode:
-        share = min(0.25, NEIGHBOURS / max(n, 1))
-        blocks = 1 if dim < 8 else 2 if LIST / share < 1e6 else 3
-        words = min(4096, max(2, math.ceil((LIST / share) ** (1 / blocks))))
-        edges = tuple(round(k * dim / blocks) for k in range(blocks + 1))
+    def for_data(n: int, dim: int, similarity: float = SIMILARITY) -> CapCode:
+        """The code with the fewest filters a vector whose computed share of missed pairs is at most ``MISSED``.
+
+        A random rotation makes the codes independent, so the chance p that one code brings a pair at the limit
+        together (measured on ``TRIALS`` random pairs) says how many are needed. Filters are no smaller than the
+        share of vectors that link anyway; where even so many filters do not do, they get larger.
+        """
         rng = np.random.default_rng(5)
-        rotations, books = [], []
-        for _ in range(CODES):
-            rotations.append(np.linalg.qr(rng.standard_normal((dim, dim)))[0])
-            own = []
-            for a, b in zip(edges, edges[1:], strict=False):
-                book = rng.standard_normal((words, b - a))
-                own.append(book / np.linalg.norm(book, axis=1, keepdims=True) * math.sqrt((b - a) / dim))
-            books.append(tuple(own))
-        # A random unit vector's product with a direction is about normal with variance 1 / dim.
-        cut = NormalDist().inv_cdf(1 - min(0.5, LIST / words**blocks)) / math.sqrt(dim)
-        return CapCode(tuple(rotations), tuple(books), edges, cut)
+        share = min(0.25, max(NEIGHBOURS / max(n, 1), _cap_share(similarity, dim)))
+        while True:
+            fits = [CapCode._fitted(share, best, dim, similarity) for best in BESTS]
+            codes, trial = min(fits, key=lambda f: (f[0] * f[1].best, f[0]))
+            if codes * trial.best <= FILTERS or share >= 0.25:
+                break
+            share = min(0.25, 2 * share)
+        words = trial.books[0][0].shape[0]
+        made = [CapCode._made(rng, words, trial.edges, trial.best) for _ in range(codes)]
+        return CapCode(tuple(c.rotations[0] for c in made), tuple(c.books[0] for c in made), trial.edges, trial.best)
+
+    @staticmethod
+    def _made(rng: np.random.Generator, words: int, edges: tuple[int, ...], best: int) -> CapCode:
+        dim, own = edges[-1], []
+        rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+        for a, b in zip(edges, edges[1:], strict=False):
+            book = rng.standard_normal((words, b - a))
+            own.append(book / np.linalg.norm(book, axis=1, keepdims=True) * math.sqrt((b - a) / dim))
+        return CapCode((rotation,), (tuple(own),), edges, best)
+
+    @staticmethod
+    def _fitted(share: float, best: int, dim: int, similarity: float) -> tuple[int, CapCode]:
+        """One code of about best / share directions, and how many such codes are needed."""
+        rng = np.random.default_rng(7)
+        blocks = 1 if dim < 8 else 2 if best / share < 1e6 else 3
+        words = min(4096, max(2, math.ceil((best / share) ** (1 / blocks))))
+        trial = CapCode._made(rng, words, tuple(round(k * dim / blocks) for k in range(blocks + 1)), best)
+        x = _units(rng.standard_normal((TRIALS, dim)))
+        away = rng.standard_normal(x.shape)
+        away -= (away * x).sum(axis=1, keepdims=True) * x
+        length = np.linalg.norm(away, axis=1, keepdims=True)
+        level = max(-1.0, min(similarity, 1.0)) if dim > 1 else 1.0
+        y = level * x + math.sqrt(1 - level * level) * away / np.where(length > 0, length, 1)
+        p = np.mean([len(np.intersect1d(a, b, assume_unique=True)) > 0 for a, b in zip(trial.decode(x), trial.decode(y), strict=True)])
+        needed = math.log(MISSED) / math.log1p(-min(p, 1 - MISSED)) if p > 0 else FILTERS + 1
+        return max(CODES, math.ceil(needed)), trial
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """The filters of each unit vector, ascending: all that exceed the threshold, of each code at least the best."""
-        each = [self._decoded(x @ r, books) for r, books in zip(self.rotations, self.books, strict=True)]
-        return [np.concatenate([(k << 48) + f[i] for k, f in enumerate(each)]) for i in range(len(x))]
-
-    def _decoded(self, x: np.ndarray, books: tuple[np.ndarray, ...]) -> list[np.ndarray]:
-        parts = [x[:, a:b] @ book.T for (a, b), book in zip(zip(self.edges, self.edges[1:], strict=False), books, strict=True)]
-        best = np.cumsum([p.max(axis=1) for p in parts[::-1]], axis=0)[::-1]
-        cut = np.minimum(self.threshold, best[0] - 1e-9)
-        rows, sums, codes = np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x), np.int64)
-        for k, part in enumerate(parts):
-            after = best[k + 1] if k + 1 < len(parts) else np.zeros(len(x))
-            total = sums[:, None] + part[rows]
-            at, word = np.nonzero(total + after[rows][:, None] > cut[rows][:, None])
-            sums, codes, rows = total[at, word], codes[at] * part.shape[1] + word, rows[at]
-        ends = np.searchsorted(rows, np.arange(len(x) + 1))
-        return [np.sort(codes[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        """The filters of each unit vector, ascending: the best directions of each code."""
+        each = [(k << 48) + self._decoded(x @ r, books) for k, (r, books) in enumerate(zip(self.rotations, self.books, strict=True))]
+        return list(np.concatenate(each, axis=1))
+
+    def _decoded(self, x: np.ndarray, books: tuple[np.ndarray, ...]) -> np.ndarray:
+        """A word beyond the best of its block is in no best direction, so each block brings its best words only."""
+        rows = np.arange(len(x))[:, None]
+        sums, codes = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+        for (a, b), book in zip(zip(self.edges, self.edges[1:], strict=False), books, strict=True):
+            part = x[:, a:b] @ book.T
+            word = _top(part, self.best)
+            total = (sums[:, :, None] + part[rows, word][:, None, :]).reshape(len(x), -1)
+            whole = (codes[:, :, None] * len(book) + word[:, None, :]).reshape(len(x), -1)
+            at = _top(total, self.best)
+            sums, codes = total[rows, at], whole[rows, at]
+        return np.sort(codes, axis=1)
+
+
+def _top(values: np.ndarray, k: int) -> np.ndarray:
+    """Per row the places of the k largest values."""
+    n = values.shape[1]
+    return np.argpartition(values, n - k, axis=1)[:, n - k :] if k < n else np.broadcast_to(np.arange(n), values.shape)
 
 
 def _fine(v: Column) -> Column:
@@ -208,7 +252,7 @@ def cap_links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     groups = stored(usable.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.any_value("embedding").alias("embedding")), "vectors")
     found = spark.createDataFrame([], FOUND)
     for r in groups.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
-        part = _found(groups.where(F.size("embedding") == r.dim), r.n, CapCode.for_data(r.n, r.dim), similarity)
+        part = _found(groups.where(F.size("embedding") == r.dim), r.n, CapCode.for_data(r.n, r.dim, similarity), similarity)
         found = found.unionByName(part)
     found = stored(found, "cap-links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("linked"))
@@ -224,7 +268,7 @@ def cap_links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def _found(distinct: DataFrame, n: int, code: CapCode, similarity: float) -> DataFrame:
     # A bundle of short lists has about ``BUNDLE`` rows; a block of a long list is at most 2 * BLOCK rows of one.
-    bundles = max(4 * shuffle_partitions(distinct.sparkSession), n * CODES * LIST // BUNDLE)
+    bundles = max(4 * shuffle_partitions(distinct.sparkSession), n * len(code.rotations) * code.best // BUNDLE)
     members = stored(_members(distinct, code), "cap-members")
     sizes = members.groupBy("filter").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")

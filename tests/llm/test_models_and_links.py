@@ -145,6 +145,35 @@ def test_recall_at_the_limit():
         assert np.mean(shared) > 0.95
 
 
+@pytest.mark.parametrize("dim", [1, 2, 3, 4, 8, 24, 64, 256])
+@pytest.mark.parametrize("n", [300, 100_000, 2_100_000, 20_000_000, 100_000_000])
+def test_recall_at_any_size_and_dimension(n, dim):
+    rng = np.random.default_rng(dim)
+    code = caps.CapCode.for_data(n, dim)
+    x = rng.standard_normal((2000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x
+    if dim > 1:
+        r = rng.standard_normal(x.shape)
+        r -= (r * x).sum(axis=1, keepdims=True) * x
+        y = 0.95 * x + math.sqrt(1 - 0.95**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    lists = code.decode(x)
+    assert all((np.diff(f) > 0).all() for f in lists) and max(map(len, lists)) <= caps.FILTERS
+    shared = [not set(a.tolist()).isdisjoint(b.tolist()) for a, b in zip(lists, code.decode(y), strict=True)]
+    assert np.mean(shared) > 0.985
+
+
+def test_a_lower_limit_gets_more_filters():
+    rng = np.random.default_rng(3)
+    code = caps.CapCode.for_data(100_000, 64, 0.85)
+    x = rng.standard_normal((1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = rng.standard_normal(x.shape)
+    r -= (r * x).sum(axis=1, keepdims=True) * x
+    y = 0.85 * x + math.sqrt(1 - 0.85**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    assert np.mean([not set(a.tolist()).isdisjoint(b.tolist()) for a, b in zip(code.decode(x), code.decode(y), strict=True)]) > 0.98
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(i, i + 1) for i in range(0, 60)] + [(100 - i, 101) for i in range(20)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)] + [(7, 7), (None, 3), (1, 0)]
