@@ -1,6 +1,7 @@
 """N-gram Jaccard self-join by a grouped prefix join.
 
-A text is the set of its distinct word shingles (as 64-bit hashes). Texts with equal sets are one node. Under
+A text is the set of its distinct word shingles (as 64-bit hashes). Texts with equal sets are one node; different
+sets of one doc_id are nodes of their own, joined to one document at the end. Under
 a global order of shingles, rarest first, two sets that are similar enough share a shingle within their
 prefixes. That is applied twice:
 
@@ -19,6 +20,7 @@ link per member, not all pairs. No list is cut and no candidate dropped.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -209,8 +211,15 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     sets = stored(_described(rows, shingle), "sets")
     usable = sets.where("doc_id is not null and n > 0")
     same = usable.groupBy("n", "high", "low").agg(F.min("doc_id").alias("node"), F.first("front").alias("front"))
-    nodes = stored(same.groupBy(F.col("node").alias("doc_id")).agg(F.max("n").alias("n"), F.max("front").alias("front"), F.count(F.lit(1)).alias("sets")), "nodes")
     known = rows.where("doc_id is not null")
+    several_sets = _several_sets(sets)
+    extra = None if several_sets.isEmpty() else _fresh_nodes(same, several_sets, usable)
+    if extra is None:
+        nodes = stored(same.select(F.col("node").alias("doc_id"), "n", "front"), "nodes")
+    else:
+        own = same.join(several_sets.withColumnRenamed("doc_id", "node"), "node", "left_anti").select(F.col("node").alias("doc_id"), "n", "front")
+        nodes = stored(own.unionByName(extra.select(F.col("fresh").alias("doc_id"), "n", "front")), "nodes")
+        known = known.join(several_sets, "doc_id", "left_anti").unionByName(_renamed(known.join(several_sets, "doc_id", "left_semi"), extra, shingle))
     near = stored(_partnered(known, nodes, shingle, percent), "partnered")
     texts = stored(known.join(near, "doc_id", "left_semi"), "candidate-texts")
     held = stored(_postings(texts, nodes.join(near, "doc_id", "left_semi"), shingle, percent), "prefixes")
@@ -252,14 +261,66 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     links = stored(first.unionByName(second), "links")
     for spent in (sketches, texts, held, members, postings, labelled):
         discard(spent)
-    found = components(links).select(F.col("node").alias("node"), "label")
+    if extra is not None:
+        links = _between_documents(links, extra).unionByName(_of_one_document(usable, same, several_sets))
+    found = stored(components(links), "labels")
     named = same.join(found, "node", "left").select("n", "high", "low", F.coalesce("label", "node").alias("component"))
-    # A doc_id with several texts is one document.
     joined = sets.join(named, ["n", "high", "low"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    if extra is not None:
+        # A row of no words has no set; it belongs to its document all the same.
+        whole = several_sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("label", "whole")
+        joined = joined.join(whole, "doc_id", "left")
+        component = F.coalesce("whole", component)
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
+def _several_sets(sets: DataFrame) -> DataFrame:
+    """Each doc_id whose rows have different sets."""
+    ends = [e for c in ("n", "high", "low") for e in (F.min(c).alias(f"{c}_a"), F.max(c).alias(f"{c}_b"))]
+    found = sets.where("doc_id is not null").groupBy("doc_id").agg(*ends)
+    return stored(found.where("n_a < n_b or high_a < high_b or low_a < low_b").select("doc_id"), "several-sets")
+
+
+def _fresh_nodes(same: DataFrame, several_sets: DataFrame, usable: DataFrame) -> DataFrame:
+    """The sets whose smallest doc_id has several, each with an id of its own (``fresh``) that no document has."""
+    owned = same.join(several_sets.withColumnRenamed("doc_id", "node"), "node", "left_semi")
+    for salt in count():
+        made = stored(owned.withColumn("fresh", F.xxhash64(F.lit(salt), "n", "high", "low")), "fresh-nodes")
+        twice = made.groupBy("fresh").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+        if twice.isEmpty() and made.join(usable.select(F.col("doc_id").alias("fresh")), "fresh", "left_semi").isEmpty():
+            return made
+        discard(made)
+    raise AssertionError
+
+
+def _renamed(texts: DataFrame, extra: DataFrame, size: int) -> DataFrame:
+    """One row (doc_id, text) for each set of ``extra``, under its fresh id."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, _, high, low = np.array([_digest(s) for s in shingle_sets(batch.column("text"), size)], np.int64).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (n, high, low))], names=["node", "text", "n", "high", "low"])
+
+    described = texts.select(F.col("doc_id").alias("node"), "text").mapInArrow(task, "node bigint, text string, n bigint, high bigint, low bigint")
+    renamed = described.join(extra.drop("front"), ["node", "n", "high", "low"]).select(F.col("fresh").alias("doc_id"), "text")
+    return stored(renamed.dropDuplicates(["doc_id"]), "renamed-texts")
+
+
+def _between_documents(links: DataFrame, extra: DataFrame) -> DataFrame:
+    """Links of sets as links of the documents that have them."""
+    for side in ("a", "b"):
+        owner = extra.select(F.col("fresh").alias(side), F.col("node").alias("owner"))
+        links = links.join(owner, side, "left").withColumn(side, F.coalesce("owner", side)).drop("owner")
+    return links.select("a", "b")
+
+
+def _of_one_document(usable: DataFrame, same: DataFrame, several_sets: DataFrame) -> DataFrame:
+    """Links of a document of several sets to the smallest document that has one of them."""
+    own = usable.join(several_sets, "doc_id", "left_semi").select("doc_id", "n", "high", "low").distinct()
+    return own.join(same.select("n", "high", "low", "node"), ["n", "high", "low"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+
+
 def _checked(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     return _verified(stored(_bounded(distinct, sketches, percent), "pairs"), texts, size, percent).distinct()

@@ -151,6 +151,15 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_jaccard_links_what_any_text_of_a_doc_id_links_with(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    long, short, third, other = text(200), text(40), text(90), text(60)
+    rows = [(5, long), (5, short), (5, ""), (9, short + " more"), (12, "first " + long), (20, third), (20, short), (3, third + " end"), (30, other), (31, other), (31, other), (40, text(40)), (None, short)]
+    found = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_groups(spark.createDataFrame(rows_of(rows), SCHEMA)).collect()}
+    assert {d: {c for (e, _), c in found.items() if e == d} for d, _ in rows} == {5: {3}, 9: {3}, 12: {3}, 20: {3}, 3: {3}, 30: {30}, 31: {30}, 40: {40}, None: {None}}
+
+
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
