@@ -4,7 +4,11 @@ Each text gives a few measures (capitals, symbols, repetition, ...) to a logisti
 sample of labelled rows (``SAMPLE``). Per path and host the labelled outcomes and, at a lower weight, the
 classifier's probabilities of all other texts are summed; a path's rate is shrunk towards its host's and a
 host's towards the global one. The site then shifts the document's log-odds by how far its rate lies from
-the global rate: a sparse site hardly does.
+the global rate: a sparse site hardly does. The prior's strength is the constant ``STRENGTH`` at both levels; it is
+not estimated from the spread of the groups.
+
+Host and path are columns of the caller's choice. ``documents`` has no url, so the query and the pipeline pass
+``source`` as host and ``lang`` as path: their path level is a language within a source.
 """
 
 from __future__ import annotations
