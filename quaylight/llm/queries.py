@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import caps, chat, decontaminate, jaccard, language, packing, phrases, quality, toxicity, urls
+from quaylight.llm import caps, chat, decontaminate, jaccard, language, packing, phrases, pieces, quality, toxicity, urls
 from quaylight.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,14 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, folder, "documents"))
+
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op13_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.piece_digest(pieces.encode_pieces(table(spark, folder, "documents"), piece_model()))
