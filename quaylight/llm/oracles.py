@@ -113,3 +113,60 @@ e AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE
 {_REACHED}
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(label, doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = doc_id
 """
+
+
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS UBIGINT))), "
+    "lambda c, x: list_reduce(list_prepend(xor(c, x), [CAST(k AS UBIGINT) for k in range(8)]), "
+    "lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, CAST(3988292384 AS UBIGINT)) ELSE d >> 1 END)))"
+)
+
+
+def _leaf(**other: str) -> str:
+    texts = [f"CAST({other.get(c, c)} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    return "sha256(" + " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in texts) + ")"
+
+
+def _tree(name: str, levels: int) -> str:
+    """Tables name0.. of nodes (g, r, h, c = nodes of the level), and name0s.. of each node's siblings."""
+    out = []
+    for k in range(levels):
+        out.append(
+            f"{name}{k + 1} AS (SELECT g, r // 16 AS r, CASE WHEN max(c) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY r)) END AS h, "
+            f"CASE WHEN max(c) = 1 THEN 1 ELSE (max(c) + 15) // 16 END AS c FROM {name}{k} GROUP BY g, r // 16)"
+        )
+        out.append(
+            f"{name}{k}s AS (SELECT a.g, a.r, any_value(a.c) AS c, coalesce(string_agg(b.h, '' ORDER BY b.r) FILTER (b.r < a.r), '') AS p, "
+            f"coalesce(string_agg(b.h, '' ORDER BY b.r) FILTER (b.r > a.r), '') AS q FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.r // 16 = b.r // 16 GROUP BY a.g, a.r)"
+        )
+    return ",\n".join(out)
+
+
+def _folds(name: str, levels: int, value: str, rank: str, group: str) -> tuple[str, str, str]:
+    """The proof's text, the folded value and the joins of one tree."""
+    proof, joins = "", ""
+    for k in range(levels):
+        at = f"{name}{k}j"
+        joins += f" JOIN {name}{k}s {at} ON {at}.g = {group} AND {at}.r = {rank} // {16**k}"
+        proof += f" || {at}.p || {at}.q"
+        value = f"CASE WHEN {at}.c = 1 THEN {value} ELSE sha256({at}.p || {value} || {at}.q) END"
+    return proof, value, joins
+
+
+#: Levels enough for 65 536 documents a source and 256 sources.
+_LOW, _TOP = 4, 2
+_LOW_PROOF, _LOW_FOLD, _LOW_JOINS = _folds("n", _LOW, "v", "d.r", "d.g")
+_TOP_PROOF, _TOP_FOLD, _TOP_JOINS = _folds("t", _TOP, "v", "g", "0")
+ORACLES["op11_merkle_manifest"] = f"""
+WITH b AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, {_leaf()} AS leaf,
+CASE WHEN {_CRC32.format("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_leaf(text=_LOWER.format("text"))} ELSE {_leaf()} END AS v FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM b),
+n0 AS (SELECT g, r, leaf AS h, count(*) OVER (PARTITION BY g) AS c FROM d),
+{_tree("n", _LOW)},
+t0 AS (SELECT 0 AS g, g AS r, h, count(*) OVER () AS c FROM n{_LOW}),
+{_tree("t", _TOP)},
+e AS (SELECT d.doc_id, d.leaf, d.g, ''{_LOW_PROOF} AS proof, {_LOW_FOLD} AS v FROM d {_LOW_JOINS}),
+f AS (SELECT doc_id, leaf, e.g, proof{_TOP_PROOF} AS proof, {_TOP_FOLD} AS folded FROM e {_TOP_JOINS.replace("= g //", "= e.g //")})
+SELECT doc_id, leaf, n{_LOW}.h AS subroot, t{_TOP}.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t{_TOP}.h AS verified
+FROM f JOIN n{_LOW} ON n{_LOW}.g = f.g, t{_TOP}
+"""

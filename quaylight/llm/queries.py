@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import caps, chat, decontaminate, jaccard, language, packing, phrases, pieces, quality, toxicity, urls
+from quaylight.llm import caps, chat, decontaminate, jaccard, language, manifest, packing, phrases, pieces, quality, toxicity, urls
 from quaylight.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,14 @@ def op10_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_groups(table(spark, folder, "documents"))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.when(remainder(5) == 0, manifest.leaf_digest(docs, columns, text=manifest.lowered(docs["text"])))
+    return manifest.manifest(docs, altered=tampered).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def piece_model() -> str:
     import public_tokenizers
 
