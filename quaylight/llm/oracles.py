@@ -170,3 +170,22 @@ f AS (SELECT doc_id, leaf, e.g, proof{_TOP_PROOF} AS proof, {_TOP_FOLD} AS folde
 SELECT doc_id, leaf, n{_LOW}.h AS subroot, t{_TOP}.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = t{_TOP}.h AS verified
 FROM f JOIN n{_LOW} ON n{_LOW}.g = f.g, t{_TOP}
 """
+
+ORACLES["op12_collocations"] = f"""
+WITH x AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM x),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+g AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS a FROM s, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+z AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY 1),
+f AS (SELECT * FROM g WHERE a >= 100),
+e AS (SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[:-2], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS phrase FROM f WHERE k > 2),
+m AS (SELECT lang, phrase, max(a) AS more FROM e GROUP BY ALL),
+c AS (SELECT f.* FROM f LEFT JOIN m USING (lang, phrase) WHERE k > 1 AND coalesce(100 * more < 100 * f.a, true)),
+u AS (SELECT *, unnest(range(1, k)) AS j FROM c),
+v AS (SELECT u.*, l.a AS l, r.a AS r, n, CAST((CAST(1000 AS HUGEINT) * u.a * n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score FROM u JOIN z USING (lang)
+JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(string_split(u.phrase, ' ')[1:j], ' ')
+JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(string_split(u.phrase, ' ')[j + 1:], ' ')),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaylight.llm import caps, chat, decontaminate, jaccard, language, manifest, packing, phrases, pieces, quality, toxicity, urls
+from quaylight.llm import caps, chat, collocations, decontaminate, jaccard, language, manifest, packing, phrases, pieces, quality, toxicity, urls
 from quaylight.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,11 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.manifest(docs, altered=tampered).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def piece_model() -> str:
     import public_tokenizers
 
