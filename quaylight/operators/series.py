@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaylight.functions.times import step_number, step_time
+from quaylight.operators import chains
 from quaylight.schema import col
 from quaylight.session import cut_lineage
 
@@ -114,94 +115,22 @@ def first_sights(
     ts: str,
     window_seconds: int,
     inclusive: bool = False,
-    hot_limit: int = 50_000,
+    parts: int | None = None,
 ) -> DataFrame:
     """``(keys, ts)`` of every first sight of a key, and of each sight more than ``window_seconds``
     after the last kept one (at least that much with ``inclusive``).
 
     A kept sight is not refreshed by the duplicates it hides, so the rule is a chain, not a gap. Rows without a
     time are in no chain: they are not sights.
-    Keys with up to ``hot_limit`` rows fold an array. A hotter key is never gathered: its chain is
-    found by pointer doubling, joins on ``(key, ts)`` pairs which are unique. One cheap count per
-    key, combined before its shuffle, decides which way a key goes.
+    Distinct sights are range partitioned by key and time (into ``parts``, or the session's number) and written
+    once, so a key of any size is spread over as many tasks as its rows need; see ``chains``.
     """
     # A struct of the keys compares equal on nulls, which plain join keys do not.
     rows = df.select(F.struct(*[col(k) for k in keys]).alias("key"), F.unix_micros(col(ts)).alias("t"))
-    hot = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_limit).select("key")
     seen = rows.where("t IS NOT NULL").distinct()
+    named = seen.withColumn("name", F.to_json("key", {"ignoreNullFields": "false"}))
+    by = [F.col("name"), F.col("t")]
+    ranged = named.repartitionByRange(*([parts] if parts else []), *by).sortWithinPartitions(*by)
     width = window_seconds * 1_000_000 - (1 if inclusive else 0)
-    if hot.isEmpty():
-        kept = _fold_chain(seen, width)
-    else:
-        hot = cut_lineage(hot)
-        cold = _fold_chain(seen.join(hot, "key", "left_anti"), width)
-        kept = cold.unionByName(_double_chain(seen.join(hot, "key", "left_semi"), width))
+    kept = chains.kept_sights(cut_lineage(ranged), "name", "t", width)
     return kept.select("key.*", F.timestamp_micros("t").alias(ts))
-
-
-def _fold_chain(seen: DataFrame, width: int) -> DataFrame:
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("last"),
-        F.array().cast("array<bigint>").alias("kept"),
-    )
-
-    def visit(state: Column, t: Column) -> Column:
-        fresh = state["last"].isNull() | (t - state["last"] > F.lit(width))
-        return F.when(
-            fresh, F.struct(t.alias("last"), F.concat(state["kept"], F.array(t)).alias("kept"))
-        ).otherwise(state)
-
-    return (
-        seen.groupBy("key")
-        .agg(F.sort_array(F.collect_list("t")).alias("ts"))
-        .select("key", F.explode(F.aggregate("ts", start, visit, lambda s: s["kept"])).alias("t"))
-    )
-
-
-def _double_chain(seen: DataFrame, width: int) -> DataFrame:
-    """Chain members of hot keys.
-
-    The successor of t is the first sight after ``t + width``. Sights and ``t + width`` probes are
-    cut into one-second cells (at most a million distinct microseconds each); inside a cell a window
-    finds the next sight, across cells a window over one row per cell does.
-    """
-    sights = seen.select("key", F.col("t").alias("at"), F.lit(None).cast("bigint").alias("origin"))
-    probes = seen.select("key", (F.col("t") + F.lit(width)).alias("at"), F.col("t").alias("origin"))
-    both = sights.unionByName(probes).withColumn("cell", F.expr("at div 1000000"))
-    # A probe (origin set) sorts after a sight at the same instant: the successor is strictly later.
-    sight = F.when(F.col("origin").isNull(), F.col("at"))
-    # Looking ahead is written as looking back in descending order: a frame that grows from the
-    # start is kept up row by row, one that shrinks towards the end is recomputed for every row.
-    ahead = (
-        Window.partitionBy("key", "cell")
-        .orderBy(F.col("at").desc(), F.col("origin").desc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inside = both.withColumn("next", F.min(sight).over(ahead))
-    later = (
-        Window.partitionBy("key")
-        .orderBy(F.col("cell").desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    cells = (
-        both.groupBy("key", "cell")
-        .agg(F.min(sight).alias("first"))
-        .select("key", "cell", F.min("first").over(later).alias("after"))
-    )
-    jumps = cut_lineage(
-        inside.where(F.col("origin").isNotNull())
-        .join(cells, ["key", "cell"])
-        .select("key", F.col("origin").alias("t"), F.coalesce("next", "after").alias("to"))
-        .where(F.col("to").isNotNull())
-    )
-    chain = cut_lineage(seen.groupBy("key").agg(F.min("t").alias("t")))
-    size = chain.count()
-    while True:
-        reached = chain.join(jumps, ["key", "t"]).select("key", F.col("to").alias("t"))
-        chain = cut_lineage(chain.unionByName(reached).distinct())
-        grown = chain.count()
-        if grown == size:
-            return chain
-        size = grown
-        far = jumps.select("key", F.col("t").alias("to"), F.col("to").alias("far"))
-        jumps = cut_lineage(jumps.join(far, ["key", "to"]).select("key", "t", F.col("far").alias("to")))

@@ -4,10 +4,11 @@ import hashlib
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaylight.operators import delivery, failures, series, sinks
+from quaylight.operators import chains, delivery, failures, series, sinks
 from quaylight.operators.project import sanitise
 from quaylight.operators.series import numbered
 
@@ -27,19 +28,63 @@ def chain(times, window, inclusive=False):
     return kept
 
 
-@pytest.mark.parametrize("hot_limit", [0, 50_000])
+@pytest.mark.parametrize("parts", [None, 1, 40])
 @pytest.mark.parametrize("inclusive", [False, True])
-def test_first_sights(spark, hot_limit, inclusive):
+def test_first_sights(spark, parts, inclusive):
     rng = random.Random(7)
     keys = {"a": [0, 10, 3600, 3601, 7000, 7201], "b": [rng.randrange(0, 90000) for _ in range(400)], None: [5, 6, 9000], "c": [i * 1800 for i in range(30)]}
     df = at(spark, [(t, k) for k, ts in keys.items() for t in ts])
-    out = series.first_sights(df, ["key"], "ts", 3600, inclusive, hot_limit).collect()
+    out = series.first_sights(df, ["key"], "ts", 3600, inclusive, parts).collect()
     got = {}
     for r in out:
         got.setdefault(r.key, []).append(int((r.ts - T0).total_seconds()))
     assert {k: sorted(v) for k, v in got.items()} == {k: chain(v, 3600, inclusive) for k, v in keys.items()}
 
 
+def random_sights(rng, regular):
+    """Times of a few keys in order: dense, sparse, evenly spaced, with gaps."""
+    rows = []
+    for key in sorted({rng.choice("abcdefg") for _ in range(rng.randrange(1, 6))}):
+        times, t = [], rng.randrange(0, 50)
+        for _ in range(rng.choice([1, 3, 40, 150])):
+            times.append(t)
+            t += 3 if regular else rng.choice([1, 1, 2, 5, 30, 200])
+        rows += [(key, x) for x in times]
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_spans_compose(seed):
+    """Cut anywhere, composed in any grouping: the exit is that of the plain chain."""
+    rng = random.Random(seed)
+    rows, width = random_sights(rng, seed % 2), rng.choice([0, 4, 20, 90])
+    cuts = sorted({0, len(rows), *(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(12)))})
+    spans = []
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = rows[low:high]
+        last = np.array([t for k, t in part if k == part[-1][0]], np.int64)
+        spans.append(chains._span([part[0][0], part[-1][0]], last, width, part[0][0] == part[-1][0]))
+    for i in range(len(spans)):
+        out = spans[i]
+        for j in range(i, len(spans)):
+            out = out if j == i else out.then(spans[j], width)
+            began = [t for k, t in rows[: cuts[i]] if k == rows[cuts[i]][0]]
+            entry = chain(began, width)[-1] if began else None
+            own = [t for k, t in rows[: cuts[j + 1]] if k == rows[cuts[j + 1] - 1][0]]
+            assert out.after(entry, width) == chain(own, width)[-1]
+    while len(spans) > 1:  # halves of halves
+        spans = [a.then(b, width) for a, b in zip(spans[::2], spans[1::2], strict=False)] + spans[len(spans) // 2 * 2 :]
+    assert spans[0].after(None, width) == chain([t for k, t in rows if k == rows[-1][0]], width)[-1]
+
+
+def test_a_hot_key_is_linear(spark):
+    """400 000 kept sights of one key among 1 200 000 sights, over more partitions than one level holds."""
+    df = spark.range(1_200_000).selectExpr("'hot' AS key", "timestamp_seconds(id * 10) AS ts")
+    out = series.first_sights(df, ["key"], "ts", 25, parts=40)
+    got = out.selectExpr("count(*) AS n", "sum(unix_seconds(ts) % 30) AS off").first()
+    assert (got.n, got.off) == (400_000, 0)
+
+
 def test_drop_repeats(spark):
     df = at(spark, [(0, "k", 2), (0, "k", 1), (10, "k", 3), (4000, "k", 4), (0, None, 5)], "key string, id long")
     assert sorted(r.id for r in delivery.drop_repeats(df, ["key"], "ts", "id").collect()) == [1, 4, 5]
