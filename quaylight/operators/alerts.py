@@ -22,6 +22,7 @@ from quaylight.schema import col
 
 
 _BLOCK = 10_000
+_SERIES = ("series", "sink")
 
 
 @dataclass(frozen=True)
@@ -133,44 +134,35 @@ def down_rule(
 def reliability_alerts(
     samples: DataFrame, step_seconds: int = 60, range_seconds: int = 300
 ) -> DataFrame:
-    """The recommended sink alerts: open circuit, full queue, dead letters, retries, growth."""
-    def gauge(name: str) -> DataFrame:
-        series = m.select_series(samples, name, ("sink",))
-        cells = per_step(series, ("sink",), step_seconds, [F.max(F.struct("ts", "value")).alias("v")])
-        return with_eval_time(cells.withColumn("value", F.col("v.value")).drop("v"), step_seconds)
-
-    def grown(name: str) -> DataFrame:
-        series = m.select_series(samples, name, ("sink",))
-        rates = m.rate(series, range_seconds, ("series", "sink"), step_seconds)
-        return m.sum_by(rates, "rate", ("sink",)).withColumnRenamed("rate", "value")
-
-    sizes = m.select_series(samples, "sink_queue_size", ("sink",))
-    growth = m.gauge_growth(sizes, range_seconds, ("series", "sink"), step_seconds)
-    growth = growth.groupBy("sink", "eval_ts").agg(F.sum("growth").alias("value"))
-    full = m.threshold(gauge("sink_queue_bytes"), "value", ">", 0.9, fixed.QUEUE_CAPACITY_BYTES)
+    """The recommended sink alerts: open circuit, full queue, dead letters, retries, growth.
+
+    Every series (``series``: its whole label set) is tested for itself, so of two instances of a sink one can
+    fire while the other does not.
+    """
+    counters, gauges = ["sink_dlq_total", "sink_retry_total"], ["sink_circuit_state", "sink_queue_bytes", "sink_queue_size"]
+    # Two passes over the samples, whatever the number of rules: one for counters, one for gauges.
+    rates = m.rate(m.select_series(samples, counters, ("sink",)), range_seconds, ("name", *_SERIES), step_seconds)
+    rates = rates.withColumnRenamed("rate", "value")
+    levels = m.select_series(samples, gauges, ("sink",))
+    last = per_step(levels, ("name", *_SERIES), step_seconds, [F.max(F.struct("ts", "value")).alias("v")])
+    last = with_eval_time(last.withColumn("value", F.col("v.value")).drop("v"), step_seconds)
+    growth = m.gauge_growth(levels.where(F.col("name") == "sink_queue_size"), range_seconds, ("name", *_SERIES), step_seconds)
+    growth = growth.withColumnRenamed("growth", "value")
+
     critical, warning = {"severity": "critical"}, {"severity": "warning"}
     parts = [
-        (
-            m.threshold(gauge("sink_circuit_state"), "value", "==", 1),
-            Rule("SinkCircuitBreakerOpen", 300, critical),
-        ),
-        (full, Rule("SinkQueueNearFull", 600, critical)),
-        (
-            m.threshold(grown("sink_dlq_total"), "value", ">", 0.01),
-            Rule("HighDeadLetterQueueRate", 300, critical),
-        ),
-        (
-            m.threshold(grown("sink_retry_total"), "value", ">", 0.1),
-            Rule("HighSinkRetryRate", 600, warning),
-        ),
-        (m.threshold(growth, "value", ">", 1), Rule("SinkQueueGrowth", 900, warning)),
+        (last, "sink_circuit_state", ("==", 1), Rule("SinkCircuitBreakerOpen", 300, critical)),
+        (last, "sink_queue_bytes", (">", 0.9, fixed.QUEUE_CAPACITY_BYTES), Rule("SinkQueueNearFull", 600, critical)),
+        (rates, "sink_dlq_total", (">", 0.01), Rule("HighDeadLetterQueueRate", 300, critical)),
+        (rates, "sink_retry_total", (">", 0.1), Rule("HighSinkRetryRate", 600, warning)),
+        (growth, "sink_queue_size", (">", 1), Rule("SinkQueueGrowth", 900, warning)),
     ]
     return m.union_rules(
         [
-            evaluate(cond, rule, ("sink",), step_seconds).select(
-                "eval_ts", "alertname", "sink", "severity", "state", "value"
+            evaluate(m.threshold(values.where(F.col("name") == name), "value", *test), rule, _SERIES, step_seconds).select(
+                "eval_ts", "alertname", *_SERIES, "severity", "state", "value"
             )
-            for cond, rule in parts
+            for values, name, test, rule in parts
         ]
     )
 

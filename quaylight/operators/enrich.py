@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +97,8 @@ def geo_hint(
     """Location map of the first IP field: exact address, else the first subnet in config order.
 
     Subnets are matched by equality of network addresses, one lookup per distinct prefix length,
-    so no pair of (event, subnet) is ever formed.
+    so no pair of (event, subnet) is ever formed. The configured tables are local relations whose size Spark
+    knows: they are broadcast below ``spark.sql.autoBroadcastJoinThreshold`` and joined by shuffle above it.
     """
     fields = present(df, ip_fields)
     if not fields or not (ip_map or subnet_map):
@@ -106,11 +108,12 @@ def geo_hint(
     out = out.withColumn("__num", ip_number(F.col("__ip")))
 
     def attach(left: DataFrame, rows: list, key: Column, label: str) -> DataFrame:
-        kind = "string" if isinstance(rows[0][0], str) else "bigint"
-        small = spark.createDataFrame(
-            [(k, (o, dict(p))) for k, o, p in rows],
-            f"__k {kind}, {label} struct<o:int,p:map<string,string>>",
+        keys, orders, places = zip(*rows, strict=True)
+        found = pa.StructArray.from_arrays(
+            [pa.array(orders, pa.int32()), pa.array([list(p.items()) for p in places], pa.map_(pa.string(), pa.string()))],
+            names=["o", "p"],
         )
+        small = spark.createDataFrame(pa.table({"__k": pa.array(keys), label: found}))
         return left.join(small, key == F.col("__k"), "left").drop("__k")
 
     exact = [(ip, 0, place) for ip, place in ip_map.items()]

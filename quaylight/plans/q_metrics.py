@@ -389,31 +389,29 @@ def alert_error_ratio(spark, folder):
 
 
 _REL = (
-    f"cells AS (SELECT name, sink, {step_sql('ts', H)} AS step, arg_max(value, ts) AS v FROM sm WHERE name IN ('up', 'sink_queue_bytes') GROUP BY ALL), "
-    f"rates AS (SELECT name, sink, step, sum(increase) / {H}.0 AS v FROM inc GROUP BY ALL), "
-    "c AS (SELECT 'SinkCircuitBreakerOpen' AS alertname, 'critical' AS severity, sink, step FROM cells WHERE name = 'up' AND v = 1 "
-    "UNION ALL SELECT 'SinkQueueNearFull', 'critical', sink, step FROM cells WHERE name = 'sink_queue_bytes' AND v / 104857600.0 > 0.9 "
-    "UNION ALL SELECT 'HighDeadLetterQueueRate', 'critical', sink, step FROM rates WHERE name = 'sink_error_total' AND v > 0.01 "
-    "UNION ALL SELECT 'HighSinkRetryRate', 'warning', sink, step FROM rates WHERE name = 'sink_written_total' AND v > 0.1), "
-    "r AS (SELECT *, step - row_number() OVER (PARTITION BY alertname, sink ORDER BY step) AS run FROM c), "
-    "f AS (SELECT *, min(step) OVER (PARTITION BY alertname, sink, run) AS s0 FROM r)"
+    f"cells AS (SELECT name, sink, status, {step_sql('ts', H)} AS step, arg_max(value, ts) AS v, arg_min(value, ts) AS v0 FROM sm WHERE name IN ('up', 'sink_queue_bytes', 'requests_total') GROUP BY ALL), "
+    "c AS (SELECT 'SinkCircuitBreakerOpen' AS alertname, 'critical' AS severity, sink, status, step, v AS value FROM cells WHERE name = 'up' AND v = 1 "
+    "UNION ALL SELECT 'SinkQueueNearFull', 'critical', sink, status, step, v FROM cells WHERE name = 'sink_queue_bytes' AND v / 104857600.0 > 0.9 "
+    f"UNION ALL SELECT 'SinkQueueGrowth', 'warning', sink, status, step, (v * 1000.0 - v0 * 1000.0) / {H}.0 FROM cells WHERE name = 'requests_total' AND (v * 1000.0 - v0 * 1000.0) / {H}.0 > 1 "
+    f"UNION ALL SELECT 'HighDeadLetterQueueRate', 'critical', sink, status, step, increase / {H}.0 FROM inc WHERE name = 'sink_error_total' AND increase / {H}.0 > 0.01 "
+    f"UNION ALL SELECT 'HighSinkRetryRate', 'warning', sink, status, step, increase / {H}.0 FROM inc WHERE name = 'sink_written_total' AND increase / {H}.0 > 0.1), "
+    "r AS (SELECT *, step - row_number() OVER (PARTITION BY alertname, sink, status ORDER BY step) AS run FROM c), "
+    "f AS (SELECT *, min(step) OVER (PARTITION BY alertname, sink, status, run) AS s0 FROM r)"
 )
 
 
 @query(
     with_parts(SAMPLES_SQL, increase_sql("(SELECT * FROM sm WHERE name IN ('sink_written_total', 'sink_error_total'))", "name, sink, status", H), _REL)
-    + "SELECT alertname, severity, CASE WHEN step > s0 THEN 'firing' ELSE 'pending' END AS state, count(*) AS n FROM f GROUP BY ALL"
+    + f"SELECT step * {H} AS eval_s, alertname, severity, sink, status, CASE WHEN step > s0 THEN 'firing' ELSE 'pending' END AS state, round(value, 6) AS value FROM f"
 )
 def alert_reliability(spark, folder):
-    """The recommended sink alerts over renamed counters."""
+    """The recommended sink alerts over renamed counters, every series for itself."""
     s = sh.samples(spark, folder)
-    name = (
-        F.when(F.col("name") == "sink_written_total", "sink_retry_total")
-        .when(F.col("name") == "sink_error_total", "sink_dlq_total")
-        .when(F.col("name") == "up", "sink_circuit_state")
-        .otherwise(F.col("name"))
-    )
-    return al.reliability_alerts(s.withColumn("name", name), H, H).groupBy("alertname", "severity", "state").agg(F.count("*").alias("n"))
+    names = {"sink_written_total": "sink_retry_total", "sink_error_total": "sink_dlq_total", "up": "sink_circuit_state", "requests_total": "sink_queue_size"}
+    renamed = F.coalesce(*[F.when(F.col("name") == a, F.lit(b)) for a, b in names.items()], F.col("name"))
+    s = s.withColumn("value", F.when(F.col("name") == "requests_total", F.col("value") * 1000).otherwise(F.col("value"))).withColumn("name", renamed)
+    fired = al.reliability_alerts(s, H, H)
+    return _eval(fired).select("eval_s", "alertname", "severity", "sink", F.get_json_object("series", "$.status").alias("status"), "state", F.round("value", 6).alias("value"))
 
 
 # Alerts for what follows are derived from events: name by type, job and service by user.

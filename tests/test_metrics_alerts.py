@@ -129,6 +129,23 @@ def test_rules(spark):
     assert slow.where("state = 'firing'").count() == 1
 
 
+def test_an_open_circuit_beside_a_closed_one(spark):
+    """Two instances of a sink: only the open one fires, whichever is sampled last in a step."""
+    rows = samples(spark, "sink_circuit_state", [(i * 60 - 10, 1) for i in range(1, 13)], sink="s", instance="a").unionByName(
+        samples(spark, "sink_circuit_state", [(i * 60, 0) for i in range(1, 13)], sink="s", instance="b"))
+    fired = al.reliability_alerts(rows).where("state = 'firing'").collect()
+    assert {r.series for r in fired} == {'{"instance":"a","sink":"s"}'} and len(fired) == 7
+
+
+def test_every_reliability_rule_yields_rows(spark):
+    minutes = range(1, 25)
+    rows = [samples(spark, n, [(i * 60, v(i)) for i in minutes], sink="s") for n, v in (
+        ("sink_circuit_state", lambda i: 1), ("sink_queue_bytes", lambda i: 1e8), ("sink_dlq_total", lambda i: 9 * i),
+        ("sink_retry_total", lambda i: 60 * i), ("sink_queue_size", lambda i: 90 * i))]
+    fired = al.reliability_alerts(m.union_rules(rows)).where("state = 'firing'").groupBy("alertname").count().collect()
+    assert {r.alertname for r in fired} == {"SinkCircuitBreakerOpen", "SinkQueueNearFull", "HighDeadLetterQueueRate", "HighSinkRetryRate", "SinkQueueGrowth"}
+
+
 def test_burn(spark):
     def series(values):
         return conditions(spark, [60 * i for i in range(len(values))]).withColumn(

@@ -178,3 +178,12 @@ def test_payload_is_masked_and_walked_by_value(spark):
     assert json.loads(got[6]) == {"long": ["line\n" * 3000, "*******"]}
     found = redact.detect_pii(df, patterns=[("email", r"\w+@\w+\.\w+"), ("password", r"password=\S+")]).orderBy("id").collect()
     assert [[(f.path, f.type) for f in r.pii_findings] for r in found] == [[], [("data.deep.mail[1]", "email")], [("data", "password")], [], [], [], []]
+
+
+def test_geo_tables_are_not_shuffled_for(spark):
+    """Configured tables have a known size: events are joined where they are."""
+    df = spark.range(10).selectExpr("concat('10.0.0.', id) AS client_ip")
+    out = enrich.geo_hint(df, {"10.0.0.1": {"dc": "x"}}, {"10.0.0.0/24": {"dc": "y"}, "10.0.0.8/30": {"dc": "z"}})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+    assert {r.client_ip[-1]: r.geo_hint["dc"] for r in out.collect()} == {**{str(i): "y" for i in range(10)}, "1": "x"}
