@@ -242,14 +242,17 @@ def cap_links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ``n_links`` counts the other rows with cosine of at least ``similarity``; ``component_id`` is the smallest
     vec_id that links reach. Vectors that are null, empty, zero or not finite link with nothing, and so do
     vectors of different lengths and rows without a vec_id (component null, not kept). Rows of the same
-    vector link with each other; repeated rows of one vec_id count as rows.
+    vector link with each other; repeated rows of one vec_id count as rows, each with the links of its own
+    vector.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     v = F.col("embedding")
     rows = rows.withColumn("same", F.when(F.col("vec_id").isNotNull() & _fine(v), _same(v)))
     usable = rows.where("same is not null")
-    groups = stored(usable.groupBy("same").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"), F.any_value("embedding").alias("embedding")), "vectors")
+    groups = usable.groupBy("same").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.any_value("embedding").alias("embedding"))
+    # A distinct vector is a node of its own, whatever ids its rows have; the number is fixed once written.
+    groups = stored(groups.withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
     found = spark.createDataFrame([], FOUND)
     for r in groups.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect():
         part = _found(groups.where(F.size("embedding") == r.dim), r.n, CapCode.for_data(r.n, r.dim, similarity), similarity)
@@ -257,9 +260,11 @@ def cap_links(vectors: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     found = stored(found, "cap-links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("linked"))
     labels = components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "vec_id")
-    known = groups.select("same", "vec_id", "copies").join(counts, "vec_id", "left").join(labels, "vec_id", "left")
+    known = groups.select("same", "least", "vec_id", "copies").join(counts, "vec_id", "left").join(labels, "vec_id", "left")
     n_links = F.coalesce("linked", F.lit(0)) + F.col("copies") - 1
-    known = known.select("same", n_links.alias("n_links"), F.coalesce("label", "vec_id").alias("component"))
+    known = stored(known.select("same", "least", n_links.alias("n_links"), "label"), "linked-vectors")
+    smallest = known.where("label is not null").groupBy("label").agg(F.min("least").alias("smallest"))
+    known = known.join(smallest, "label", "left").select("same", "n_links", F.coalesce("smallest", "least").alias("component"))
     joined = rows.select("vec_id", "same").join(known, "same", "left")
     component = F.coalesce("component", "vec_id")
     kept = F.coalesce(F.col("vec_id") == component, F.lit(False))

@@ -128,17 +128,19 @@ def counted(df: DataFrame, add: Callable[[np.ndarray, pa.RecordBatch], None], le
     return total if len(total) else np.zeros(length, np.int64)
 
 
-def sampled(df: DataFrame, key: str, group: str, rows: int) -> DataFrame:
-    """About ``rows`` rows, spread evenly over the values of ``group``, chosen by a hash of ``key``.
+def sampled(df: DataFrame, key: str, group: str, rows: int, text: str = "text") -> DataFrame:
+    """About ``rows`` rows, spread evenly over all values of ``group``, chosen by a hash of ``key`` and ``text``.
 
-    The rate of each value comes from its count over all data; no row is ranked and no group gathered.
+    The rate of each value comes from its count over all data; no row is ranked and no group gathered. The counts
+    are a stored table, which Spark broadcasts only below its own limit. Rows that share a key are chosen each
+    for itself; of rows equal in key, group and text one is enough, so what is chosen stays bounded however
+    often a row repeats. A null value of ``group`` is a value of its own.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(group).count().orderBy(F.desc("count"), group).limit(4096).collect()}
-    if not counts:
+    counts = stored(df.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__n")), "sample-counts")
+    values = counts.count()
+    if not values:
         return df.limit(0)
-    each = rows / len(counts)
-    rate = F.lit(0.0)
-    for value, n in counts.items():
-        rate = F.when(F.col(group).eqNullSafe(F.lit(value)), min(1.0, each / n)).otherwise(rate)
-    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    return df.where(spot < rate)
+    rate = F.least(F.lit(1.0), F.lit(rows / values) / F.col("__n"))
+    spot = F.pmod(F.xxhash64(F.lit("sample"), F.col(key), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
+    joined = df.withColumn("__spot", spot).join(counts, F.col(group).eqNullSafe(F.col("__group")))
+    return joined.where(F.col("__spot") < rate).select(*df.columns).dropDuplicates([key, group, text])

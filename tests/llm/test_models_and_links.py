@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaylight.llm import caps, chat, language, quality, toxicity, urls
+from quaylight.llm import caps, chat, language, quality, shared, toxicity, urls
 from quaylight.llm.components import components
 from quaylight.llm.shared import table
 
@@ -242,3 +242,24 @@ def test_outcomes(spark, labels):
     pages = spark.createDataFrame([("http://a.net/en/12.html",), ("http://a.net/x",), (None,), ("http://a.net/en/12?p=13",), ("http://a.net/99999999999999999999",)], "url string")
     known = spark.createDataFrame([(12, 1, 0), (12, 0, 0), (13, 1, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     assert {r.url: r.good for r in urls.outcomes(pages, known).collect()} == {"http://a.net/en/12.html": 0, "http://a.net/x": None, None: None, "http://a.net/en/12?p=13": 0, "http://a.net/99999999999999999999": None}
+
+
+def test_one_id_on_two_vectors(spark):
+    """Links belong to a vector: an id on two vectors has each one's own."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [0.0, 1.0]), (0, [0.0, 2.0]), (9, [1.0, 1.0]), (1, [-1.0, 0.0])]
+    found = caps.cap_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found)
+    assert got == [(0, 3, 0, True), (1, 0, 1, True), (1, 1, 1, True), (1, 3, 0, False), (2, 1, 1, False), (3, 3, 0, False), (4, 3, 0, False), (9, 0, 9, True)]
+
+
+def test_sample_of_many_groups_and_a_hot_key(spark):
+    """Thousands of groups, a hot one, repeated rows, null groups and keys: bounded, and each group is there."""
+    few = spark.range(5000).selectExpr("id AS doc_id", "concat('l', id) AS lang", "concat('text ', id) AS text")
+    hot = spark.range(20000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "'hot' AS lang", "concat('hot ', id) AS text")
+    same = spark.range(20000).selectExpr("CAST(8 AS BIGINT) AS doc_id", "'same' AS lang", "'same text' AS text")
+    none = spark.range(20000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS lang", "concat('none ', id) AS text")
+    frame = few.unionByName(hot).unionByName(same).unionByName(none)
+    counts = {r.lang: r.n for r in shared.sampled(frame, "doc_id", "lang", 500_300).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert sum(1 for g in counts if g and g[0] == "l") == 5000
+    assert 60 < counts["hot"] < 150 and 60 < counts[None] < 150 and counts.get("same", 0) <= 1
+    assert shared.sampled(frame.limit(0), "doc_id", "lang", 10).count() == 0
