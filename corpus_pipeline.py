@@ -29,10 +29,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near copies; of rows with equal doc_id and text one stays.
 
-    Near copies are those of the query ``op10_ngram_jaccard``: three words a shingle, similarity 0.9 or more.
-    Copies that would link only under other values (say five words, 0.8) stay.
+    Near copies share shingles of five words with a similarity of 0.8 or more.
     """
-    found = jaccard.jaccard_groups(docs)
+    found = jaccard.jaccard_groups(docs, percent=80, shingle=5)
     copies = found.where("component_id <> doc_id").select("doc_id").distinct()
     left = docs.join(copies, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
     return left.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
