@@ -24,9 +24,9 @@ def without_copies(texts):
     sets = {}
     for d, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
-        sets[d] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
     label = {d: d for d in sets}
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     for _ in sets:
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
