@@ -279,18 +279,84 @@ def stream_counts(spark, folder):
     "SELECT event_id, n AS consecutive_failures, n < 5 AS healthy FROM r"
 )
 def stream_failures(spark, folder):
-    """Failure runs counted by the stream, from the state each micro-batch leaves."""
+    """Failure runs counted by the stream: three slices of time, each after a restart, from the state store."""
     from quaylight.streaming.failures import run_failures
 
-    polls = _stream(spark, folder, "events").select(
+    polls = table(spark, folder, "events").select(
         F.col("event_id").alias("id"), "user_id", "ts", (~F.col("event_type").isin("error", "view")).alias("ok")
     )
     root = _root(spark, "polls")
-    run_failures(polls, ["user_id"], "ok", root, f"{root}/log", chunk_seconds=86400).awaitTermination()
+    _restarted(_slices(polls), root, lambda s: run_failures(s, ["user_id"], "ok", root, f"{root}/log"))
     counted = spark.read.parquet(f"{root}/polls")
     return counted.select(F.col("id").alias("event_id"), "consecutive_failures", "healthy")
 
 
+def _slices(rows, n=3):
+    """Slices of equal time, oldest first."""
+    ends = rows.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
+    if ends.low is None:
+        return [rows]
+    width = (ends.high - ends.low) // n + 1
+    place = F.expr(f"(unix_micros(ts) - {ends.low}) div {width}")
+    return [rows.where(place == k) for k in range(n)]
+
+
+def _restarted(slices, root, start):
+    """Write one slice after the other below ``root/in`` and drain the stream after each, from its checkpoint."""
+    for part in slices:
+        part.write.mode("append").parquet(f"{root}/in")
+        spark = part.sparkSession
+        start(spark.readStream.schema(part.schema).parquet(f"{root}/in")).awaitTermination()
+
+
+@query(f"WITH RECURSIVE {_CHAIN} SELECT e.event_id, e.user_id, strftime(e.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, e.event_type FROM events e SEMI JOIN ch USING (user_id, ts)")
+def stream_duplicates(spark, folder):
+    """The windowed duplicate drop by the stream, over three slices of time with a restart after each."""
+    from quaylight.streaming import state
+
+    events = table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
+    root = _root(spark, "sights")
+    state.use_state_store(spark)
+
+    def start(stream):
+        kept = state.drop_duplicates(stream, ["user_id"], "ts", 21600, tie="event_id")
+        return kept.writeStream.option("checkpointLocation", f"{root}/log").trigger(availableNow=True).format("parquet").start(f"{root}/out")
+
+    _restarted(_slices(events), root, start)
+    return spark.read.schema(events.schema).parquet(f"{root}/out").withColumn("ts", stamp("ts"))
+
+
+@query(
+    "WITH e AS (SELECT event_type, time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_id % 10 = 0 AS again FROM events), "
+    "m AS (SELECT date_trunc('milliseconds', max(ts) FILTER (WHERE event_id % 10 <> 0)) - INTERVAL 10 MINUTE AS first, date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS last FROM events), "
+    "s AS (SELECT e.*, again AND start + INTERVAL 5 MINUTE <= first AS late FROM e, m) "
+    "SELECT 'closed' AS state, event_type, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS count FROM s, m WHERE NOT late AND start + INTERVAL 5 MINUTE <= last GROUP BY ALL "
+    "UNION ALL SELECT 'open', event_type, strftime(start, '%Y-%m-%d %H:%M:%S.%f'), count(*) FROM s, m WHERE NOT late AND start + INTERVAL 5 MINUTE > last GROUP BY ALL "
+    "UNION ALL SELECT 'late', NULL, NULL, count(*) FROM s WHERE late"
+)
+def stream_late(spark, folder):
+    """Windows in append mode; a tenth of the events arrives after all others, most of it too late."""
+    events = table(spark, folder, "events").select("event_id", "ts", "event_type")
+    root = _root(spark, "late")
+    counts = windows.BatchCounts()
+    spark.streams.addListener(counts)
+    try:
+        def start(stream):
+            run = windows.run_windows(stream, ["event_type"], f"{root}/out", f"{root}/log")
+            run.awaitTermination()
+            counts.wait(run)
+            return run
+
+        _restarted([events.where("event_id % 10 <> 0"), events.where("event_id % 10 = 0")], root, start)
+    finally:
+        spark.streams.removeListener(counts)
+    closed = spark.read.schema("start timestamp, end timestamp, event_type string, count bigint").parquet(f"{root}/out")
+    still = windows.open_windows(spark, f"{root}/log")
+    late = spark.range(1).select(F.lit("late").alias("state"), F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("string").alias("start"), F.lit(windows.late_rows(counts, closed, still)).cast("bigint").alias("count"))
+    found = [d.select(F.lit(name).alias("state"), "event_type", stamp("start").alias("start"), "count") for name, d in (("closed", closed), ("open", still))]
+    return found[0].unionByName(found[1]).unionByName(late)
+
+
 @query(
     "SELECT 'store' AS output, role AS kind, count(*) AS n, count(DISTINCT conv_id) AS sources FROM conversations WHERE role <> 'system' GROUP BY ALL "
     "UNION ALL SELECT 'quarantine', 'no type', count(*), count(DISTINCT conv_id) FROM conversations WHERE role = 'system'"

@@ -16,6 +16,11 @@ REQUIRED = {
     "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
+#: Value state per key needs this store; it also keeps large state out of the JVM heap.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 # Skewed joins and small shuffle blocks are left to adaptive execution.
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",

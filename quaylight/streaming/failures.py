@@ -1,20 +1,14 @@
-"""Consecutive failures per target on a stream.
-
-The state is a table with one number per target. Each micro-batch is counted by the batch operator,
-starting from the state its predecessor left, so a busy target is split over tasks like any other.
-"""
+"""Consecutive failures per target on a stream."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quaylight.fixed import SNMP_MAX_FAILURES
-from quaylight.operators.failures import consecutive_failures, last_runs
-from quaylight.operators.series import joined_on
+from quaylight.streaming.state import failure_runs, use_state_store
 
 
 def run_failures(
@@ -24,33 +18,17 @@ def run_failures(
     root: str,
     checkpoint: str,
     max_failures: int = SNMP_MAX_FAILURES,
-    chunk_seconds: int = 3600,
     seconds: int | None = None,
+    initial: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Write counted polls below ``root/polls`` and the state below ``root/state``.
-
-    Both go into folders named by the batch: a replay starts from the same state and overwrites.
-    """
-
-    def count(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{root}/state/batch_id={batch_id - 1}") if batch_id else None
-        counted = consecutive_failures(
-            batch, keys, ok, max_failures=max_failures, chunk_seconds=chunk_seconds, initial=before
-        )
-        path = f"{root}/polls/batch_id={batch_id}"
-        counted.write.mode("overwrite").parquet(path)
-        now = last_runs(spark.read.schema(counted.schema).parquet(path), keys)
-        if before is not None:
-            older = before.withColumnRenamed("failures", "older")
-            merged = F.coalesce("failures", "older").cast("bigint").alias("failures")
-            now = joined_on(now, older, keys, "full").select(*keys, merged)
-        now.write.mode("overwrite").parquet(f"{root}/state/batch_id={batch_id}")
-        # A replay can only ask for the state before the newest batch: older states go.
-        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/state/batch_id={batch_id - 2}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
-
-    writer = polls.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+    """Write counted polls below ``root/polls``, in folders named by the batch: a replay overwrites its own."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/polls/batch_id={batch_id}")
+
+    use_state_store(polls.sparkSession)
+    counted = failure_runs(polls, keys, ok, max_failures=max_failures, initial=initial)
+    writer = counted.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     if seconds:
         return writer.trigger(processingTime=f"{seconds} seconds").start()
     return writer.trigger(availableNow=True).start()
