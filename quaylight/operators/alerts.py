@@ -17,11 +17,10 @@ from quaylight import fixed
 from quaylight.functions.text import whole_match
 from quaylight.functions.times import step_number
 from quaylight.operators import metrics as m
-from quaylight.operators.series import first_sights, matched, per_step, with_eval_time
+from quaylight.operators.series import first_sights, matched, per_step, steps_between, with_eval_time
 from quaylight.schema import col
 
 
-_BLOCK = 10_000
 _SERIES = ("series", "sink")
 
 
@@ -75,13 +74,8 @@ def silent(
     grown = m.increase(series, range_seconds, keys, step_seconds).where(F.col("increase") > 0)
     last = step_number(F.lit(until).cast("timestamp"), step_seconds)
     first = series.groupBy(*keys).agg(step_number(F.min("ts"), step_seconds).alias("first"))
-    # A series first seen after ``until`` has no evaluation yet. Steps are made in two levels (blocks of
-    # steps, then steps), so no row holds the whole life of a series.
-    begun = first.where(F.col("first") <= last)
-    blocks = begun.select(*keys, "first", F.explode(F.sequence(F.expr(f"first div {_BLOCK}"), F.floor(last / _BLOCK))).alias("block"))
-    low = F.greatest(F.col("first"), F.col("block") * _BLOCK)
-    high = F.least(last, F.col("block") * _BLOCK + (_BLOCK - 1))
-    steps = blocks.where(low <= high).select(*keys, F.explode(F.sequence(low, high)).alias("step"))
+    # A series first seen after ``until`` has no evaluation yet.
+    steps = steps_between(first, F.col("first"), last, keys)
     return matched(with_eval_time(steps, step_seconds), grown, [*keys, "eval_ts"], "left_anti")
 
 

@@ -15,7 +15,7 @@ from quaylight.functions import payload as js
 from quaylight.functions import times
 from quaylight.functions.text import strip, whole_match
 from quaylight.operators.series import (
-    batches, joined_on, label_key, per_step, spread, steps_of, time_grid, with_eval_time,
+    batches, joined_on, label_key, per_step, sliding, spread, steps_of, time_grid, with_eval_time,
 )
 from quaylight.schema import col, present
 
@@ -208,12 +208,10 @@ def _grouped(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def count_over_time(
     df: DataFrame, range_seconds: int, by: Sequence[str] = (), step_seconds: int | None = None
 ) -> DataFrame:
-    """Lines per range and label values. Cells of one step are counted first, then spread."""
+    """Lines per range and label values. Cells of one step are counted first, ranges are put together from cells."""
     step = step_seconds or range_seconds
     cells = per_step(_grouped(df, by), by, step, [F.count("*").alias("n")])
-    out = spread(cells, "step", steps_of(range_seconds, step))
-    if step != range_seconds:
-        out = out.groupBy(*by, "step").agg(F.sum("n").alias("n"))
+    out = sliding(cells, by, steps_of(range_seconds, step), {"n": "sum"})
     return with_eval_time(out.withColumnRenamed("n", "count"), step)
 
 
@@ -300,9 +298,8 @@ def absent_over_time(
 ) -> DataFrame:
     """Evaluation times of the grid of ``df`` whose range holds no selected line."""
     step = step_seconds or range_seconds
-    present_steps = spread(
-        per_step(selected, [], step, [F.count("*").alias("n")]), "step", steps_of(range_seconds, step)
-    ).select("step")
+    cells = per_step(selected, [], step, [F.count("*").alias("n")])
+    present_steps = sliding(cells, [], steps_of(range_seconds, step), {"n": "sum"}).select("step")
     out = time_grid(df, step).join(present_steps, "step", "left_anti")
     return with_eval_time(out, step).withColumn("absent", F.lit(1))
 

@@ -17,7 +17,7 @@ from quaylight import fixed
 from quaylight.functions.times import step_number
 from quaylight.operators.logs import select_streams
 from quaylight.operators.series import (
-    joined_on, label_key, per_step, spread, steps_of, with_eval_time,
+    joined_on, label_key, per_step, sliding, steps_of, with_eval_time,
 )
 from quaylight.schema import col
 
@@ -81,9 +81,7 @@ def increase(
 ) -> DataFrame:
     step = step_seconds or range_seconds
     cells = increase_per_step(series, keys, step).drop("grew_at")
-    out = spread(cells, "step", steps_of(range_seconds, step))
-    if step != range_seconds:
-        out = out.groupBy(*keys, "step").agg(F.sum("increase").alias("increase"))
+    out = sliding(cells, keys, steps_of(range_seconds, step), {"increase": "sum"})
     return with_eval_time(out, step)
 
 
@@ -169,9 +167,8 @@ def avg_over_time(
     cells = per_step(
         series, keys, step, [F.sum("value").alias("s"), F.count("value").alias("n")]
     )
-    out = spread(cells, "step", steps_of(range_seconds, step))
-    out = out.groupBy(*keys, "step").agg((F.sum("s") / F.sum("n")).alias("avg"))
-    return with_eval_time(out, step)
+    out = sliding(cells, keys, steps_of(range_seconds, step), {"s": "sum", "n": "sum"})
+    return with_eval_time(out.select(*keys, "step", (F.col("s") / F.col("n")).alias("avg")), step)
 
 
 def error_ratio(
@@ -227,8 +224,7 @@ def gauge_growth(
             F.max(F.struct("ts", "value")).alias("last"),
         ],
     )
-    out = spread(cells, "step", steps_of(range_seconds, step))
-    out = out.groupBy(*keys, "step").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    out = sliding(cells, keys, steps_of(range_seconds, step), {"first": "min", "last": "max"})
     growth = (F.col("last.value") - F.col("first.value")) / F.lit(float(range_seconds))
     return with_eval_time(out.withColumn("growth", growth).drop("first", "last"), step)
 

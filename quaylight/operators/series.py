@@ -7,7 +7,7 @@ a window over that piece, and only the one-row-per-piece summary is ordered alon
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -65,6 +65,58 @@ def spread(df: DataFrame, step: str, n: int) -> DataFrame:
     return df.withColumn(step, F.explode(F.sequence(F.col(step), F.col(step) + F.lit(n - 1))))
 
 
+_JOINED = {
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+    "min": lambda a, b: F.least(a, b),
+    "max": lambda a, b: F.greatest(a, b),
+}
+_RUNNING = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def sliding(cells: DataFrame, keys: Sequence[str], n: int, values: Mapping[str, str], step: str = "step") -> DataFrame:
+    """``values`` (column: sum, min or max) over the ``n`` steps up to each evaluation step that has a cell in them.
+
+    Cells, one per key and step, are cut into blocks of ``n`` steps. A range meets two blocks: the end of one and
+    the beginning of the next, so it is a running value from the block's start joined with one from the other
+    block's end; nothing is subtracted, so no digits are lost. A cell becomes at most three rows whatever the range,
+    and no key is ordered beyond a block. Steps at which nothing changes are made from the row before them, at the end.
+    """
+    if n == 1:
+        return cells.select(*keys, step, *values)
+    at, base = F.col(step), F.col(step) - F.pmod(F.col(step), F.lit(n))
+    rows = cells.withColumns({"__base": base, "__n": F.lit(1)})
+    kinds = {**values, "__n": "sum"}
+    block = [*[col(k) for k in keys], F.col("__base")]
+    upto = Window.partitionBy(*block).orderBy(step).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*block).orderBy(F.col(step).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*block)
+
+    def over(window: Window) -> Column:
+        return F.struct(*[_RUNNING[kind](c).over(window).alias(c) for c, kind in kinds.items()])
+
+    first = F.row_number().over(Window.partitionBy(*block).orderBy(step)) == 1
+    rows = rows.select(*keys, step, "__base", over(upto).alias("__upto"), over(after).alias("__after"), over(whole).alias("__whole"), first.alias("__first"))
+    following, none = F.col("__base") + n, F.lit(None)
+    changes = [
+        F.struct(F.col("__base").alias("__base"), at.alias("__pos"), F.col("__upto").alias("__new"), none.alias("__old")),
+        F.struct(following.alias("__base"), (at + n).alias("__pos"), none.alias("__new"), F.col("__after").alias("__old")),
+        F.when(F.col("__first") & (at > F.col("__base")), F.struct(following.alias("__base"), following.alias("__pos"), none.alias("__new"), F.col("__whole").alias("__old"))),
+    ]
+    moved = rows.select(*keys, F.explode(F.array_compact(F.array(*changes))).alias("__c")).select(*keys, "__c.*")
+    order = Window.partitionBy(*block).orderBy("__pos", F.col("__new").isNull())
+    carried = order.rowsBetween(Window.unboundedPreceding, 0)
+    state = moved.select(
+        *keys,
+        "__pos",
+        F.coalesce(F.lead("__pos").over(order), F.col("__base") + n).alias("__next"),
+        F.last("__new", ignorenulls=True).over(carried).alias("__new"),
+        F.last("__old", ignorenulls=True).over(carried).alias("__old"),
+    )
+    found = {c: _JOINED[kind](F.col("__old")[c], F.col("__new")[c]) for c, kind in kinds.items()}
+    live = state.select(*keys, "__pos", "__next", *[v.alias(c) for c, v in found.items()]).where("__next > __pos AND __n > 0")
+    return live.select(*keys, F.explode(F.sequence(F.col("__pos"), F.col("__next") - 1)).alias(step), *values)
+
+
 def matched(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """Semi or anti join on ``on`` where a missing value equals a missing value."""
     keys = right.select(*[col(c).alias(f"__on{i}") for i, c in enumerate(on)]).distinct()
@@ -95,14 +147,24 @@ def per_step(
     return df.groupBy(*keys, step_number(col(ts), step_seconds).alias("step")).agg(*aggs)
 
 
+#: Steps made at once: grids are made in two levels, so that no row holds a whole grid.
+GRID = 10_000
+
+
+def steps_between(df: DataFrame, low: Column, high: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """Each row's steps from ``low`` to ``high``: first blocks of ``GRID`` steps, then the steps of a block."""
+    ends = df.select(*keep, low.alias("__low"), high.alias("__high")).where("__low <= __high")
+    part = F.sequence(F.expr(f"__low div {GRID}") - 1, F.expr(f"__high div {GRID}") + 1)
+    blocks = ends.withColumn("__block", F.explode(part))
+    first = F.greatest(F.col("__low"), F.col("__block") * GRID)
+    last = F.least(F.col("__high"), F.col("__block") * GRID + (GRID - 1))
+    return blocks.where(first <= last).select(*keep, F.explode(F.sequence(first, last)).alias("step"))
+
+
 def time_grid(df: DataFrame, step_seconds: int, ts: str = "ts") -> DataFrame:
     """Every evaluation step between the first and the last row; its size is set by time alone."""
     ends = df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
-    return ends.select(
-        F.explode(
-            F.sequence(step_number(F.col("lo"), step_seconds), step_number(F.col("hi"), step_seconds))
-        ).alias("step")
-    )
+    return steps_between(ends, step_number(F.col("lo"), step_seconds), step_number(F.col("hi"), step_seconds))
 
 
 def with_eval_time(df: DataFrame, step_seconds: int, name: str = "eval_ts") -> DataFrame:

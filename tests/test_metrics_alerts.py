@@ -1,10 +1,12 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quaylight.operators import alerts as al
 from quaylight.operators import metrics as m
+from quaylight.operators import series
 
 
 def samples(spark, name, points, **labels):
@@ -38,6 +40,34 @@ def test_increase_does_not_depend_on_the_step(spark, step):
     assert m.increase_per_step(s, ("series",), step).agg(F.sum("increase")).first()[0] == want
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 50])
+def test_sliding_matches_brute_force(spark, n):
+    """Sums, least and greatest over ranges of n steps: dense and sparse keys, gaps, negative steps, a null key."""
+    rng = random.Random(n)
+    rows = []
+    for key, density, span in (("dense", 0.95, 120), ("sparse", 0.05, 400), (None, 0.4, 90), ("one", 1, 1)):
+        rows += [(key, s - 60, rng.choice([0.1, 2.5, 7.0, None]), rng.randrange(99)) for s in range(span) if rng.random() < density or key == "one"]
+    df = spark.createDataFrame(rows, "k string, step long, x double, y int").repartition(3)
+    got = series.sliding(df, ["k"], n, {"x": "sum", "y": "min"}).collect()
+    high = {(r.k, r.step): r.y for r in series.sliding(df.drop("x"), ["k"], n, {"y": "max"}).collect()}
+    want = {}
+    for key, step, x, y in rows:
+        for e in range(step, step + n):
+            want.setdefault((key, e), []).append((x, y))
+    assert len(got) == len(want) == len(high)
+    for r in got:
+        cell = want[r.k, r.step]
+        xs = [x for x, _ in cell if x is not None]
+        assert (r.x is None) == (not xs) and (not xs or r.x == pytest.approx(sum(xs)))
+        assert r.y == min(y for _, y in cell) and high[r.k, r.step] == max(y for _, y in cell)
+
+
+def test_sliding_keeps_small_values_beside_large_ones(spark):
+    df = spark.createDataFrame([(i, 1e18 if i < 10 else 1e-6) for i in range(40)], "step long, x double")
+    got = {r.step: r.x for r in series.sliding(df, [], 4, {"x": "sum"}).collect()}
+    assert got[20] == pytest.approx(4e-6, rel=1e-12)
+
+
 def test_histogram_quantile(spark):
     def q(buckets, level=0.95):
         df = spark.createDataFrame([("h", le, float(v)) for le, v in buckets.items()], "k string, le string, rate double")
