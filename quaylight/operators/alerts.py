@@ -17,7 +17,7 @@ from quaylight import fixed
 from quaylight.functions.text import whole_match
 from quaylight.functions.times import step_number
 from quaylight.operators import metrics as m
-from quaylight.operators.series import first_sights, matched, per_step, steps_between, with_eval_time
+from quaylight.operators.series import first_sights, label_key, matched, per_step, steps_between, with_eval_time
 from quaylight.schema import col
 
 
@@ -161,6 +161,49 @@ def reliability_alerts(
     )
 
 
+def objective_alerts(
+    rules: DataFrame,
+    prefix: str = "slo",
+    metric: str = "ingest",
+    availability: float = fixed.SLO_AVAILABILITY,
+    p95: float = fixed.SLO_LATENCY_P95,
+    p99: float = fixed.SLO_LATENCY_P99,
+    latency: float = 1.0,
+) -> DataFrame:
+    """Latency, availability and budget alerts over recorded series (``metrics.slo_rules`` and ``burn_rules``).
+
+    Every recorded series is tested for itself; ``series`` is its label set, ``sink`` and ``status`` two of its labels.
+    """
+    critical, warning = {"severity": "critical"}, {"severity": "warning"}
+    parts = [
+        (f"latency_p95:{op}:rate5m", (">", latency), Rule(name, 300, warning), 300)
+        for op, name in (
+            (metric, "HighIngestLatency95th"),
+            ("pipeline", "HighPipelineLatency95th"),
+            ("sink_write", "HighSinkWriteLatency95th"),
+        )
+    ]
+    parts += [
+        (f"latency_p95:{metric}:rate5m", (">", p95), Rule("IngestLatencyP95Breach", 300, warning), 300),
+        (f"latency_p99:{metric}:rate5m", (">", p99), Rule("IngestLatencyP99Breach", 300, warning), 300),
+        ("availability:rate1h", ("<", availability), Rule("AvailabilityBreach", 300, critical), 300),
+        ("error_budget_burn:fast:4h", ("==", 1), Rule("ErrorBudgetBurnFast", 120, critical), 300),
+        ("error_budget_burn:slow:30d", ("==", 1), Rule("ErrorBudgetBurnSlow", 900, warning), 3600),
+    ]
+    labels = F.col("labels")
+    rows = rules.select(
+        F.col("ts").alias("eval_ts"), "name", label_key(labels).alias("series"), labels["sink"].alias("sink"), labels["status"].alias("status"), "value"
+    )
+    return m.union_rules(
+        [
+            evaluate(m.threshold(rows.where(F.col("name") == f"{prefix}:{name}"), "value", *test), rule, ("series",), step).select(
+                "eval_ts", "alertname", "severity", "series", "sink", "status", "state", "value"
+            )
+            for name, test, rule, step in parts
+        ]
+    )
+
+
 @dataclass(frozen=True)
 class Inhibition:
     """Alerts matching ``target`` are dropped while ``source`` fires with equal labels."""

@@ -20,6 +20,7 @@ from quaylight.operators.series import (
     joined_on, label_key, per_step, sliding, steps_of, with_eval_time,
 )
 from quaylight.schema import col
+from quaylight.session import cut_lineage
 
 
 def select_series(
@@ -109,6 +110,13 @@ def histogram_quantile(
     A rank in the open last bucket gives the highest finite bound; an empty histogram gives null.
     The window covers the buckets of one histogram, a fixed small number.
     """
+    return histogram_quantiles(df, {"quantile": q}, keys, value, le)
+
+
+def histogram_quantiles(
+    df: DataFrame, wanted: Mapping[str, float], keys: Sequence[str], value: str = "rate", le: str = "le"
+) -> DataFrame:
+    """Several quantiles (column: rank share) of the same histograms, in one pass."""
     bound = F.when(col(le).cast("string").isin("+Inf", "Inf", "Infinity"), F.lit(float("inf"))).otherwise(
         col(le).cast("string").try_cast("double")
     )
@@ -121,20 +129,22 @@ def histogram_quantile(
             "__total": F.max(value).over(Window.partitionBy(*keys)),
         }
     )
-    rank = F.lit(q) * F.col("__total")
     start = F.coalesce("__low", F.when(F.col("__le") > 0, F.lit(0.0)).otherwise(F.col("__le")))
-    inside = start + (F.col("__le") - start) * (rank - F.col("__below")) / (
-        F.col(value) - F.col("__below")
-    )
-    found = (
-        F.when(F.col("__le") == float("inf"), F.col("__low"))
-        .when(F.col(value) == F.col("__below"), F.col("__le"))
-        .otherwise(inside)
-    )
-    hit = (F.col(value) >= rank) & (F.col("__total") > 0)
-    return rows.groupBy(*keys).agg(
-        F.min_by(found, F.when(hit, F.col("__le"))).alias("quantile")
-    )
+
+    def at(q: float) -> Column:
+        rank = F.lit(q) * F.col("__total")
+        inside = start + (F.col("__le") - start) * (rank - F.col("__below")) / (
+            F.col(value) - F.col("__below")
+        )
+        found = (
+            F.when(F.col("__le") == float("inf"), F.col("__low"))
+            .when(F.col(value) == F.col("__below"), F.col("__le"))
+            .otherwise(inside)
+        )
+        hit = (F.col(value) >= rank) & (F.col("__total") > 0)
+        return F.min_by(found, F.when(hit, F.col("__le")))
+
+    return rows.groupBy(*keys).agg(*[at(q).alias(name) for name, q in wanted.items()])
 
 
 def build_histogram(
@@ -303,36 +313,67 @@ def union_rules(rules: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
 
-def slo_rules(samples: DataFrame, prefix: str = "slo", metric: str = "ingest", job: str | None = None) -> DataFrame:
-    """The recording rules of the service objectives over one set of samples."""
-    up = select_series(samples, "up", **({"job": job} if job else {}))
-    rules = [
-        record(avg_over_time(up, r, step_seconds=s), f"{prefix}:availability:rate{tag}", "avg",
-               labels={"slo": "availability"}, series="series")
-        for r, s, tag in ((300, 60, "5m"), (3600, 300, "1h"), (86400, 3600, "1d"))
-    ]
-    buckets = {
-        op: select_series(samples, f"{op}_seconds_bucket", ("le", "sink"))
-        for op in (metric, "pipeline", "sink_write")
-    }
-    wanted = [
-        (metric, 0.95, 300, "95", "5m"), (metric, 0.95, 3600, "95", "1h"),
-        (metric, 0.99, 300, "99", "5m"), (metric, 0.99, 3600, "99", "1h"),
-        ("pipeline", 0.95, 300, "95", "5m"), ("sink_write", 0.95, 300, "95", "5m"),
-    ]
-    for op, q, r, tag, span in wanted:
-        rates = rate(buckets[op], r, ("series", "le", "sink"), min(r, 300))
-        rates = sum_by(rates, "rate", ("le", "sink"))
-        values = histogram_quantile(rates, q, ("sink", "eval_ts"))
-        rules.append(
-            record(values, f"{prefix}:latency_p{tag}:{op}:rate{span}", "quantile", ("sink",),
-                   {"slo": "latency", "operation": op, "quantile": tag})
-        )
-    requests = select_series(samples, "requests_total", ("status",))
-    rules.append(
-        record(error_ratio(requests, 300), f"{prefix}:error_rate:http:rate5m", "error_ratio",
-               labels={"slo": "error_rate", "type": "http"})
+def rule_cells(samples: DataFrame, steps: Mapping[str, int], by: Sequence[str] = ()) -> DataFrame:
+    """One pass over the samples for a whole set of rules, stored: all rules read the cells.
+
+    ``steps`` gives each metric's step in seconds. A cell is (name, series, step) with the labels of ``by``: ``sum``
+    and ``n`` of its values, and ``increase``, its growth as a counter (see ``increase_per_step``).
+    """
+    rows = select_series(samples, list(steps), by)
+    sizes = sorted(set(steps.values()))
+    step = F.coalesce(
+        *[F.when(F.col("name").isin(*[n for n, s in steps.items() if s == size]), step_number(F.col("ts"), size)) for size in sizes]
+    )
+    rows = rows.withColumn("step", step)
+    # The labels follow from the series, so the series alone tells cells apart.
+    near = Window.partitionBy("name", "series", "step").orderBy("ts")
+    rows = rows.withColumn("delta", _delta(F.col("value"), F.lag("value").over(near)))
+    cells = rows.groupBy("name", "series", "step").agg(
+        *[F.any_value(b).alias(b) for b in by],
+        F.sum("value").alias("sum"),
+        F.count("value").alias("n"),
+        F.sum("delta").alias("inner"),
+        F.min_by("value", "ts").alias("first"),
+        F.max_by("value", "ts").alias("last"),
     )
+    along = Window.partitionBy("name", "series").orderBy("step")
+    edge = _delta(F.col("first"), F.lag("last").over(along))
+    return cut_lineage(cells.withColumn("increase", F.col("inner") + edge).drop("inner", "first", "last"))
+
+
+def slo_rules(samples: DataFrame, prefix: str = "slo", metric: str = "ingest", job: str | None = None) -> DataFrame:
+    """The recording rules of the service objectives, from one pass over the samples."""
+    names = {op: f"{op}_seconds_bucket" for op in dict.fromkeys((metric, "pipeline", "sink_write"))}
+    if job:
+        samples = samples.where((F.col("name") != "up") | (F.col("labels")["job"] == job))
+    cells = rule_cells(samples, {"up": 60, "requests_total": 300, **dict.fromkeys(names.values(), 300)}, ("le", "sink", "status"))
+    rules = []
+
+    up = cells.where("name = 'up'")
+    for r, s, tag in ((300, 60, "5m"), (3600, 300, "1h"), (86400, 3600, "1d")):
+        coarse = up.groupBy("series", F.ceil(F.col("step") * 60 / s).alias("step")).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+        ranged = sliding(coarse, ("series",), steps_of(r, s), {"sum": "sum", "n": "sum"})
+        values = with_eval_time(ranged.withColumn("avg", F.col("sum") / F.col("n")), s)
+        rules.append(record(values, f"{prefix}:availability:rate{tag}", "avg", labels={"slo": "availability"}, series="series"))
+
+    # Growth is summed over series before ranges are put together: far fewer cells, the same sums.
+    buckets = cells.where(F.col("name").isin(*names.values())).groupBy("name", "le", "sink", "step").agg(F.sum("increase").alias("rate"))
+    hour = sliding(buckets.where(F.col("name") == names[metric]), ("name", "le", "sink"), 12, {"rate": "sum"})
+    for rates, tag, ops in ((buckets, "5m", names), (hour, "1h", (metric,))):
+        found = histogram_quantiles(rates, {"95": 0.95, "99": 0.99}, ("name", "sink", "step"))
+        found = with_eval_time(found, 300)
+        for op in ops:
+            for q in ("95", "99") if op == metric else ("95",):
+                rules.append(
+                    record(found.where(F.col("name") == names[op]), f"{prefix}:latency_p{q}:{op}:rate{tag}", q, ("sink",),
+                           {"slo": "latency", "operation": op, "quantile": q})
+                )
+
+    bad = F.when(F.col("status").rlike(r"\A5..\z"), F.col("increase")).otherwise(F.lit(0.0))
+    requests = cells.where("name = 'requests_total'").groupBy("step").agg(F.sum(bad).alias("errors"), F.sum("increase").alias("requests"))
+    ratio = F.when(F.col("requests") > 0, F.col("errors") / F.col("requests"))
+    errors = with_eval_time(requests.withColumn("error_ratio", ratio), 300)
+    rules.append(record(errors, f"{prefix}:error_rate:http:rate5m", "error_ratio", labels={"slo": "error_rate", "type": "http"}))
     return union_rules(rules)
 
 

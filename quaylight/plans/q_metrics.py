@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quaylight import fixed
 from quaylight.operators import alerts as al
 from quaylight.operators import metrics as m
 from quaylight.plans import shapes as sh
@@ -230,17 +231,26 @@ def recording_rules(spark, folder):
     return rules.select(seconds("ts").alias("eval_s"), "name", F.col("labels")["slo"].alias("slo"), F.round("value", 9).alias("value"))
 
 
-def _availability_counts(tag, range_seconds, step):
+def _availability_sql(tag, range_seconds, step):
     return (
-        f"SELECT 'slo:availability:rate{tag}' AS name, count(*) AS n, count(*) AS values FROM (SELECT DISTINCT sink, status, "
-        f"unnest(generate_series({step_sql('ts', step)}, {step_sql('ts', step)} + {range_seconds // step - 1})) FROM sm WHERE name = 'up')"
+        f"SELECT 'slo:availability:rate{tag}' AS name, sink, status, e * {step} AS eval_s, sum(value) / count(value) AS value FROM (SELECT sink, status, value, "
+        f"unnest(generate_series({step_sql('ts', step)}, {step_sql('ts', step)} + {range_seconds // step - 1})) AS e FROM sm WHERE name = 'up') GROUP BY ALL"
     )
 
 
-def _latency_counts(quantile, tag, n):
+#: Which events give samples of which histogram.
+_OPERATIONS = {"ingest": ("click", "view", "signup"), "pipeline": ("error",), "sink_write": ("purchase",)}
+
+
+def _latency_sql(op, quantile, tag, n):
+    """Quantile of the growth over n steps of 300 seconds."""
+    kinds = ", ".join(f"'{k}'" for k in _OPERATIONS[op])
     return (
-        f"SELECT 'slo:latency_p{quantile}:ingest:rate{tag}' AS name, count(*) AS n, count(*) FILTER (WHERE top > 0) AS values FROM "
-        f"(SELECT sink, step, max(total) AS top FROM (SELECT sink, le, step, sum(increase) AS total FROM (SELECT sink, le, unnest(generate_series(step, step + {n - 1})) AS step, increase FROM inc) GROUP BY ALL) GROUP BY ALL)"
+        f"SELECT 'slo:latency_p{quantile}:{op}:rate{tag}' AS name, sink, CAST(NULL AS VARCHAR) AS status, step * 300 AS eval_s, "
+        f"arg_min(CASE WHEN le > 1e300 THEN low WHEN c = below THEN le ELSE low + (le - low) * (0.{quantile} * top - below) / (c - below) END, le) FILTER (WHERE c >= 0.{quantile} * top AND top > 0) AS value FROM "
+        "(SELECT *, coalesce(lag(le) OVER q, 0) AS low, coalesce(lag(c) OVER q, 0) AS below, max(c) OVER (PARTITION BY sink, step) AS top FROM "
+        f"(SELECT sink, le, step, sum(increase) AS c FROM (SELECT sink, le, unnest(generate_series(step, step + {n - 1})) AS step, increase FROM inc WHERE sink IN ({kinds})) GROUP BY ALL) "
+        "WINDOW q AS (PARTITION BY sink, step ORDER BY le)) GROUP BY sink, step"
     )
 
 
@@ -249,24 +259,89 @@ _BS = (
     f"FROM events, unnest({_BUCKETS}) AS u(b))"
 )
 _REQ5 = increase_sql(REQUESTS, "sink, status", 300).replace("dd AS", "rd AS").replace("FROM dd", "FROM rd").replace("inc AS", "ri AS")
-
-
-@query(
-    with_parts(SAMPLES_SQL, _BS, increase_sql("bs", "sink, le", 300), _REQ5)
+_SLO = (
+    "rules AS ("
     + " UNION ALL ".join(
         [
-            _availability_counts("5m", 300, 60),
-            _availability_counts("1h", 3600, 300),
-            _availability_counts("1d", 86400, 3600),
-            *[_latency_counts(q, t, n) for q in (95, 99) for t, n in (("5m", 1), ("1h", 12))],
-            "SELECT 'slo:error_rate:http:rate5m' AS name, count(*) AS n, count(*) FILTER (WHERE a > 0) AS values FROM (SELECT step, sum(increase) AS a FROM ri GROUP BY 1)",
+            _availability_sql("5m", 300, 60),
+            _availability_sql("1h", 3600, 300),
+            _availability_sql("1d", 86400, 3600),
+            *[_latency_sql("ingest", q, t, n) for q in (95, 99) for t, n in (("5m", 1), ("1h", 12))],
+            *[_latency_sql(op, 95, "5m", 1) for op in ("pipeline", "sink_write")],
+            "SELECT 'slo:error_rate:http:rate5m', NULL, NULL, step * 300, CASE WHEN sum(increase) > 0 THEN sum(CASE WHEN status LIKE '5%' THEN increase ELSE 0 END) / sum(increase) END FROM ri GROUP BY step",
         ]
     )
+    + "), h AS (SELECT eval_s, min(value) FILTER (WHERE name = 'slo:availability:rate1h') AS a, max(value) FILTER (WHERE name = 'slo:latency_p95:ingest:rate1h') AS l, "
+    "max(value) FILTER (WHERE name = 'slo:error_rate:http:rate5m') AS e FROM rules WHERE name IN ('slo:availability:rate1h', 'slo:latency_p95:ingest:rate1h', 'slo:error_rate:http:rate5m') GROUP BY 1), "
+    f"burns AS (SELECT 'slo:error_budget_burn:fast:4h' AS name, NULL AS sink, NULL AS status, eval_s, CASE WHEN coalesce(1 - a > {fixed.FAST_BURN} * (1 - {fixed.SLO_AVAILABILITY}), false) OR coalesce(l > {fixed.SLO_LATENCY_P95}, false) OR coalesce(e > {fixed.SLO_ERROR_RATE}, false) THEN 1.0 ELSE 0.0 END AS value FROM h "
+    f"UNION ALL SELECT 'slo:error_budget_burn:slow:30d', NULL, NULL, eval_s, CASE WHEN 1 - min(value) > {fixed.SLOW_BURN} * (1 - {fixed.SLO_AVAILABILITY}) THEN 1.0 ELSE 0.0 END FROM rules WHERE name = 'slo:availability:rate1d' GROUP BY eval_s), "
+    "every_rule AS (SELECT * FROM rules UNION ALL SELECT * FROM burns) "
+)
+
+
+def _slo_samples(spark, folder):
+    """Gauge, counter and bucket samples of every event, in one pass over the events."""
+    own = F.struct(
+        F.expr(sh.SAMPLE_COLUMNS["name"]).alias("name"),
+        F.create_map(F.lit("sink"), F.expr(sh.SAMPLE_COLUMNS["sink"]), F.lit("status"), F.expr(sh.SAMPLE_COLUMNS["status"]), F.lit("job"), F.lit("edge")).alias("labels"),
+        F.expr(sh.SAMPLE_COLUMNS["value"]).cast("double").alias("value"),
+    )
+    operation = F.coalesce(*[F.when(F.col("event_type").isin(*kinds), F.lit(op)) for op, kinds in _OPERATIONS.items()])
+    below = [
+        F.struct(
+            F.concat(operation, F.lit("_seconds_bucket")).alias("name"),
+            F.create_map(F.lit("sink"), F.col("event_type"), F.lit("le"), F.lit(n)).alias("labels"),
+            F.when(F.col("value") <= b, F.col("event_id").cast("double")).otherwise(F.lit(0.0)).alias("value"),
+        )
+        for n, b in [*((repr(b), b) for b in BOUNDS), ("+Inf", float("inf"))]
+    ]
+    return table(spark, folder, "events").select("ts", F.inline(F.array(own, *below)))
+
+
+@query(
+    with_parts(SAMPLES_SQL, _BS, increase_sql("bs", "sink, le", 300), _REQ5, _SLO)
+    + "SELECT name, sink, status, eval_s // 86400 AS day, count(*) AS n, count(value) AS known, CAST(sum(CAST(round(value, 6) AS DECIMAL(20, 6))) AS DOUBLE) AS total, "
+    "min(round(value, 6)) AS low, max(round(value, 6)) AS high FROM every_rule GROUP BY ALL"
 )
 def slo_rules(spark, folder):
-    """All service-objective rules over one sample table."""
-    s = sh.samples(spark, folder).unionByName(_bucket_samples(spark, folder))
-    return m.slo_rules(s).groupBy("name").agg(F.count("*").alias("n"), F.count("value").alias("values"))
+    """All service-objective rules and the burn series over one sample table: what each day's values add up to."""
+    rules = m.slo_rules(_slo_samples(spark, folder))
+    value = F.round("value", 6)
+    return (
+        rules.unionByName(m.burn_rules(rules))
+        .groupBy("name", F.col("labels")["sink"].alias("sink"), F.col("labels")["status"].alias("status"), F.expr("unix_seconds(ts) div 86400").alias("day"))
+        .agg(F.count("*").alias("n"), F.count("value").alias("known"), F.sum(value.cast("decimal(20,6)")).cast("double").alias("total"), F.min(value).alias("low"), F.max(value).alias("high"))
+    )
+
+
+def _objective_sql(alertname, severity, name, test, hold, step):
+    return (
+        f"SELECT '{alertname}' AS alertname, '{severity}' AS severity, sink, status, eval_s, CASE WHEN eval_s - min(eval_s) OVER (PARTITION BY sink, status, run) >= {hold} THEN 'firing' ELSE 'pending' END AS state FROM "
+        f"(SELECT *, eval_s // {step} - row_number() OVER (PARTITION BY sink, status ORDER BY eval_s) AS run FROM every_rule WHERE name = 'slo:{name}' AND value {test})"
+    )
+
+
+@query(
+    with_parts(SAMPLES_SQL, _BS, increase_sql("bs", "sink, le", 300), _REQ5, _SLO)
+    + " UNION ALL ".join(
+        _objective_sql(*row)
+        for row in (
+            ("HighIngestLatency95th", "warning", "latency_p95:ingest:rate5m", "> 60.0", 300, 300),
+            ("HighPipelineLatency95th", "warning", "latency_p95:pipeline:rate5m", "> 60.0", 300, 300),
+            ("HighSinkWriteLatency95th", "warning", "latency_p95:sink_write:rate5m", "> 60.0", 300, 300),
+            ("IngestLatencyP95Breach", "warning", "latency_p95:ingest:rate5m", "> 80.0", 300, 300),
+            ("IngestLatencyP99Breach", "warning", "latency_p99:ingest:rate5m", "> 90.0", 300, 300),
+            ("AvailabilityBreach", "critical", "availability:rate1h", "< 0.9", 300, 300),
+            ("ErrorBudgetBurnFast", "critical", "error_budget_burn:fast:4h", "= 1", 120, 300),
+            ("ErrorBudgetBurnSlow", "warning", "error_budget_burn:slow:30d", "= 1", 900, 3600),
+        )
+    )
+)
+def alert_objectives(spark, folder):
+    """Latency, availability and burn alerts over the recorded series."""
+    rules = m.slo_rules(_slo_samples(spark, folder))
+    fired = al.objective_alerts(rules.unionByName(m.burn_rules(rules)), availability=0.9, p95=80.0, p99=90.0, latency=60.0)
+    return _eval(fired).select("alertname", "severity", "sink", "status", "eval_s", "state")
 
 
 _LAT = (
@@ -459,3 +534,26 @@ def alert_routing(spark, folder):
 def alert_notifications(spark, folder):
     """First evaluation of a group, then one every four hours while it keeps firing."""
     return _eval(al.notifications(_alerts(spark, folder), ("alertname", "job"), 14400))
+
+
+_ROUTES = (("pager", "critical", 7200), ("mail", "warning", 14400))
+
+
+def _repeat_sql(receiver, severity, seconds):
+    return (
+        f"g_{receiver} AS (SELECT DISTINCT alertname, coalesce(job, '-') AS job, eval_s FROM a0 WHERE severity {severity}), "
+        f"nx_{receiver} AS (SELECT *, min(eval_s) OVER (PARTITION BY alertname, job ORDER BY eval_s RANGE BETWEEN {seconds} FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM g_{receiver}), "
+        f"ch_{receiver} AS (SELECT alertname, job, min(eval_s) AS eval_s FROM g_{receiver} GROUP BY ALL UNION ALL SELECT nx.alertname, nx.job, nx.nxt FROM ch_{receiver} ch JOIN nx_{receiver} nx "
+        "ON ch.alertname = nx.alertname AND ch.job = nx.job AND ch.eval_s = nx.eval_s WHERE nx.nxt IS NOT NULL)"
+    )
+
+
+@query(
+    "WITH RECURSIVE " + _ALERTS + ", " + ", ".join([*[_repeat_sql(r, f"= '{s}'", n) for r, s, n in _ROUTES], _repeat_sql("other", "= 'info'", 3600)]) + " "
+    + " UNION ALL ".join(f"SELECT '{r}' AS receiver, alertname, nullif(job, '-') AS job, eval_s FROM ch_{r}" for r in ("pager", "mail", "other"))
+)
+def alert_route_notifications(spark, folder):
+    """Notifications per receiver, each at its own route's interval."""
+    routes = tuple(al.Route(r, {"severity": s}, n) for r, s, n in _ROUTES)
+    sent = al.notifications(_alerts(spark, folder), ("alertname", "job"), None, routes=routes)
+    return _eval(sent.replace({"null": "other"}, subset=["receiver"]))

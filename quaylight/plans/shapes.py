@@ -84,7 +84,7 @@ def log_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- metric samples --------------------------------------------------------------------------
 
-_SAMPLE_COLUMNS = {
+SAMPLE_COLUMNS = {
     "ts": "ts",
     "name": "CASE event_type WHEN 'click' THEN 'sink_written_total' WHEN 'error' THEN 'sink_error_total' "
     "WHEN 'view' THEN 'requests_total' WHEN 'signup' THEN 'up' ELSE 'sink_queue_bytes' END",
@@ -93,13 +93,13 @@ _SAMPLE_COLUMNS = {
     "value": "CASE event_type WHEN 'signup' THEN (CASE WHEN user_id % 10 = 0 THEN 0.0 ELSE 1.0 END) "
     "WHEN 'purchase' THEN CAST(event_id % 1000 AS DOUBLE) * 110000.0 ELSE CAST(event_id % 97 AS DOUBLE) END",
 }
-SAMPLES_SQL = "sm AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _SAMPLE_COLUMNS.items()) + " FROM events)"
+SAMPLES_SQL = "sm AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in SAMPLE_COLUMNS.items()) + " FROM events)"
 
 
 def samples(spark: SparkSession, folder: str) -> DataFrame:
     """(ts, name, labels, value): two sink counters, a request counter, an up gauge, a byte gauge."""
     s = table(spark, folder, "events").selectExpr(
-        *[f"{e} AS {n}" for n, e in _SAMPLE_COLUMNS.items()]
+        *[f"{e} AS {n}" for n, e in SAMPLE_COLUMNS.items()]
     )
     labels = F.create_map(
         F.lit("sink"), F.col("sink"), F.lit("status"), F.col("status"), F.lit("job"), F.lit("edge")
