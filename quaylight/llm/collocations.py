@@ -5,8 +5,10 @@ a 0 between pieces, so no phrase leaves its piece or its language. A shard's FM-
 its reverse, both sorted as deep as phrases go; the intervals of a phrase in both are extended by a word on
 the left in the one or on the right in the other, for all phrases of a length at once. Only counts that can
 still reach the minimum are worth extending: words are summed over all shards first, then pairs, and what
-stays below is cut out of the shards (as a piece end) before the next index is built. No count is dropped or
-estimated: a phrase that reaches the minimum is made of words and pairs that do.
+stays below is cut out of the shards (as a piece end) before the next index is built. Pairs are summed by a
+64-bit hash, where a clash can only keep a pair that is too rare: the phrases of what is left, pairs included,
+are summed by their words. No count is dropped or estimated: a phrase that reaches the minimum is made of words
+and pairs that do.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaylight.llm.shared import discard, settle, stored
-from quaylight.llm.words import text_slices
+from quaylight.llm.shared import discard, settle, shuffle_partitions, stored
+from quaylight.llm.words import mixed, text_slices
 
 #: Words of a shard, the longest phrase, its least count, and the rows of a language in the result.
 SHARD, DEPTH, LEAST, ROWS = 1 << 20, 5, 100, 2000
@@ -192,50 +194,79 @@ def _placed(places: pa.Array, texts: pa.Array, size: int) -> pa.Array:
     return texts.take(pa.array(spots, mask=spots < 0))
 
 
-def _pairs(shard: pa.Table, kept: pa.Table) -> pa.Table:
-    """Pairs of kept words of a shard, with counts."""
-    empty = pa.table([pa.array([], k) for k in (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())], names=["shard", "lang", "phrase", "a", "b", "n"])
-    if not shard.num_rows or not kept.num_rows:
-        return empty
-    ids = np.frombuffer(shard.column("ids")[0].as_py(), np.int32)
-    kept = kept.combine_chunks()
-    known = kept.column("id").chunk(0)
-    alive = np.zeros(max(int(ids.max(initial=0)), int(pc.max(known).as_py())) + 1, bool)
-    alive[known.to_numpy()] = True
-    ids = _compact(np.where(alive[ids], ids, 0))
-    words = _placed(known, kept.column("word").chunk(0), len(alive))
-    langs = _placed(known, kept.column("lang").chunk(0), len(alive))
-    for phrase, counts in PhraseIndex(ids, 2).phrases(2, 2):
-        name = pa.array([shard.column("name")[0].as_py()] * len(counts))
-        return pa.table(
-            [name, langs.take(pa.array(phrase[:, 0])), _joined(words, phrase), pa.array(phrase[:, 0], pa.int32()), pa.array(phrase[:, 1], pa.int32()), pa.array(counts, pa.int64())],
-            names=empty.schema.names,
-        )
-    return empty
+def _following(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A hash of each pair of neighbours, from the hashes of their words."""
+    return mixed(h[ids[:-1]] * np.uint64(0x9E3779B97F4A7C15) + h[ids[1:]])
 
 
-def _longer(depth: int, shard: pa.Table, kept: pa.Table) -> pa.Table:
-    """Phrases of three words and more, all of whose pairs are kept, with counts."""
+def _sides(shard: pa.Table, kept: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table] | None:
+    """A shard's ids without rare words, the hash of each id's word, and the rows of its words."""
+    words = kept.filter(pc.is_valid(kept.column("id"))).combine_chunks()
+    if not shard.num_rows or not words.num_rows:
+        return None
+    ids = np.frombuffer(shard.column("ids")[0].as_py(), np.int32)
+    places = words.column("id").chunk(0).to_numpy()
+    h = np.zeros(max(int(ids.max(initial=0)), int(places.max())) + 1, np.uint64)
+    alive = np.zeros(len(h), bool)
+    alive[places] = True
+    h[places] = words.column("h").chunk(0).to_numpy().astype(np.int64).view(np.uint64)
+    return _compact(np.where(alive[ids], ids, 0)), h, words
+
+
+_HASHED = "bucket bigint, shard string, hashes binary, counts binary"
+
+
+def _pairs(buckets: int, shard: pa.Table, kept: pa.Table) -> pa.Table:
+    """Hashes and counts of the pairs of a shard's frequent words, one row per bucket of hashes."""
+    found = _sides(shard, kept)
+    rows: dict[str, list] = {"bucket": [], "shard": [], "hashes": [], "counts": []}
+    if found:
+        ids, h, _ = found
+        name = shard.column("name")[0].as_py()
+        for phrase, counts in PhraseIndex(ids, 2).phrases(2, 2):
+            hashes = mixed(h[phrase[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + h[phrase[:, 1]])
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+            for part in np.split(order, cuts):
+                rows["bucket"].append(int(bucket[part[0]]))
+                rows["shard"].append(name)
+                rows["hashes"].append(hashes[part].tobytes())
+                rows["counts"].append(counts[part].astype(np.int32).tobytes())
+    kinds = [("bucket", pa.int64()), ("shard", pa.string()), ("hashes", pa.binary()), ("counts", pa.binary())]
+    return pa.Table.from_pydict(rows, schema=pa.schema(kinds))
+
+
+def _candidates(least: int, bucket: pa.Table) -> pa.Table:
+    """Per shard the hashes of a bucket whose counts add up to ``least`` or more over all shards."""
+    parts = [np.frombuffer(x, np.uint64) for x in bucket.column("hashes").to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.int32) for x in bucket.column("counts").to_pylist()])
+    known, spot = np.unique(np.concatenate(parts), return_inverse=True)
+    enough = (np.bincount(spot, counts, len(known)) >= least)[spot]
+    ends = np.cumsum([len(p) for p in parts])
+    kept = [p[enough[e - len(p) : e]].tobytes() for p, e in zip(parts, ends, strict=True)]
+    out = pa.table({"shard": bucket.column("shard"), "hashes": pa.array(kept, pa.binary())})
+    return out.filter(pc.greater(pc.binary_length(out.column("hashes")), 0))
+
+
+def _phrases(depth: int, shard: pa.Table, kept: pa.Table) -> pa.Table:
+    """Phrases of two words and more, all of whose pairs are candidates, with counts."""
     none = pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], names=["lang", "phrase", "n"])
-    if not shard.num_rows or not kept.num_rows:
+    found = _sides(shard, kept)
+    hashes = kept.column("hashes").drop_null().to_pylist()
+    if not found or not hashes:
         return none
-    ids = np.frombuffer(shard.column("ids")[0].as_py(), np.int32).astype(np.int64)
-    kept = kept.combine_chunks()
-    a, b = (kept.column(c).chunk(0).to_numpy().astype(np.int64) for c in ("a", "b"))
-    size = max(int(ids.max(initial=0)), int(a.max()), int(b.max())) + 1
-    pairs = np.isin(ids[:-1] * size + ids[1:], a * size + b)
-    # A separator wherever two neighbours are no kept pair: words between two of them are in no phrase of two.
+    ids, h, rows = found
+    # A separator wherever two neighbours are no candidate: words between two of them are in no phrase of two.
+    pairs = np.isin(_following(h, ids), np.frombuffer(b"".join(hashes), np.uint64))
     spread = np.zeros(2 * len(ids), np.int64)
     spread[::2] = ids
     spread[1:-1:2] = np.where(pairs, -1, 0)
     ids = _compact(spread[spread >= 0])
-    half = pc.split_pattern(kept.column("phrase").chunk(0), " ", max_splits=1)
-    first, second = pc.list_element(half, 0), pc.list_element(half, 1)
-    places = pa.concat_arrays([kept.column("a").chunk(0), kept.column("b").chunk(0)])
-    words = _placed(places, pa.concat_arrays([first, second]), size)
-    langs = _placed(places, pa.concat_arrays([kept.column("lang").chunk(0)] * 2), size)
+    places = rows.column("id").chunk(0)
+    words, langs = (_placed(places, rows.column(c).chunk(0), len(h)) for c in ("word", "lang"))
     out = [none]
-    for phrase, counts in PhraseIndex(ids, depth).phrases(3, depth):
+    for phrase, counts in PhraseIndex(ids, depth).phrases(2, depth):
         out.append(pa.table([langs.take(pa.array(phrase[:, 0])), _joined(words, phrase), pa.array(counts, pa.int64())], names=none.schema.names))
     return pa.concat_tables(out)
 
@@ -245,24 +276,22 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size:
     (lang, phrase, a, words), and the number of words of each language (lang, n). Both are stored tables."""
     made = stored(shards(docs, size), "phrase-shards")
     dictionary, texts = made.where("ids is null").drop("ids"), made.where("ids is not null").select(F.col("shard").alias("name"), "ids")
-    totals = stored(dictionary.groupBy("lang", "word").agg(F.sum("n").alias("a")), "phrase-words")
-    sizes = stored(totals.groupBy("lang").agg(F.sum("a").alias("n")), "phrase-sizes")
-    words = stored(totals.where(F.col("a") >= least), "phrase-frequent")
-    alive = dictionary.select("shard", "lang", "word", "id").join(words.select("lang", "word"), ["lang", "word"], "left_semi")
-    sides = texts.groupBy("name").cogroup(alive.groupBy("shard"))
-    found = stored(sides.applyInArrow(_pairs, "shard string, lang string, phrase string, a int, b int, n bigint"), "phrase-pairs")
-    pairs = stored(found.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrase-frequent-pairs")
-    discard(totals)
-    out = words.select("lang", F.col("word").alias("phrase"), "a", F.lit(1).alias("words"))
-    out = out.unionByName(pairs.withColumn("words", F.lit(2)))
-    if depth > 2:
-        alive = found.select("shard", "lang", "phrase", "a", "b").join(pairs.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
-        sides = texts.groupBy("name").cogroup(alive.groupBy("shard"))
-        longer = sides.applyInArrow(lambda s, k: _longer(depth, s, k), "lang string, phrase string, n bigint")
-        longer = longer.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        out = out.unionByName(longer.withColumn("words", F.size(F.split("phrase", " "))))
-    counts = stored(out, "phrase-counts")
-    for used in (made, words, found, pairs):
+    sizes = stored(dictionary.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-sizes")
+    # A word has at most one row per shard, so one shuffle both adds up and tells each shard what to keep.
+    total = F.sum("n").over(Window.partitionBy("lang", "word"))
+    words = dictionary.withColumn("total", total).where(F.col("total") >= least).withColumn("h", F.xxhash64("lang", "word"))
+    words = stored(words.select("shard", "lang", "word", "id", "h", "total"), "phrase-words")
+    buckets = max(shuffle_partitions(docs.sparkSession), (sizes.agg(F.sum("n")).first()[0] or 0) // size)
+    sides = texts.groupBy("name").cogroup(words.groupBy("shard"))
+    hashed = sides.applyInArrow(lambda s, k: _pairs(buckets, s, k), _HASHED)
+    pairs = stored(hashed.groupBy("bucket").applyInArrow(lambda b: _candidates(least, b), "shard string, hashes binary"), "phrase-pairs")
+    kept = words.withColumn("hashes", F.lit(None).cast("binary")).unionByName(pairs, allowMissingColumns=True)
+    sides = texts.groupBy("name").cogroup(kept.groupBy("shard"))
+    found = sides.applyInArrow(lambda s, k: _phrases(depth, s, k), "lang string, phrase string, n bigint")
+    found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    out = words.select("lang", F.col("word").alias("phrase"), F.col("total").alias("a")).distinct().unionByName(found)
+    counts = stored(out.withColumn("words", F.size(F.split("phrase", " "))), "phrase-counts")
+    for used in (made, words, pairs):
         discard(used)
     return counts, sizes
 
