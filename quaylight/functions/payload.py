@@ -6,16 +6,24 @@ from functools import reduce
 from operator import and_
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaylight.functions.text import let
+from quaylight.schema import col
 
 
 def as_variant(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def document(df: DataFrame, name: str) -> Column:
+    """The payload column as VARIANT: as it is, or parsed where it is text."""
+    kind = df.schema[name].dataType
+    return col(name) if isinstance(kind, T.VariantType) else as_variant(col(name))
+
+
 def _key(name: str) -> str:
     return "$['" + name.replace("'", "\\'") + "']"
 
@@ -30,6 +38,27 @@ def contains(data: Column, probe: Any) -> Column:
     return F.coalesce(let(data, lambda doc: _contains(doc, probe)), F.lit(False))
 
 
+def holds(doc: Column, probe: Any) -> Column:
+    """``contains`` for a VARIANT column: scalars below keys are read at their whole path, in place."""
+    parts = [
+        _contains(doc, value) if path == "$" else _is(doc, path, value) if isinstance(value, str) else contains(F.try_variant_get(doc, path, "variant"), value)
+        for path, value in _leaves("$", probe)
+    ]
+    return F.coalesce(reduce(and_, parts), F.lit(False))
+
+
+def _leaves(path: str, probe: Any) -> list[tuple[str, Any]]:
+    if isinstance(probe, dict) and probe:
+        return [leaf for key, value in probe.items() for leaf in _leaves(path + _key(key)[1:], value)]
+    return [(path, probe)]
+
+
+def _is(doc: Column, path: str, text: str) -> Column:
+    """A string at a path; its kind is asked for only where the text is the same."""
+    same = F.try_variant_get(doc, path, "string") == F.lit(text)
+    return same & (F.schema_of_variant(F.try_variant_get(doc, path, "variant")) == "STRING")
+
+
 def _containing(value: Any):
     return lambda item: contains(item, value)
 

@@ -10,6 +10,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quaylight.operators.commits import commit
+
 log = logging.getLogger(__name__)
 
 # A sink writes a batch and reports its counts. It must be idempotent for a batch id: a streaming
@@ -20,7 +22,7 @@ STATS = "batch_id BIGINT, sink STRING, written BIGINT, errors BIGINT, retries BI
 
 
 def file_sink(path: str, prepare: Callable[[DataFrame], DataFrame], by: Sequence[str] = ()) -> Sink:
-    """Parquet sink: each batch overwrites its own folder, so a replay changes nothing.
+    """Parquet sink: each batch is committed whole (see ``commits``), and a replay takes its place.
 
     Inside it rows are partitioned by the columns ``by``.
     """
@@ -28,7 +30,7 @@ def file_sink(path: str, prepare: Callable[[DataFrame], DataFrame], by: Sequence
     def write(batch: DataFrame, batch_id: int) -> dict[str, int]:
         seen = Observation()
         rows = prepare(batch).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch_id={batch_id}")
+        commit(rows, path, batch_id, by)
         return {"written": seen.get["n"], "errors": 0, "retries": 0, "queued": 0}
 
     return write

@@ -7,11 +7,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaylight import fixed
 from quaylight.functions import payload as js
 from quaylight.functions import times
 from quaylight.functions.text import first_non_empty, strip
+from quaylight.operators import commits
 from quaylight.schema import STORED_EVENT, col, present
 
 
@@ -21,10 +23,20 @@ def event_time(df: DataFrame, as_of: Column, fields=fixed.STORE_TIME_FIELDS) ->
     return F.coalesce(*[times.any_time(col(f), types[f]) for f in present(df, fields)], as_of)
 
 
-def store_rows(df: DataFrame, as_of: Column, batch: Column | str = "") -> DataFrame:
-    """(ts, type, source, data, id, created_at) rows of events.
+def row_position() -> Column:
+    """Where a row of a Parquet scan stands: its file and its number there. Stable whenever the file is read."""
+    return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
 
-    The id is a hash of batch and content: replaying a batch gives the same ids.
+
+def store_rows(
+    df: DataFrame, as_of: Column, batch: Column | str = "", position: str | None = None, payload: str = "text"
+) -> DataFrame:
+    """(ts, type, source, data, id, created_at) rows of events; ``data`` is JSON text or, with ``payload``
+    "variant", VARIANT.
+
+    The id is a hash of batch and content, or of batch and the column ``position`` (see ``row_position``), which is
+    then no part of the data: replaying a batch gives the same ids. Equal events have equal content: without a
+    position ``numbered_repeats`` tells them apart when they are written.
     """
     kind = F.coalesce(F.nullif(strip(col("type").cast("string")), F.lit("")), F.lit("unknown"))
     kind = F.when(kind == "unknown", kind).otherwise(col("type"))
@@ -32,32 +44,52 @@ def store_rows(df: DataFrame, as_of: Column, batch: Column | str = "") -> DataFr
     source = F.when(strip(source) == "", F.lit("unknown")).otherwise(
         F.coalesce(source, F.lit("unknown"))
     )
-    kept = [c for c in df.columns if c not in fixed.TIME_FIELDS]
+    kept = [c for c in df.columns if c not in fixed.TIME_FIELDS and c != position]
+    event = F.struct(*[col(c) for c in kept])
+    batch = F.lit(batch) if isinstance(batch, str) else batch
     rows = df.select(
         event_time(df, as_of).alias("ts"),
         kind.alias("type"),
         source.alias("source"),
-        F.to_json(F.struct(*[col(c) for c in kept])).alias("data"),
-    )
-    batch = F.lit(batch) if isinstance(batch, str) else batch
-    return rows.withColumns(
-        {
-            "id": F.xxhash64(batch, "ts", "type", "source", "data"),
-            "created_at": as_of,
-        }
+        (F.to_variant_object(event) if payload == "variant" else F.to_json(event)).alias("data"),
+        (F.xxhash64(batch, col(position)) if position else F.to_json(event)).alias("id"),
     )
+    if not position:
+        rows = rows.withColumn("id", F.xxhash64(batch, "ts", "type", "source", "id"))
+    return rows.withColumn("created_at", as_of)
 
 
-def append(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Append rows partitioned by day.
+def numbered_repeats(rows: DataFrame) -> DataFrame:
+    """Store rows in which equal events of a batch have ids of their own: the second, third.. hash their number in.
+
+    Equal rows are counted (before the shuffle too) and made again from the count, so no id depends on an order.
+    """
+    same = [c for c in rows.columns if c != "data"]
+    data = F.any_value("data").alias("data")
+    if not isinstance(rows.schema["data"].dataType, T.VariantType):
+        same, data = [*same, "data"], None
+    counted = rows.groupBy(*same).agg(*([data] if data is not None else []), F.count(F.lit(1)).alias("__n"))
+    again = counted.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n").cast("int") - 1)))
+    number = F.when(F.col("__k") == 0, F.col("id")).otherwise(F.xxhash64("id", "__k"))
+    return again.withColumn("id", number).select(*rows.columns)
+
+
+def append(rows: DataFrame, path: str, mode: str = "append", unique: bool = False) -> None:
+    """Append rows partitioned by day. Without ``unique`` ids, repeats are numbered first (one more shuffle).
 
     Rebalancing sends a day's rows together, then lets adaptive execution split a hot day and join
     small ones by size. It needs no sampling pass over the (costly) steps before it. Sorting keeps
     (type, ts) runs together, so row groups can be skipped.
     """
+    rows = rows if unique else numbered_repeats(rows)
     dated(rows).write.mode(mode).partitionBy("event_date").parquet(path)
 
 
+def commit(rows: DataFrame, path: str, batch: str | int, unique: bool = False) -> None:
+    """Write store rows as one batch that readers see whole or not at all; a replay of the batch replaces it."""
+    commits.commit(dated(rows if unique else numbered_repeats(rows)), path, batch, ("event_date",))
+
+
 def dated(rows: DataFrame) -> DataFrame:
     """Rows with their day, dealt and sorted for writing."""
     days = rows.withColumn("event_date", F.to_date("ts")).hint("rebalance", "event_date")
@@ -69,13 +101,17 @@ def compact(spark: SparkSession, streamed: str, path: str) -> None:
 
     ``read`` takes either layout; many small batches list and scan slowly.
     """
-    append(read(spark, streamed).drop("event_date"), path, "overwrite")
+    append(read(spark, streamed).drop("event_date"), path, "overwrite", unique=True)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A store as ``append`` or the streaming sink leaves it: days, or days inside batches."""
-    stored = spark.read.schema(STORED_EVENT + ", event_date DATE").option("recursiveFileLookup", "false").parquet(path)
-    return stored.select(*[f.strip().split(" ")[0] for f in STORED_EVENT.split(",")], "event_date")
+def read(spark: SparkSession, path: str, payload: str = "text") -> DataFrame:
+    """A store as ``append``, ``commit`` or the streaming sink leaves it: days, or days inside batches, of which
+    only committed ones count. ``payload`` tells how ``data`` was stored."""
+    shape = STORED_EVENT.replace("data STRING", "data VARIANT") if payload == "variant" else STORED_EVENT
+    names = [f.strip().split(" ")[0] for f in shape.split(",")]
+    if commits.is_committed(spark, path):
+        return commits.read(spark, path, shape + ", event_date DATE").select(*names, "event_date")
+    return spark.read.schema(shape + ", event_date DATE").option("recursiveFileLookup", "false").parquet(path).select(*names, "event_date")
 
 
 def in_range(
@@ -135,8 +171,7 @@ def merge_payload(
     prefer_payload: bool = True,
 ) -> DataFrame:
     """Lift payload fields (name -> type) to columns; on a clash the payload wins by default."""
-    doc = js.as_variant(col(data))
-    out = df.withColumn("__doc", doc)
+    out = df.withColumn("__doc", js.document(df, data))
     lifted = {}
     for name, kind in fields.items():
         value = F.try_variant_get(F.col("__doc"), js._key(name), kind)
@@ -148,8 +183,9 @@ def merge_payload(
 
 
 def containing(df: DataFrame, probe: Any, data: str = "data") -> DataFrame:
-    """Rows whose JSON payload contains the sub-document ``probe``."""
-    return df.where(js.contains(js.as_variant(col(data)), probe))
+    """Rows whose payload (VARIANT, or JSON text) contains the sub-document ``probe``."""
+    stored = isinstance(df.schema[data].dataType, T.VariantType)
+    return df.where(js.holds(col(data), probe) if stored else js.contains(js.as_variant(col(data)), probe))
 
 
 def recent(df: DataFrame, type: str, as_of: str, hours: int = 1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quaylight import fixed
@@ -542,8 +543,9 @@ def payload_merge(spark, folder):
     EV + f"SELECT event_id AS id FROM ev WHERE {SERVICE_SQL} = 'nginx' AND CAST(json_extract_string(data, '$.k') AS BIGINT) = 42"
 )
 def payload_containment(spark, folder):
+    """Sub-documents of payloads that are VARIANT from the start: nothing is written as text and parsed."""
     e = enrich.service_from_path(sh.events(spark, folder))
-    doc = F.to_json(
+    doc = F.to_variant_object(
         F.struct(
             F.struct("service").alias("tags"),
             F.get_json_object("data", "$.k").cast("bigint").alias("k"),
@@ -576,20 +578,45 @@ def store_totals(spark, folder):
     return store.totals(_stored(spark, folder).withColumn("created_at", F.col("ts")), AS_OF)
 
 
+def _fresh(spark, name):
+    import uuid
+
+    from quaylight.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 @query(
-    EV + "SELECT type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS event_date, count(*) AS n, count(DISTINCT event_id) AS ids FROM ev GROUP BY ALL"
+    EV + "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, strftime(date_trunc('day', ts), '%Y-%m-%d') AS event_date, type, source, message, "
+    "TRUE AS own_id, unnest([1, 2]) AS copy FROM ev"
 )
 def store_append_read(spark, folder):
-    """Write the partitioned store to the shared folder and count it back by partition."""
-    import uuid
+    """Every event twice, written to the day-partitioned store and read back row by row; each has an id of its own."""
+    path = _fresh(spark, "store")
+    e = sh.events(spark, folder).select(F.col("ts").alias("timestamp"), "type", "source", "message")
+    store.append(store.store_rows(e.unionByName(e), sh.as_of(), "b1"), path)
+    rows = store.read(spark, path)
+    same = Window.partitionBy("ts", "type", "source", "data").orderBy("id")
+    return rows.select(
+        stamp("ts").alias("ts"), F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "type", "source",
+        F.get_json_object("data", "$.message").alias("message"),
+        (F.coalesce(F.lag("id").over(same), F.col("id") - 1) != F.col("id")).alias("own_id"),
+        F.row_number().over(same).alias("copy"),
+    )
 
-    from quaylight.session import checkpoint_dir
 
-    path = f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
-    e = sh.events(spark, folder).select("event_id", F.col("ts").alias("timestamp"), "type", "source", "message")
-    store.append(store.store_rows(e, sh.as_of(), "b1"), path)
-    return (
-        store.read(spark, path)
-        .groupBy("type", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
-        .agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+@query(
+    EV + "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, type, source, CAST(json_extract_string(data, '$.k') AS BIGINT) AS k FROM ev WHERE type = 'purchase'"
+)
+def store_variant_commit(spark, folder):
+    """Events as VARIANT rows with ids by file and row, committed in two batches of which one is replayed."""
+    path = _fresh(spark, "commits")
+    e = table(spark, folder, "events").select(
+        "event_id", "user_id", F.col("event_type").alias("type"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("source"),
+        F.col("ts").alias("timestamp"), F.get_json_object("props", "$.k").cast("bigint").alias("k"), store.row_position().alias("at"),
     )
+    for batch, part in ((0, e.where("event_id % 2 = 0")), (1, e.where("event_id % 4 = 1")), (1, e.where("event_id % 2 = 1"))):
+        store.commit(store.store_rows(part, sh.as_of(), str(batch), "at", "variant"), path, batch, unique=True)
+    rows = store.containing(store.read(spark, path, "variant"), {"type": "purchase"})
+    lifted = store.merge_payload(rows, {"event_id": "bigint", "k": "bigint"})
+    return lifted.dropDuplicates(["id"]).select("event_id", stamp("ts").alias("ts"), "type", "source", "k")

@@ -37,7 +37,7 @@ def store_sink(path: str, as_of: str | None = None) -> Sink:
     at = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
 
     def write(batch: DataFrame, batch_id: int) -> dict[str, int]:
-        prepare = lambda df: store.dated(store.store_rows(df, at, str(batch_id)))
+        prepare = lambda df: store.dated(store.numbered_repeats(store.store_rows(df, at, str(batch_id))))
         return file_sink(path, prepare, ("event_date",))(batch, batch_id)
 
     return write

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from quaylight.operators import logs, store
+from quaylight.operators import commits, logs, store
 
 
 def ts(text):
@@ -121,3 +121,48 @@ def test_quantile_of_missing_labels_infinities_and_overlapping_ranges(spark):
     # The value at t covers (t - 120, t].
     assert found[None, 0] == 1.0 and found[None, 60] == 2.0 and found["a", 60] == float("inf")
     assert found["a", 120] == 100.0 and found["a", 180] == pytest.approx(51.0)
+
+
+def test_equal_events_have_ids_of_their_own(spark, tmp_path):
+    df = spark.createDataFrame([("2024-01-01T00:00:00Z", "t", "s", "same")] * 3 + [("2024-01-01T00:00:00Z", "t", "s", "other")], "timestamp string, type string, source string, message string")
+    for payload in ("text", "variant"):
+        for run in ("a", "b"):  # a replay gives the same ids
+            store.append(store.store_rows(df, ts("2024-02-02"), "b", payload=payload), str(tmp_path / payload / run))
+        ids = [sorted(r.id for r in store.read(spark, str(tmp_path / payload / run), payload).collect()) for run in ("a", "b")]
+        assert ids[0] == ids[1] and len(set(ids[0])) == 4
+
+
+def test_ids_by_position(spark, tmp_path):
+    spark.createDataFrame([("t", "x")] * 5, "type string, message string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in")).select("*", store.row_position().alias("at"))
+    rows = store.store_rows(df, ts("2024-02-02"), "b", "at")
+    assert len({r.id for r in rows.collect()}) == 5 and "at" not in json.loads(rows.first().data)
+    assert sorted(r.id for r in rows.collect()) == sorted(r.id for r in store.store_rows(df, ts("2024-02-02"), "b", "at").collect())
+
+
+def test_containment_in_variant_columns(spark):
+    texts = ['{"tags":{"service":"nginx","n":1},"l":["a",{"x":2}],"b":true,"z":null}', '{"tags":{"service":"web"}}', '"nginx"', '{"tags":{"service":1}}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", F.parse_json("text").alias("data"), "text")
+    probes = [{"tags": {"service": "nginx"}}, {"tags": {"service": 1}}, {"tags": {"service": "1"}}, {"l": [{"x": 2}]}, {"l": ["b"]}, {}, {"tags": {}}, "nginx", {"b": True}, {"z": None}, {"tags": {"n": 1.0}}, {"tags": {"service": "nginx", "n": 1}, "b": True}]
+    for probe in probes:
+        want = [r.id for r in store.containing(df, probe, "text").collect()]
+        assert [r.id for r in store.containing(df, probe).collect()] == want
+    plan = store.containing(df.select("id", "data"), {"tags": {"service": "nginx"}})._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan
+
+
+def test_a_batch_that_dies_leaves_what_was_there(spark, tmp_path):
+    """A failure in mid-write, a replay, a batch without rows, and a table without batches."""
+    root = str(tmp_path / "t")
+    rows = store.store_rows(spark.range(20).selectExpr("'t' AS type", "cast(id AS string) AS message"), ts("2024-02-02"), "0")
+    assert commits.read(spark, root, "id long").count() == 0
+    store.commit(rows, root, 0)
+    first = sorted(r.id for r in store.read(spark, root).collect())
+    dies = rows.withColumn("type", F.when(F.get_json_object("data", "$.message") == "17", F.raise_error(F.lit("disk gone")).cast("string")).otherwise(F.col("type")))
+    for batch in (0, 1):
+        with pytest.raises(Exception, match="disk gone"):
+            store.commit(dies, root, batch)
+        assert sorted(r.id for r in store.read(spark, root).collect()) == first
+    store.commit(rows.limit(5), root, 0)
+    store.commit(rows.limit(0), root, 1)
+    assert store.read(spark, root).count() == 5 and len(commits.committed(spark, root)) == 2
