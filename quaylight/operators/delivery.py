@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaylight.fixed import DELIVERY_STATUSES
@@ -112,6 +112,27 @@ def apply_retention(df: DataFrame, as_of: str, seconds: int = 86400) -> DataFram
     return df.where(~_expired(as_of, seconds))
 
 
+def expire(spark: SparkSession, path: str, shape: str, part: str, as_of: str, seconds: int = 86400) -> dict[str, int]:
+    """Delete expired rows of the stored table at ``path``, which is partitioned by ``part``; gives what went, by part.
+
+    Only parts with expired rows are written again, each replaced as a whole when the write commits; parts of which
+    nothing is left are removed. All other folders stay as they are. The driver sees one count per such part.
+    """
+    rows = spark.read.schema(shape).parquet(path)
+    old = F.count_if(_expired(as_of, seconds))
+    found = rows.groupBy(part).agg(old.alias("old"), F.count(F.lit(1)).alias("n")).where("old > 0").collect()
+    partly = [r[part] for r in found if r.old < r.n]
+    if partly:
+        left = apply_retention(rows.where(col(part).isin(partly)), as_of, seconds)
+        left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for r in found:
+        if r.old == r.n:
+            folder = hadoop.Path(f"{path}/{part}={r[part]}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return {str(r[part]): r.old for r in found}
+
+
 def retention_count(df: DataFrame, as_of: str, seconds: int = 86400) -> DataFrame:
     """Dry run: how many rows retention would delete."""
     return df.where(_expired(as_of, seconds)).agg(F.count("*").alias("to_delete"))

@@ -18,6 +18,7 @@ from quaylight.operators.series import (
     batches, joined_on, label_key, per_step, sliding, spread, steps_of, time_grid, with_eval_time,
 )
 from quaylight.schema import col, present
+from quaylight.session import cut_lineage
 
 DEFAULT_LABELS = {"service": "edge", "source": "central"}
 
@@ -239,14 +240,15 @@ def quantile_over_time(
     range_seconds: int,
     by: Sequence[str] = (),
     step_seconds: int | None = None,
+    most: int = 10_000,
 ) -> DataFrame:
     """Exact interpolated quantile of a numeric column per range and label values, at every step.
 
     Equal values are counted before the shuffle, and those counts serve every range that covers their step.
-    Counts are ordered in two levels: magnitude bins find the bin of each wanted rank, and only the values of
-    those bins are ordered. Values within about 1 % share a bin, so a group whose values are all that close
-    is ordered in one task. Missing labels are a group of their own; infinities and NaN are values above (or
-    below) all others.
+    Counts are ordered by refinement: magnitude bins tell the bin of each wanted rank, bins with more than ``most``
+    values are cut into equal parts of their span, and so on, so no task orders more than ``most`` values of a group
+    (values closer than a double can tell are equal). Missing labels are a group of their own; infinities and NaN
+    are values above (or below) all others.
     """
     step = step_seconds or range_seconds
     keys = [*by, "step"]
@@ -257,30 +259,9 @@ def quantile_over_time(
     if range_seconds != step:
         spent = spread(cells, "step", steps_of(range_seconds, step))
         cells = spent.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
-    endless = F.isnan("v") | (F.abs("v") == float("inf"))
-    finite = F.when(~endless, F.floor(F.log2(F.abs("v")) * 64).cast("bigint") + F.lit(100_000))
-    size = F.coalesce(finite, F.when(F.isnan("v"), F.lit(1 << 41)), F.lit(1 << 40))
-    cells = cells.withColumn(
-        "bin", F.when(F.col("v") > 0, size).when(F.col("v") < 0, -size).otherwise(F.lit(0))
-    )
-    bins = cells.groupBy(*keys, "bin").agg(F.sum("n").alias("bn"))
-    along = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    rank = F.lit(q) * (F.col("total") - 1)
-    bins = (
-        bins.withColumn("before", F.coalesce(F.sum("bn").over(along), F.lit(0)))
-        .withColumn("total", F.sum("bn").over(whole))
-        .withColumn("lo", F.floor(rank))
-        .withColumn("hi", F.ceil(rank))
-        .where(
-            F.col("lo").between(F.col("before"), F.col("before") + F.col("bn") - 1)
-            | F.col("hi").between(F.col("before"), F.col("before") + F.col("bn") - 1)
-        )
-    )
+    picked = _around_rank(cells, keys, q, most)
     inside = Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    picked = joined_on(cells, bins, [*keys, "bin"]).withColumn(
-        "first", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    )
+    picked = picked.withColumn("first", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     last = F.col("first") + F.col("n") - 1
 
     def at(position: str) -> Column:
@@ -293,6 +274,38 @@ def quantile_over_time(
     return with_eval_time(out.drop("a", "b", "f"), step)
 
 
+#: Parts of a bin that holds too many values.
+_PARTS = 1024
+
+
+def _around_rank(cells: DataFrame, keys: Sequence[str], q: float, most: int) -> DataFrame:
+    """The cells (v, n) of the bins that hold the ranks around ``q``: with ``bin``, the number of values ``before`` it,
+    the group's ``total`` and the two ranks ``lo`` and ``hi``."""
+    endless = F.isnan("v") | (F.abs("v") == float("inf"))
+    finite = F.when(~endless, F.floor(F.log2(F.abs("v")) * 64).cast("bigint") + F.lit(100_000))
+    size = F.coalesce(finite, F.when(F.isnan("v"), F.lit(1 << 41)), F.lit(1 << 40))
+    magnitude = F.when(F.col("v") > 0, size).when(F.col("v") < 0, -size).otherwise(F.lit(0))
+    cells = cut_lineage(cells.withColumn("bin", F.struct(magnitude.alias("m"))))
+    sums = [F.sum("n").alias("bn"), F.count(F.lit(1)).alias("values"), F.min("v").alias("low"), F.max("v").alias("high")]
+    rank = F.lit(q) * (F.col("total") - 1)
+    bins = cells.groupBy(*keys, "bin").agg(*sums).withColumns({"base": F.lit(0).cast("bigint"), "total": F.sum("bn").over(Window.partitionBy(*keys))})
+    bins = bins.withColumns({"lo": F.floor(rank), "hi": F.ceil(rank)})
+    while True:
+        along = Window.partitionBy(*keys, "base").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("before", F.col("base") + F.coalesce(F.sum("bn").over(along), F.lit(0)))
+        upto = F.col("before") + F.col("bn") - 1
+        wanted = cut_lineage(bins.where(F.col("lo").between(F.col("before"), upto) | F.col("hi").between(F.col("before"), upto)))
+        large = (F.col("values") > most) & (F.col("low") < F.col("high"))
+        picked = joined_on(cells.select(*keys, "v", "n", "bin"), wanted.drop("base", "bn"), [*keys, "bin"])
+        if wanted.where(large).isEmpty():
+            return picked
+        part = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * _PARTS)
+        part = F.when(large, F.least(part, F.lit(_PARTS - 1))).otherwise(F.lit(0))
+        finer = F.struct("bin", part.cast("bigint").alias("part"))
+        cells = cut_lineage(picked.select(*keys, "v", "n", finer.alias("bin"), F.col("before").alias("base"), "total", "lo", "hi"))
+        bins = cells.groupBy(*keys, "bin", "base", "total", "lo", "hi").agg(*sums)
+
+
 def absent_over_time(
     df: DataFrame, selected: DataFrame, range_seconds: int, step_seconds: int | None = None
 ) -> DataFrame:

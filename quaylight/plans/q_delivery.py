@@ -10,6 +10,7 @@ from quaylight.operators import delivery, failures, logs, sinks
 from quaylight.plans import shapes as sh
 from quaylight.plans.registry import query
 from quaylight.plans.shapes import DELIVERIES_SQL, EVENTS_SQL, stamp, table, with_parts
+from quaylight.session import cut_lineage
 from quaylight.streaming import windows
 
 DL = with_parts(DELIVERIES_SQL)
@@ -94,6 +95,26 @@ def retention_rewrite(spark, folder):
     return delivery.apply_retention(sh.deliveries(spark, folder), "2000-01-01", 86400).select("id", "status")
 
 
+@query(
+    DL + "SELECT strftime(dl.ts, '%Y-%m') AS month, count(*) FILTER (WHERE NOT old) AS n, coalesce(CAST(sum(id) FILTER (WHERE NOT old) AS BIGINT), 0) AS ids, bool_or(old) AS written_again FROM "
+    "(SELECT *, status = 'completed' AND dl.ts < TIMESTAMP '1995-06-14' AS old FROM dl) dl GROUP BY 1"
+)
+def retention_store(spark, folder):
+    """Deliveries stored by month, expired ones deleted: rows that are left, and which months' files changed."""
+    root = _root(spark, "retention")
+    rows = sh.deliveries(spark, folder).select("id", "ts", "status", F.date_format("ts", "yyyy-MM").alias("month"))
+    rows.repartition("month").write.partitionBy("month").parquet(root)
+    shape = "id BIGINT, ts TIMESTAMP, status STRING, month STRING"
+    read = lambda: spark.read.schema(shape).parquet(root)
+    files = F.sort_array(F.collect_set(F.col("_metadata.file_path")))
+    before = cut_lineage(read().groupBy("month").agg(files.alias("before")))
+    delivery.expire(spark, root, shape, "month", "1995-06-15", 86400)
+    after = read().groupBy("month").agg(files.alias("after"), F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    joined = before.join(after, "month", "left")
+    again = F.coalesce(F.col("before") != F.col("after"), F.lit(True)).alias("written_again")
+    return joined.select("month", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.lit(0)).alias("ids"), again)
+
+
 @query(DL + "SELECT count(*) AS to_delete FROM dl WHERE status = 'completed' AND ts < TIMESTAMP '1999-12-31'")
 def retention_dry_run(spark, folder):
     return delivery.retention_count(sh.deliveries(spark, folder), "2000-01-01", 86400)

@@ -200,3 +200,20 @@ def test_missing_keys_and_times_are_not_lost(spark):
     assert sorted(map(tuple, found)) == [(1, 1), (2, 2), (3, 0)]
     rows = spark.createDataFrame([(1, "k", 0), (2, "k", 10), (3, "k", None), (4, "k", None)], "id int, key string, t int").withColumn("ts", F.timestamp_seconds("t"))
     assert sorted(r.id for r in delivery.drop_repeats(rows, ["key"], "ts", "id").collect()) == [1, 3, 4]
+
+
+def test_retention_writes_touched_days_only(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "id INT, ts TIMESTAMP, status STRING, day STRING"
+    rows = [(d * 10 + i, d, "completed" if d < 2 or i % 2 else "pending") for d in range(6) for i in range(4)]
+    df = spark.createDataFrame(rows, "id int, d int, status string").select(
+        "id", F.timestamp_seconds(F.lit(1704067200) + F.col("d") * 86400).alias("ts"), "status", F.col("d").cast("string").alias("day"))
+    df.coalesce(1).write.partitionBy("day").parquet(path)
+    names = lambda: {p.parent.name: p.name for p in (tmp_path / "t").glob("day=*/part-*")}
+    before = names()
+    gone = delivery.expire(spark, path, shape, "day", "2024-01-05", 86400)
+    assert gone == {"0": 4, "1": 4, "2": 2}
+    after = names()
+    assert set(after) == {f"day={d}" for d in range(2, 6)}
+    assert {d for d in after if after[d] != before[d]} == {"day=2"}
+    left = spark.read.schema(shape).parquet(path)
+    assert left.count() == 14 and delivery.expire(spark, path, shape, "day", "2024-01-05", 86400) == {}

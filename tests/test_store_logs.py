@@ -166,3 +166,17 @@ def test_a_batch_that_dies_leaves_what_was_there(spark, tmp_path):
     store.commit(rows.limit(5), root, 0)
     store.commit(rows.limit(0), root, 1)
     assert store.read(spark, root).count() == 5 and len(commits.committed(spark, root)) == 2
+
+
+def test_quantiles_of_values_that_are_close(spark):
+    """50 000 distinct values within one part in ten thousand, in two groups: bins are refined until small."""
+    df = spark.range(50_000).select(
+        F.lit("2024-01-01").cast("timestamp").alias("ts"), F.create_map(F.lit("lab"), (F.col("id") % 2).cast("string")).alias("labels"),
+        (F.lit(100.0) + F.pow(F.col("id") / 50_000, 3) / 100).alias("v"))
+    cells = df.select(F.col("labels")["lab"].alias("lab"), "v", F.lit(1).alias("n"))
+    picked = logs._around_rank(cells, ["lab"], 0.37, 200)
+    assert picked.groupBy("lab", "bin").count().agg(F.max("count")).first()[0] <= 200
+    for q in (0.0, 0.37, 0.999, 1.0):
+        got = {r.lab: r.quantile for r in logs.quantile_over_time(df, q, "v", 60, ["lab"], most=200).collect()}
+        want = {r.lab: r.q for r in cells.groupBy("lab").agg(F.percentile("v", q).alias("q")).collect()}
+        assert got == pytest.approx(want, rel=1e-15)
