@@ -5,15 +5,17 @@ a 0 between pieces, so no phrase leaves its piece or its language. A shard's FM-
 its reverse, both sorted as deep as phrases go; the intervals of a phrase in both are extended by a word on
 the left in the one or on the right in the other, for all phrases of a length at once. Only counts that can
 still reach the minimum are worth extending: words are summed over all shards first, then pairs, and what
-stays below is cut out of the shards (as a piece end) before the next index is built. Pairs are summed by a
-64-bit hash, where a clash can only keep a pair that is too rare: the phrases of what is left, pairs included,
-are summed by their words. No count is dropped or estimated: a phrase that reaches the minimum is made of words
-and pairs that do.
+stays below is cut out of the shards (as a piece end) before the next index is built; then threes, without which
+no longer phrase is extended. Pairs and threes are summed by a 64-bit hash, where a clash can only keep one that is
+too rare: the phrases of what is left, pairs included, are summed by their words. No count is dropped or estimated:
+a phrase that reaches the minimum is made of words, pairs and threes that do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -21,12 +23,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from quaylight.llm.shared import discard, settle, shuffle_partitions, stored
 from quaylight.llm.words import mixed, text_slices
 
 #: Words of a shard, the longest phrase, its least count, and the rows of a language in the result.
-SHARD, DEPTH, LEAST, ROWS = 1 << 20, 5, 100, 2000
+SHARD, DEPTH, LEAST, ROWS = 6 << 20, 5, 100, 2000
 NO_LANGUAGE = "und"
 
 #: Bytes that end a piece become line ends, tabs become spaces.
@@ -108,28 +111,34 @@ class PhraseIndex:
     """
 
     def __init__(self, ids: np.ndarray, depth: int):
-        self.ids = np.concatenate([ids.astype(np.int64), [0]])
-        self.n = len(self.ids)
+        self.ids = np.append(ids, 0).astype(np.int32)
+        self.n, self.depth = len(self.ids), depth
         self.symbols = int(self.ids.max(initial=0)) + 1
-        self.order, self.bwt, self.back = self._sorted(self.ids, depth)
-        self.reverse_order, self.reverse_bwt, self.reverse_back = self._sorted(self.ids[::-1], depth)
         self.begins = np.concatenate([[0], np.cumsum(np.bincount(self.ids, minlength=self.symbols))])
-
-    def _sorted(self, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Suffix order, BWT and LF map. Ranks of 1, 2, 4.. ids are joined until ``depth`` is reached."""
-        ranks, width = ids, 1
-        while width < depth:
-            ahead = np.concatenate([ranks[width:], np.zeros(min(width, self.n), np.int64)])[: self.n]
-            key = ranks * (int(ahead.max(initial=0)) + 1) + ahead
+        self.order, self.bwt, self.back = self._sorted(self.ids)
+
+    @cached_property
+    def reverse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self._sorted(self.ids[::-1])
+
+    def _sorted(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffix order, BWT and LF map. Ranks of 1, 2, 4.. ids are joined until the depth is reached."""
+        ranks, width, order = ids, 1, np.zeros(0, np.int64)
+        while width < self.depth:
+            key = ranks.astype(np.int64)
+            key *= int(ranks.max(initial=0)) + 1
+            key[: max(0, self.n - width)] += ranks[width:]
             order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            ranks = np.empty(self.n, np.int64)
-            ranks[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
+            key = key[order]
+            ranks = np.empty(self.n, np.int32)
+            ranks[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=np.int32)
             width *= 2
-        order = np.argsort(ranks, kind="stable")
+        if not len(order):
+            order = np.argsort(ranks, kind="stable")
+        order = order.astype(np.int32)
         bwt = ids[order - 1]
-        back = np.empty(self.n, np.int64)
-        back[np.argsort(bwt, kind="stable")] = np.arange(self.n)
+        back = np.empty(self.n, np.int32)
+        back[np.argsort(bwt, kind="stable")] = np.arange(self.n, dtype=np.int32)
         return order, bwt, back
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,35 +153,43 @@ class PhraseIndex:
         In the first index the begin is where the LF map sends the interval's first row with that id; in the
         other, the phrase's own interval is ordered by the id that follows, so smaller ids go before.
         """
-        rows = np.arange(int(counts.sum())) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        key = owner * self.symbols + bwt[rows]
+        heads = np.cumsum(counts) - counts
+        rows = np.arange(int(counts.sum())) + np.repeat(begins - heads, counts)
+        key = np.repeat(np.arange(len(counts)), counts) * self.symbols + bwt[rows]
         at = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(key[at]) > 0]) if len(at) else at
+        key = key[at]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(at) else at
         sizes = np.diff(np.append(first, len(at)))
-        owners, lead = owner[at[first]], rows[at[first]]
+        owners, lead = key[first] // self.symbols, rows[at[first]]
         real = bwt[lead] > 0
-        before = first - (np.cumsum(counts) - counts)[owners]
-        return back[lead][real], (others[owners] + before)[real], sizes[real]
+        before = first - heads[owners]
+        return back[lead][real].astype(np.int64), (others[owners] + before)[real], sizes[real]
 
     def left(self, begins: np.ndarray, others: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self._extended(begins, others, counts, self.bwt, self.back)
 
     def right(self, begins: np.ndarray, others: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        others, begins, counts = self._extended(others, begins, counts, self.reverse_bwt, self.reverse_back)
+        others, begins, counts = self._extended(others, begins, counts, self.reverse[1], self.reverse[2])
         return begins, others, counts
 
-    def phrases(self, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each length, all its phrases (rows of ids) and their counts; left and right extension in turn."""
+    def phrases(self, least: int, most: int, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each length, its phrases (rows of ids) and their counts; left and right extension in turn.
+
+        With ``keep``, phrases for which it is false are neither given nor extended.
+        """
         found = self.words()
         for length in range(1, most + 1):
             if length > 1:
                 found = (self.left if length % 2 == 0 else self.right)(*found)
+            if length >= least or keep:
+                phrase = self.ids[self.order[found[0]].astype(np.int64)[:, None] + np.arange(length)]
+                if keep:
+                    kept = keep(phrase)
+                    phrase, found = phrase[kept], tuple(x[kept] for x in found)
             if not len(found[0]):
                 return
             if length >= least:
-                places = self.order[found[0]]
-                yield self.ids[places[:, None] + np.arange(length)], found[2]
+                yield phrase, found[2]
 
 
 def _joined(words: pa.Array, phrase: np.ndarray) -> pa.Array:
@@ -194,50 +211,86 @@ def _placed(places: pa.Array, texts: pa.Array, size: int) -> pa.Array:
     return texts.take(pa.array(spots, mask=spots < 0))
 
 
-def _following(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """A hash of each pair of neighbours, from the hashes of their words."""
-    return mixed(h[ids[:-1]] * np.uint64(0x9E3779B97F4A7C15) + h[ids[1:]])
-
-
-def _sides(shard: pa.Table, kept: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Table] | None:
-    """A shard's ids without rare words, the hash of each id's word, and the rows of its words."""
-    words = kept.filter(pc.is_valid(kept.column("id"))).combine_chunks()
-    if not shard.num_rows or not words.num_rows:
-        return None
-    ids = np.frombuffer(shard.column("ids")[0].as_py(), np.int32)
-    places = words.column("id").chunk(0).to_numpy()
-    h = np.zeros(max(int(ids.max(initial=0)), int(places.max())) + 1, np.uint64)
-    alive = np.zeros(len(h), bool)
-    alive[places] = True
-    h[places] = words.column("h").chunk(0).to_numpy().astype(np.int64).view(np.uint64)
-    return _compact(np.where(alive[ids], ids, 0)), h, words
-
-
-_HASHED = "bucket bigint, shard string, hashes binary, counts binary"
-
-
-def _pairs(buckets: int, shard: pa.Table, kept: pa.Table) -> pa.Table:
-    """Hashes and counts of the pairs of a shard's frequent words, one row per bucket of hashes."""
-    found = _sides(shard, kept)
+def _hashed(h: np.ndarray, phrase: np.ndarray) -> np.ndarray:
+    """A hash of each row of ids, from the hashes of their words."""
+    out = h[phrase[:, 0]]
+    for k in range(1, phrase.shape[1]):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[phrase[:, k]])
+    return out
+
+
+@dataclass
+class Shard:
+    """A shard's ids, cut at what cannot be in a frequent phrase, the hash of each id's word, and its words' rows."""
+
+    ids: np.ndarray
+    h: np.ndarray
+    rows: pa.Table
+    known: dict[int, np.ndarray]  # hashes of candidates by length
+
+    @staticmethod
+    def read(shard: pa.Table, kept: pa.Table) -> Shard | None:
+        rows = kept.filter(pc.is_valid(kept.column("id"))).combine_chunks()
+        if not shard.num_rows or not rows.num_rows:
+            return None
+        ids = np.frombuffer(shard.column("ids")[0].as_py(), np.int32)
+        places = rows.column("id").chunk(0).to_numpy()
+        h = np.zeros(max(int(ids.max(initial=0)), int(places.max())) + 1, np.uint64)
+        alive = np.zeros(len(h), bool)
+        alive[places] = True
+        h[places] = rows.column("h").chunk(0).to_numpy().astype(np.int64).view(np.uint64)
+        known: dict[int, np.ndarray] = {}
+        if "hashes" in kept.schema.names:
+            for length in (2, 3):
+                own = kept.filter(pc.equal(kept.column("length"), length)).column("hashes").to_pylist()
+                known[length] = np.sort(np.frombuffer(b"".join(own), np.uint64))
+        ids = _compact(np.where(alive[ids], ids, 0))
+        if 2 in known and len(ids):
+            # A separator wherever two neighbours are no candidate: words between two of them are in no phrase.
+            pairs = Shard._among(known[2], _hashed(h, np.stack([ids[:-1], ids[1:]], axis=1)))
+            spread = np.zeros(2 * len(ids), np.int32)
+            spread[::2] = ids
+            spread[1:-1:2] = np.where(pairs, -1, 0)
+            ids = _compact(spread[spread >= 0])
+        return Shard(ids, h, rows, known)
+
+    @staticmethod
+    def _among(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(hashes), bool)
+        return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+    def possible(self, phrase: np.ndarray) -> np.ndarray:
+        """Whether the first and the last three words are candidates; what lies between came from such phrases."""
+        if phrase.shape[1] < 3:
+            return np.ones(len(phrase), bool)
+        known = self.known[3]
+        return self._among(known, _hashed(self.h, phrase[:, :3])) & self._among(known, _hashed(self.h, phrase[:, -3:]))
+
+
+_BUCKETED = "bucket bigint, shard string, hashes binary, counts binary"
+
+
+def _counted(length: int, buckets: int, shard: pa.Table, kept: pa.Table) -> pa.Table:
+    """Hashes and counts of a shard's phrases of one length, one row per bucket of hashes."""
     rows: dict[str, list] = {"bucket": [], "shard": [], "hashes": [], "counts": []}
-    if found:
-        ids, h, _ = found
+    if found := Shard.read(shard, kept):
         name = shard.column("name")[0].as_py()
-        for phrase, counts in PhraseIndex(ids, 2).phrases(2, 2):
-            hashes = mixed(h[phrase[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + h[phrase[:, 1]])
+        for phrase, counts in PhraseIndex(found.ids, length).phrases(length, length):
+            hashes = _hashed(found.h, phrase)
             bucket = (hashes % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            for part in np.split(order, cuts):
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                 rows["bucket"].append(int(bucket[part[0]]))
                 rows["shard"].append(name)
                 rows["hashes"].append(hashes[part].tobytes())
                 rows["counts"].append(counts[part].astype(np.int32).tobytes())
     kinds = [("bucket", pa.int64()), ("shard", pa.string()), ("hashes", pa.binary()), ("counts", pa.binary())]
+    settle()
     return pa.Table.from_pydict(rows, schema=pa.schema(kinds))
 
 
-def _candidates(least: int, bucket: pa.Table) -> pa.Table:
+def _candidates(length: int, least: int, bucket: pa.Table) -> pa.Table:
     """Per shard the hashes of a bucket whose counts add up to ``least`` or more over all shards."""
     parts = [np.frombuffer(x, np.uint64) for x in bucket.column("hashes").to_pylist()]
     counts = np.concatenate([np.frombuffer(x, np.int32) for x in bucket.column("counts").to_pylist()])
@@ -245,28 +298,20 @@ def _candidates(least: int, bucket: pa.Table) -> pa.Table:
     enough = (np.bincount(spot, counts, len(known)) >= least)[spot]
     ends = np.cumsum([len(p) for p in parts])
     kept = [p[enough[e - len(p) : e]].tobytes() for p, e in zip(parts, ends, strict=True)]
-    out = pa.table({"shard": bucket.column("shard"), "hashes": pa.array(kept, pa.binary())})
+    out = pa.table({"shard": bucket.column("shard"), "length": pa.array([length] * len(kept), pa.int32()), "hashes": pa.array(kept, pa.binary())})
     return out.filter(pc.greater(pc.binary_length(out.column("hashes")), 0))
 
 
 def _phrases(depth: int, shard: pa.Table, kept: pa.Table) -> pa.Table:
-    """Phrases of two words and more, all of whose pairs are candidates, with counts."""
+    """Phrases of two words and more, all of whose pairs and threes are candidates, with counts."""
     none = pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], names=["lang", "phrase", "n"])
-    found = _sides(shard, kept)
-    hashes = kept.column("hashes").drop_null().to_pylist()
-    if not found or not hashes:
+    found = Shard.read(shard, kept)
+    if not found:
         return none
-    ids, h, rows = found
-    # A separator wherever two neighbours are no candidate: words between two of them are in no phrase of two.
-    pairs = np.isin(_following(h, ids), np.frombuffer(b"".join(hashes), np.uint64))
-    spread = np.zeros(2 * len(ids), np.int64)
-    spread[::2] = ids
-    spread[1:-1:2] = np.where(pairs, -1, 0)
-    ids = _compact(spread[spread >= 0])
-    places = rows.column("id").chunk(0)
-    words, langs = (_placed(places, rows.column(c).chunk(0), len(h)) for c in ("word", "lang"))
+    places = found.rows.column("id").chunk(0)
+    words, langs = (_placed(places, found.rows.column(c).chunk(0), len(found.h)) for c in ("word", "lang"))
     out = [none]
-    for phrase, counts in PhraseIndex(ids, depth).phrases(2, depth):
+    for phrase, counts in PhraseIndex(found.ids, depth).phrases(2, depth, found.possible):
         out.append(pa.table([langs.take(pa.array(phrase[:, 0])), _joined(words, phrase), pa.array(counts, pa.int64())], names=none.schema.names))
     return pa.concat_tables(out)
 
@@ -281,21 +326,32 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size:
     total = F.sum("n").over(Window.partitionBy("lang", "word"))
     words = dictionary.withColumn("total", total).where(F.col("total") >= least).withColumn("h", F.xxhash64("lang", "word"))
     words = stored(words.select("shard", "lang", "word", "id", "h", "total"), "phrase-words")
-    buckets = max(shuffle_partitions(docs.sparkSession), (sizes.agg(F.sum("n")).first()[0] or 0) // size)
-    sides = texts.groupBy("name").cogroup(words.groupBy("shard"))
-    hashed = sides.applyInArrow(lambda s, k: _pairs(buckets, s, k), _HASHED)
-    pairs = stored(hashed.groupBy("bucket").applyInArrow(lambda b: _candidates(least, b), "shard string, hashes binary"), "phrase-pairs")
-    kept = words.withColumn("hashes", F.lit(None).cast("binary")).unionByName(pairs, allowMissingColumns=True)
+    buckets = max(shuffle_partitions(docs.sparkSession), (sizes.agg(F.sum("n")).first()[0] or 0) // (1 << 20))
+    candidates: DataFrame | None = None
+    for length in (2, 3)[: depth - 1]:
+        kept = words.select("shard", "id", "h")
+        if candidates is not None:
+            kept = kept.unionByName(candidates, allowMissingColumns=True)
+        sides = texts.groupBy("name").cogroup(kept.groupBy("shard"))
+        found = stored(_frequent(sides, length, buckets, least), "phrase-candidates")
+        candidates = found if candidates is None else candidates.unionByName(found)
+    kept = words.drop("total").unionByName(candidates, allowMissingColumns=True)
     sides = texts.groupBy("name").cogroup(kept.groupBy("shard"))
     found = sides.applyInArrow(lambda s, k: _phrases(depth, s, k), "lang string, phrase string, n bigint")
     found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     out = words.select("lang", F.col("word").alias("phrase"), F.col("total").alias("a")).distinct().unionByName(found)
     counts = stored(out.withColumn("words", F.size(F.split("phrase", " "))), "phrase-counts")
-    for used in (made, words, pairs):
+    for used in (made, words, candidates):
         discard(used)
     return counts, sizes
 
 
+def _frequent(sides: PandasCogroupedOps, length: int, buckets: int, least: int) -> DataFrame:
+    """Per shard the hashes of its phrases of a length that occur ``least`` times or more in all."""
+    hashed = sides.applyInArrow(lambda s, k: _counted(length, buckets, s, k), _BUCKETED)
+    return hashed.groupBy("bucket").applyInArrow(lambda b: _candidates(length, least, b), "shard string, length int, hashes binary")
+
+
 def scored(cuts: DataFrame) -> DataFrame:
     """Adds floor(1000 a n / (l r)), in decimals of 38 digits: exact for counts up to 1e17."""
     a, n, l, r = (F.col(c).cast("decimal(17,0)") for c in ("a", "n", "l", "r"))  # noqa: E741

@@ -114,5 +114,5 @@ def test_intervals():
     back = index.ids[::-1]
     for begin, other, n in zip(*found, strict=True):
         forward = {tuple(index.ids[i : i + 5].tolist()) for i in index.order[begin : begin + n]}
-        backward = {tuple(back[i : i + 5].tolist()[::-1]) for i in index.reverse_order[other : other + n]}
+        backward = {tuple(back[i : i + 5].tolist()[::-1]) for i in index.reverse[0][other : other + n]}
         assert forward == backward and len(forward) == 1 and want[forward.pop()] == n
