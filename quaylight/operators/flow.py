@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quaylight import fixed
 from quaylight.operators import annotate, enrich, redact
 from quaylight.schema import col
+from quaylight.session import cut_lineage
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -65,13 +66,16 @@ def build_steps(
     quarantine: Callable[[DataFrame], None] | None = None,
     annotations: DataFrame | None = None,
     stats: dict[str, Observation] | None = None,
+    audit: bool = False,
 ) -> list[Step]:
     """Configured steps in their fixed order; a block that is missing or disabled is skipped.
 
     Order: redaction, personal-data check, tags, severity, service, place, site, time, annotations.
-    ``quarantine`` receives the events held back; ``stats`` receives the counts of the check.
+    ``quarantine`` receives the events held back; ``stats`` receives the counts of the check. With ``audit`` each
+    step adds its name and what it did to the ``audit`` column of the events it lets through.
     """
     steps: list[Step] = []
+    done: list[tuple[str, str]] = []
 
     def enabled(block: str) -> Mapping | None:
         found = config.get(block)
@@ -79,6 +83,7 @@ def build_steps(
 
     if (block := enabled("redaction")) is not None:
         steps.append(lambda df, b=block: redact.redact(df, b))
+        done.append(("redaction", "redacted"))
     if (block := enabled("pii_check")) is not None:
 
         def check(df: DataFrame, b=block) -> DataFrame:
@@ -87,12 +92,16 @@ def build_steps(
                 found, seen = observed(found, F.size("pii_findings") == 0)
                 if stats is not None:
                     stats["pii_check"] = seen
+            if quarantine is not None and not df.isStreaming:
+                # Both outputs read one stored detection.
+                found = cut_lineage(found)
             good, bad = redact.pii_gate(found, b.get("strict_mode", True))
             if quarantine is not None:
                 quarantine(bad)
             return good.drop("pii_findings")
 
         steps.append(check)
+        done.append(("pii_check", "passed"))
     if (block := enabled("enrichment")) is not None:
         geo = block.get("geo_hints", {})
         site = block.get("site_env_tags", {})
@@ -117,6 +126,8 @@ def build_steps(
                 df, as_of, b.get("timestamp_fields", fixed.TIME_FIELDS)
             ),
         ]
+        done += [("add_tags", "enriched"), ("severity_map", "mapped"), ("service_from_path", "enriched")]
+        done += [("geo_hint", "enriched"), ("site_env_tags", "enriched"), ("timestamp_normalizer", "normalized")]
     if (block := enabled("annotations")) is not None and annotations is not None:
         steps.append(
             lambda df, b=block: annotate.merge_annotations(
@@ -127,4 +138,7 @@ def build_steps(
                 threshold=b.get("confidence_threshold", fixed.CONFIDENCE_THRESHOLD),
             )
         )
-    return steps
+        done.append(("annotations", "merged"))
+    if not audit:
+        return steps
+    return [lambda df, s=step, entry=entry: with_audit(s(df), *entry) for step, entry in zip(steps, done, strict=True)]

@@ -36,6 +36,21 @@ def file_sink(path: str, prepare: Callable[[DataFrame], DataFrame], by: Sequence
     return write
 
 
+def with_retries(sink: Sink, attempts: int = 3) -> Sink:
+    """A sink that is tried up to ``attempts`` times; it reports its retries, and as queued what it could not write."""
+
+    def write(batch: DataFrame, batch_id: int) -> dict[str, int]:
+        for n in range(attempts):
+            try:
+                return {**sink(batch, batch_id), "retries": n}
+            except Exception:
+                log.exception("attempt %s of batch %s failed", n + 1, batch_id)
+        left = batch.count()
+        return {"written": 0, "errors": left, "retries": attempts - 1, "queued": left}
+
+    return write
+
+
 def fan_out(
     batch: DataFrame, batch_id: int, sinks: Mapping[str, Sink], stats_path: str | None = None
 ) -> list[tuple]:
@@ -53,7 +68,7 @@ def fan_out(
         except Exception:
             log.exception("sink %s failed on batch %s", name, batch_id)
             got = {"written": 0, "errors": held.count(), "retries": 0, "queued": 0}
-        return (batch_id, name, got["written"], got["errors"], got["retries"], got["queued"])
+        return (batch_id, name, *[got.get(k, 0) for k in ("written", "errors", "retries", "queued")])
 
     try:
         with ThreadPoolExecutor(max(1, len(sinks))) as pool:

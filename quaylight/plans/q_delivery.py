@@ -224,6 +224,29 @@ def dual_fan_out(spark, folder):
     )
 
 
+@query(
+    "SELECT 'steady' AS sink, count(*) AS written, 0 AS errors, 0 AS retries, 0 AS queued FROM events "
+    "UNION ALL SELECT 'flaky', count(*), 0, 2, 0 FROM events UNION ALL SELECT 'down', 0, count(*), 2, count(*) FROM events"
+)
+def sink_retries(spark, folder):
+    """A steady sink, one that fails twice before it writes, and one that never does."""
+    root, calls = _root(spark, "retries"), []
+    steady = sinks.file_sink(f"{root}/steady", lambda df: df)
+
+    def flaky(batch, batch_id):
+        calls.append(batch_id)
+        if len(calls) < 3:
+            raise OSError("not yet")
+        return sinks.file_sink(f"{root}/flaky", lambda df: df)(batch, batch_id)
+
+    def down(batch, batch_id):
+        raise OSError("never")
+
+    outputs = {"steady": steady, "flaky": sinks.with_retries(flaky), "down": sinks.with_retries(down)}
+    sinks.fan_out(table(spark, folder, "events").select("event_id", "event_type"), 0, outputs, f"{root}/stats")
+    return spark.read.schema(sinks.STATS).parquet(f"{root}/stats").select("sink", "written", "errors", "retries", "queued")
+
+
 # ---- batch forms of stream operators ---------------------------------------------------------
 
 
@@ -378,6 +401,30 @@ def stream_late(spark, folder):
     return found[0].unionByName(found[1]).unionByName(late)
 
 
+@query(
+    "SELECT slice, count(*) FILTER (WHERE role <> 'system') AS written FROM (SELECT *, conv_id % 3 AS slice FROM conversations) GROUP BY slice HAVING count(*) FILTER (WHERE role <> 'system') > 0"
+)
+def stream_micro_batches(spark, folder):
+    """Three arrivals of envelope files, a micro-batch each: every batch is delivered and counted for itself."""
+    from quaylight.streaming import ingest
+
+    root = _root(spark, "batches")
+    c = table(spark, folder, "conversations")
+    message = F.struct(F.when(F.col("role") != "system", F.col("role")).alias("type"), (F.col("conv_id") % 3).cast("string").alias("source"), F.col("text").alias("message"))
+    for k in range(3):
+        part = c.where(F.col("conv_id") % 3 == k).select(F.to_json(F.struct(F.array(message).alias("messages"))).alias("value"))
+        part.write.mode("append").text(f"{root}/in")
+        events = ingest.event_stream(spark, f"{root}/in", max_files=100_000)
+        sink = {"store": ingest.store_sink(f"{root}/store", sh.AS_OF)}
+        ingest.run_ingest(events, [], sink, f"{root}/log", f"{root}/stats", quarantine=f"{root}/refused").awaitTermination()
+    from quaylight.operators import commits
+
+    rows = commits.read(spark, f"{root}/store", "batch STRING, source STRING, event_date DATE")
+    batches = rows.groupBy(F.split_part("batch", F.lit("-"), F.lit(1)).cast("bigint").alias("batch_id")).agg(F.min("source").cast("bigint").alias("slice"), F.max("source").cast("bigint").alias("last"), F.count(F.lit(1)).alias("n"))
+    stats = spark.read.schema(sinks.STATS).parquet(f"{root}/stats")
+    return batches.where("slice = last").join(stats, "batch_id").where("n = written").select("slice", "written")
+
+
 @query(
     "SELECT 'store' AS output, role AS kind, count(*) AS n, count(DISTINCT conv_id) AS sources FROM conversations WHERE role <> 'system' GROUP BY ALL "
     "UNION ALL SELECT 'quarantine', 'no type', count(*), count(DISTINCT conv_id) FROM conversations WHERE role = 'system'"

@@ -459,6 +459,40 @@ def full_event_flow(spark, folder):
     )
 
 
+@query(
+    EV + "SELECT event_id, coalesce(CASE WHEN type <> 'view' THEN upper(message) END, message) AS message, coalesce(TRY_CAST(severity AS BIGINT), user_id) AS level FROM ev"
+)
+def fail_safe_steps(spark, folder):
+    """Steps that give nothing for some events leave those as they were."""
+    e = sh.events(spark, folder).withColumn("level", F.col("user_id"))
+    steps = [
+        lambda df: flow.fail_safe(df, "message", F.when(F.col("type") != "view", F.upper("message"))),
+        lambda df: flow.fail_safe(df, "level", F.col("severity").try_cast("bigint")),
+    ]
+    return flow.run_steps(e, steps).select("event_id", "message", "level")
+
+
+@query(
+    EV + "SELECT 'passed' AS output, count(*) AS n, count(DISTINCT event_id) AS events, "
+    "'redaction:redacted pii_check:passed add_tags:enriched severity_map:mapped service_from_path:enriched geo_hint:enriched site_env_tags:enriched timestamp_normalizer:normalized' AS audit FROM ev WHERE user_id % 3 > 0 "
+    "UNION ALL SELECT 'quarantine', count(*), count(DISTINCT event_id), 'redaction:redacted' FROM ev WHERE user_id % 3 = 0"
+)
+def audited_flow(spark, folder):
+    """The configured flow with audit entries; events with personal data go to quarantine from the same detection."""
+    e = sh.events(spark, folder).select("event_id", "type", "message", "hostname", "source_ip", "path", F.when(F.col("user_id") % 3 == 0, F.lit("mail a.b@example.com")).alias("note"))
+    root = _fresh(spark, "held")
+    config = {"redaction": {"drop_fields": ["path"]}, "pii_check": {"strict_mode": True}, "enrichment": {"add_tags": {"v": "1"}}}
+    steps = flow.build_steps(config, "2024-01-30T12:00:00Z", quarantine=lambda bad: bad.select("event_id", "audit").write.parquet(root), audit=True)
+    done = flow.run_steps(e.drop("source_ip"), steps)
+    held = spark.read.schema("event_id BIGINT, audit ARRAY<STRUCT<step: STRING, action: STRING>>").parquet(root)
+
+    def summary(df, name):
+        entries = F.array_join(F.transform("audit", lambda a: F.concat_ws(":", a["step"], a["action"])), " ")
+        return df.groupBy(entries.alias("audit")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("events")).select(F.lit(name).alias("output"), "n", "events", "audit")
+
+    return summary(done, "passed").unionByName(summary(held, "quarantine"))
+
+
 @query(
     "SELECT count(*) FILTER (WHERE json_valid(m)) AS processed, count(*) FILTER (WHERE NOT json_valid(m)) AS errors, "
     "count(*) AS total, round(count(*) FILTER (WHERE json_valid(m)) / count(*), 9) AS success_rate "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaylight import fixed
@@ -222,6 +225,38 @@ def weather_csv_rows(spark, folder):
     )
 
 
+def _fresh(spark, name):
+    import uuid
+
+    from quaylight.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "SELECT d AS delimiter, event_type AS city, count(*) AS n, CAST(sum(user_id) AS DOUBLE) AS latitudes FROM events, (VALUES ('comma', 0), ('semicolon', 1), ('tab', 2), ('bar', 3)) AS t(d, k) "
+    "WHERE events.user_id % 4 = k GROUP BY ALL"
+)
+def csv_delimiter(spark, folder):
+    """Weather files written with four delimiters; each is found from its header line."""
+    rows = table(spark, folder, "events").selectExpr("user_id", "date_format(ts, 'yyyy-MM-dd') AS time", "user_id AS lat", "event_type AS city", "value AS temp")
+    root, out = _fresh(spark, "csv"), []
+    for k, (name, mark) in enumerate({"comma": ",", "semicolon": ";", "tab": "\t", "bar": "|"}.items()):
+        rows.where(F.col("user_id") % 4 == k).drop("user_id").write.option("header", True).option("sep", mark).csv(f"{root}/{name}")
+        events = imports.weather_events(imports.read_weather_csv(spark, f"{root}/{name}"), sh.as_of())
+        out.append(events.groupBy(F.lit(name).alias("delimiter"), F.col("location.city").alias("city")).agg(F.count(F.lit(1)).alias("n"), F.sum("location.latitude").alias("latitudes")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT least(250, count(*)) AS events, least(250, count(*)) AS hosts FROM events")
+def import_row_limit(spark, folder):
+    """At most so many lines of a file are imported."""
+    path = _fresh(spark, "lines")
+    table(spark, folder, "events").selectExpr("concat('h', event_id) AS host", "event_type AS message").write.json(path)
+    read = imports.read_jsonl(spark, path, "host STRING, message STRING", max_lines=250)
+    return read.agg(F.count("message").alias("events"), F.countDistinct("host").alias("hosts"))
+
+
 @query(
     with_parts(DELIVERIES_SQL) + "SELECT count(*) FILTER (WHERE json_valid(message_data)) AS imported, "
     "count(*) FILTER (WHERE NOT json_valid(message_data)) AS errors FROM dl"
