@@ -3,9 +3,11 @@
 Each text gives a few measures (capitals, symbols, repetition, ...) to a logistic model fitted on a bounded
 sample of labelled rows (``SAMPLE``). Per path and host the labelled outcomes and, at a lower weight, the
 classifier's probabilities of all other texts are summed; a path's rate is shrunk towards its host's and a
-host's towards the global one. The site then shifts the document's log-odds by how far its rate lies from
-the global rate: a sparse site hardly does. The prior's strength is the constant ``STRENGTH`` at both levels; it is
-not estimated from the spread of the groups.
+host's towards the global one. How strongly is estimated at each level from the spread of its groups, by the
+moments of a beta-binomial; the estimate is itself shrunk towards ``STRENGTH``, with the weight of ``PRIOR``
+observations, so that a few sites cannot decide it. A labelled document's own label is no part of its site's rate.
+The site then shifts the document's log-odds by how far its rate lies from the global rate: a sparse site hardly
+does.
 
 Host and path are columns of the caller's choice. ``documents`` has no url, so the query and the pipeline pass
 ``source`` as host and ``lang`` as path: their path level is a language within a source.
@@ -26,7 +28,8 @@ from quaylight.llm.words import INSIDE, PLAIN, text_parts, text_slices, word_has
 
 SAMPLE = 8000
 SOFT = 0.2
-STRENGTH = 20.0
+STRENGTH, PRIOR = 20.0, 100.0
+WEAKEST, STRONGEST = 1.0, 1000.0
 CUT = 0.5
 
 _CLASSES = np.zeros(256, np.int8)  # 1 capital, 2 small letter (and all beyond ASCII), 3 digit, 4 symbol
@@ -133,24 +136,45 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def judged(scores: DataFrame, labels: DataFrame, cut: float = CUT, soft: float = SOFT, strength: float = STRENGTH) -> DataFrame:
+def strength(groups: DataFrame) -> float:
+    """The prior strength of a level from its groups' sums ``n`` and ``k`` and their parents' rates ``m``.
+
+    Without groups, or with groups that differ no more than chance, the prior is as strong as ``STRONGEST``
+    allows once ``PRIOR`` is outweighed; it always counts at least as ``WEAKEST`` observations.
+    """
+    spread = F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("m"), 2) / (F.col("m") * (1 - F.col("m")))
+    found = groups.where("m > 0 and m < 1 and n > 0")
+    row = found.agg(F.sum(spread).alias("s"), F.count(F.lit(1)).alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q")).first()
+    excess = row.s - (row.g - 1) if row.g else 0.0
+    free = max(0.0, row.n - row.q / row.n - (row.g - 1)) if row.g else 0.0
+    rho = (excess + PRIOR / (1 + STRENGTH)) / (free + PRIOR)
+    return min(STRONGEST, max(WEAKEST, (1 - rho) / rho)) if rho > 0 else STRONGEST
+
+
+def judged(scores: DataFrame, labels: DataFrame, cut: float = CUT, soft: float = SOFT) -> DataFrame:
     """(doc_id, host, path, classifier, site, score, kept) from stored evidence.
 
-    Sums are taken per (host, path) before they are shuffled; hosts are summed from paths. A null host or
-    path is an empty one.
+    Sums are taken per (host, path) before they are shuffled; hosts are summed from paths. ``site`` is the rate of
+    the row's path without the row's own label. A null host or path is an empty one; the columns of ``scores``
+    are fixed, so none can clash.
     """
     known = scores.join(_known(labels).withColumnRenamed("__id", "doc_id"), "doc_id", "left")
     p = 1 / (1 + F.exp(-F.col("logit")))
     weight = F.when(F.col("__label").isNotNull(), 1.0).otherwise(soft)
     paths = known.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(weight * F.coalesce(F.col("__label").cast("double"), p)).alias("k"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("k").alias("hk"))
-    whole = hosts.agg(F.sum("hn").alias("n"), F.sum("hk").alias("k")).first()
+    paths = stored(paths, "quality-paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    whole = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     base = min(0.99, max(0.01, whole.k / whole.n)) if whole.n else 0.5
-    at_host = (F.col("hk") + strength * base) / (F.col("hn") + strength)
-    hosts = hosts.select("host", at_host.alias("m"))
-    at_path = (F.col("k") + F.lit(strength) * F.col("m")) / (F.col("n") + strength)
-    sites = paths.join(hosts, "host").select("host", "path", at_path.alias("site"))
-    joined = scores.join(sites, ["host", "path"], "left")
+    of_host = strength(hosts.withColumn("m", F.lit(base)))
+    hosts = hosts.select("host", F.col("n").alias("hn"), F.col("k").alias("hk"))
+    sites = paths.join(hosts, "host").withColumn("m", (F.col("hk") + of_host * base) / (F.col("hn") + of_host))
+    of_path = strength(sites)
+    joined = known.join(sites.drop("m"), ["host", "path"], "left")
+    own, hit = F.when(F.col("__label").isNotNull(), 1.0).otherwise(0.0), F.coalesce(F.col("__label").cast("double"), F.lit(0.0))
+    at_host = (F.col("hk") - hit + of_host * base) / (F.col("hn") - own + of_host)
+    site = (F.col("k") - hit + F.lit(of_path) * at_host) / (F.col("n") - own + of_path)
+    joined = joined.withColumn("site", F.least(F.greatest(site, F.lit(0.0)), F.lit(1.0)))
     logit = F.col("logit") + _logit(F.least(F.greatest("site", F.lit(0.001)), F.lit(0.999))) - float(np.log(base / (1 - base)))
     score = 1 / (1 + F.exp(-logit))
     return joined.select("doc_id", "host", "path", p.alias("classifier"), "site", score.alias("score"), (score >= cut).alias("kept"))

@@ -263,3 +263,46 @@ def test_sample_of_many_groups_and_a_hot_key(spark):
     assert sum(1 for g in counts if g and g[0] == "l") == 5000
     assert 60 < counts["hot"] < 150 and 60 < counts[None] < 150 and counts.get("same", 0) <= 1
     assert shared.sampled(frame.limit(0), "doc_id", "lang", 10).count() == 0
+
+
+def plain_strength(groups):
+    groups = [(n, k, m) for n, k, m in groups if 0 < m < 1 and n > 0]
+    total = sum(n for n, *_ in groups)
+    excess = sum(n * (k / n - m) ** 2 / (m * (1 - m)) for n, k, m in groups) - (len(groups) - 1) if groups else 0.0
+    free = max(0.0, total - sum(n * n for n, *_ in groups) / total - (len(groups) - 1)) if groups else 0.0
+    rho = (excess + quality.PRIOR / (1 + quality.STRENGTH)) / (free + quality.PRIOR)
+    return min(quality.STRONGEST, max(quality.WEAKEST, (1 - rho) / rho)) if rho > 0 else quality.STRONGEST
+
+
+def test_site_posteriors_match_plain_python(spark):
+    """Sums, strengths, rates without the own label and decisions, over hosts and paths of all sizes."""
+    rng = random.Random(6)
+    rows, label = [], {}
+    for h in range(12):
+        rate = rng.random()
+        for _ in range(rng.choice([1, 2, 30, 200])):
+            d = len(rows)
+            rows.append((d, f"h{h}", rng.choice("ab"), rng.gauss(1 if rng.random() < rate else -1, 1)))
+            if rng.random() < 0.4:
+                label[d] = int(rng.random() < rate)
+    found = {r.doc_id: r for r in quality.judged(spark.createDataFrame(rows, "doc_id bigint, host string, path string, logit double"), spark.createDataFrame(list(label.items()), "doc_id bigint, quality int")).collect()}
+    sums = {}
+    for d, h, q, logit in rows:
+        w, v = (1.0, label[d]) if d in label else (quality.SOFT, 1 / (1 + math.exp(-logit)))
+        for key in ((h,), (h, q)):
+            n, k = sums.get(key, (0, 0))
+            sums[key] = (n + w, k + w * v)
+    hosts = [v for key, v in sums.items() if len(key) == 1]
+    base = sum(k for _, k in hosts) / sum(n for n, _ in hosts)
+    s = plain_strength([(n, k, base) for n, k in hosts])
+    mean = {h: (k + s * base) / (n + s) for (h, *q), (n, k) in sums.items() if not q}
+    t = plain_strength([(n, k, mean[key[0]]) for key, (n, k) in sums.items() if len(key) == 2])
+    assert quality.WEAKEST < s < quality.STRONGEST
+    for d, h, q, logit in rows:
+        own, hit = (1, label[d]) if d in label else (0, 0)
+        (hn, hk), (n, k) = sums[h,], sums[h, q]
+        site = (k - hit + t * (hk - hit + s * base) / (hn - own + s)) / (n - own + t)
+        assert found[d].site == pytest.approx(site, rel=1e-9, abs=1e-12)
+        site = min(max(site, 0.001), 0.999)
+        score = 1 / (1 + math.exp(-(logit + math.log(site / (1 - site)) - math.log(base / (1 - base)))))
+        assert found[d].score == pytest.approx(score, rel=1e-9) and found[d].kept == (found[d].score >= quality.CUT)
