@@ -126,6 +126,51 @@ def mask_json_sql(
     return f"get(transform(array({text}), j -> {body}), 0)"
 
 
+#: What a walk over JSON text must see: strings, brackets and commas; numbers and words between them change nothing.
+JSON_TOKEN = JSON_STRING + r"|[{}\[\],]"
+FINDINGS = "array<struct<path:string,type:string,text:string>>"
+
+
+def hits_sql(text: str, path: str, patterns: Sequence[tuple[str, str]], unicode: bool = True) -> str:
+    """SQL array of ``struct(path, type, text)``, one per (type, pattern) that occurs in ``text``."""
+    cases = ", ".join(
+        f"CASE WHEN {found_sql(text, pattern, unicode)} THEN named_struct('path', {path}, 'type', {literal(kind)}, 'text', {text}) END"
+        for kind, pattern in patterns
+    )
+    return f"array_compact(array({cases}))"
+
+
+def json_hits_sql(text: str, name: str, patterns: Sequence[tuple[str, str]], unicode: bool = True) -> str:
+    """``hits_sql`` of every string value inside JSON text, with its path below ``name``: ``name.user.mail[0]``.
+
+    The tokens are folded with a stack of what is open: an object counts -1, a list the place it is at. Only
+    findings are kept. Text that is not JSON is one string of its own.
+    """
+    top = "element_at(s.stack, -1)"
+    below = "slice(s.stack, 1, size(s.stack) - 1)"
+    own = f"CASE WHEN size(s.stack) = 0 THEN {literal(name)} WHEN {top}.at < 0 THEN concat({top}.base, '.', s.key) ELSE concat({top}.base, '[', {top}.at, ']') END"
+    decoded = "get(from_json(concat('[', {0}, ']'), 'array<string>'), 0)"
+    value = f"get(transform(array(named_struct('d', {decoded.format('t')}, 'p', {own})), x -> {hits_sql('x.d', 'x.p', patterns, unicode)}), 0)"
+
+    def state(stack: str = "s.stack", key: str = "s.key", out: str = "s.out") -> str:
+        return f"named_struct('stack', {stack}, 'key', {key}, 'out', {out})"
+
+    opened = "concat(s.stack, array(named_struct('base', {0}, 'at', {1})))"
+    key = decoded.format("regexp_replace(t, '\\\\s*:$', '')")
+    step = (
+        f"CASE WHEN endswith(t, ':') THEN {state(key=key)} "
+        f"WHEN startswith(t, '\"') THEN {state(out=f'concat(s.out, {value})')} "
+        f"WHEN t = '{{' THEN {state(stack=opened.format(own, -1))} WHEN t = '[' THEN {state(stack=opened.format(own, 0))} "
+        f"WHEN t = ',' THEN CASE WHEN {top}.at < 0 THEN s ELSE {state(stack=f'concat({below}, array(named_struct({chr(39)}base{chr(39)}, {top}.base, {chr(39)}at{chr(39)}, {top}.at + 1)))')} END "
+        f"ELSE {state(stack=below)} END"
+    )
+    start = f"named_struct('stack', cast(array() AS array<struct<base:string,at:int>>), 'key', cast(NULL AS string), 'out', cast(array() AS {FINDINGS}))"
+    walked = f"aggregate(regexp_extract_all(j, {literal(JSON_TOKEN)}, 0), {start}, (s, t) -> {step}, s -> s.out)"
+    plain = hits_sql("j", literal(name), patterns, unicode)
+    body = f"CASE WHEN j IS NULL THEN cast(array() AS {FINDINGS}) WHEN try_parse_json(j) IS NULL THEN {plain} ELSE {walked} END"
+    return f"get(transform(array({text}), j -> {body}), 0)"
+
+
 def let(c: Column, body: Callable[[Column], Column]) -> Column:
     """``body(c)`` with ``c`` evaluated once, however often the body uses it.
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaylight import fixed
-from quaylight.functions.text import found_sql, hash_text, literal, mask_json_sql, mask_sql, printed
+from quaylight.functions.text import FINDINGS, hash_text, hits_sql, json_hits_sql, literal, mask_json_sql, mask_sql, printed
 from quaylight.schema import col, holds_text, leaves_sql, quoted, rewrite_sql
 
 #: Columns of JSON text of undeclared shape.
@@ -97,39 +95,6 @@ def redact(df: DataFrame, config: Mapping) -> DataFrame:
     return df
 
 
-def json_leaves(name: str):
-    """The (path, text) of every string value in JSON text, ``name`` first in each path.
-
-    The shape is unknown to the plan, so a vectorised Python function walks it; text that is not JSON is one
-    string of its own.
-    """
-
-    def walk(value, path: str, out: list[dict]) -> list[dict]:
-        if isinstance(value, dict):
-            for k, v in value.items():
-                walk(v, f"{path}.{k}", out)
-        elif isinstance(value, list):
-            for i, v in enumerate(value):
-                walk(v, f"{path}[{i}]", out)
-        elif isinstance(value, str):
-            out.append({"path": path, "text": value})
-        return out
-
-    def one(text: str | None) -> list[dict]:
-        if text is None:
-            return []
-        try:
-            return walk(json.loads(text), name, [])
-        except ValueError:
-            return [{"path": name, "text": text}]
-
-    @F.pandas_udf("array<struct<path:string,text:string>>")
-    def leaves(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return leaves
-
-
 def detect_pii(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -144,27 +109,19 @@ def detect_pii(
     """
     wanted = set(columns if columns is not None else df.columns)
     walked = [f.name for f in df.schema if f.name in wanted and f.name in json_columns and isinstance(f.dataType, T.StringType)]
-    if walked:
-        own = df.columns
-        opened = df.withColumns({f"__json_{c}": json_leaves(c)(col(c)) for c in walked})
-        found = detect_pii(opened, [c for c in own if c in wanted and c not in walked] + [f"__json_{c}" for c in walked], patterns, name, unicode, ())
-        return found.select(*[col(c) for c in own if c != name], name)
     leaves = [
         f"coalesce({leaf}, cast(array() AS array<struct<path:string,text:string>>))"
         for f in df.schema
-        if f.name in wanted
-        for leaf in ([quoted(f.name)] if f.name.startswith("__json_") else leaves_sql(quoted(f.name), f.dataType, literal(f.name)))
+        if f.name in wanted and f.name not in walked
+        for leaf in leaves_sql(quoted(f.name), f.dataType, literal(f.name))
     ]
-    if not leaves:
-        none = F.array().cast("array<struct<path:string,type:string,text:string>>")
-        return df.withColumn(name, none)
-    hits = ", ".join(
-        f"CASE WHEN {found_sql('x.text', pattern, unicode)} "
-        f"THEN named_struct('path', x.path, 'type', {literal(kind)}, 'text', x.text) END"
-        for kind, pattern in patterns
-    )
-    found = f"flatten(transform(concat({', '.join(leaves)}), x -> array_compact(array({hits}))))"
-    return df.withColumn(name, F.expr(found))
+    found = [json_hits_sql(quoted(c), c, patterns, unicode) for c in walked]
+    if leaves:
+        hits = hits_sql("x.text", "x.path", patterns, unicode)
+        found.insert(0, f"flatten(transform(concat({', '.join(leaves)}), x -> {hits}))")
+    if not found:
+        return df.withColumn(name, F.array().cast(FINDINGS))
+    return df.withColumn(name, F.expr(found[0] if len(found) == 1 else f"concat({', '.join(found)})"))
 
 
 def pii_flag(df: DataFrame, name: str = "pii_findings", flag: str = "quarantined") -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 import hashlib
 import re
 
@@ -187,3 +188,41 @@ def test_geo_tables_are_not_shuffled_for(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
     assert {r.client_ip[-1]: r.geo_hint["dc"] for r in out.collect()} == {**{str(i): "y" for i in range(10)}, "1": "x"}
+
+
+def walk(value, path, out):
+    if isinstance(value, dict):
+        for k, v in value.items():
+            walk(v, f"{path}.{k}", out)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            walk(v, f"{path}[{i}]", out)
+    elif isinstance(value, str) and "@" in value:
+        out.append((path, value))
+    return out
+
+
+def test_findings_inside_json_of_any_shape(spark):
+    """Nested lists and objects, escapes, brackets and commas inside strings, empty ones, text that is not JSON."""
+    rng = random.Random(9)
+    texts = ["a@b", "{x@y}", "[1,2]@", 'q"@"', "\\@", "plain", "", "é@ü", ":@:", "\n@\t", "},{"]
+
+    def make(depth):
+        kind = rng.randrange(6 if depth else 3)
+        if kind < 3:
+            return rng.choice([rng.choice(texts), rng.randrange(9), None, True, -1.5e3])
+        if kind == 3:
+            return [make(depth - 1) for _ in range(rng.randrange(4))]
+        return {rng.choice(["k", "a b", "k.l", 'q"', "[", "é:"]) + str(i): make(depth - 1) for i in range(rng.randrange(4))}
+
+    docs = [json.dumps(make(4), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) for _ in range(300)]
+    docs += ["not json a@b", "{broken a@b", None, "", '"a@b"', "[]", "{}", "[[[]],{}]"]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, data string")
+    out = redact.detect_pii(df, ["data"], patterns=[("mail", "@")])
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        try:
+            want = walk(json.loads(r.data), "data", []) if r.data is not None else []
+        except ValueError:
+            want = [("data", r.data)] if "@" in r.data else []
+        assert [(f.path, f.text) for f in r.pii_findings] == want
