@@ -29,7 +29,7 @@ from quaylight.llm.shared import discard, settle, shuffle_partitions, stored
 from quaylight.llm.words import mixed, text_slices
 
 #: Words of a shard, the longest phrase, its least count, and the rows of a language in the result.
-SHARD, DEPTH, LEAST, ROWS = 6 << 20, 5, 100, 2000
+SHARD, DEPTH, LEAST, ROWS = 3 << 20, 5, 100, 2000
 NO_LANGUAGE = "und"
 
 #: Bytes that end a piece become line ends, tabs become spaces.
@@ -302,18 +302,40 @@ def _candidates(length: int, least: int, bucket: pa.Table) -> pa.Table:
     return out.filter(pc.greater(pc.binary_length(out.column("hashes")), 0))
 
 
-def _phrases(depth: int, shard: pa.Table, kept: pa.Table) -> pa.Table:
-    """Phrases of two words and more, all of whose pairs and threes are candidates, with counts."""
-    none = pa.table([pa.array([], pa.string()), pa.array([], pa.string()), pa.array([], pa.int64())], names=["lang", "phrase", "n"])
-    found = Shard.read(shard, kept)
-    if not found:
-        return none
-    places = found.rows.column("id").chunk(0)
-    words, langs = (_placed(places, found.rows.column(c).chunk(0), len(found.h)) for c in ("word", "lang"))
-    out = [none]
-    for phrase, counts in PhraseIndex(found.ids, depth).phrases(2, depth, found.possible):
-        out.append(pa.table([langs.take(pa.array(phrase[:, 0])), _joined(words, phrase), pa.array(counts, pa.int64())], names=none.schema.names))
-    return pa.concat_tables(out)
+_SUMMED = "bucket bigint, langs array<string>, phrases array<string>, counts array<bigint>"
+
+
+def _phrases(depth: int, buckets: int, shard: pa.Table, kept: pa.Table) -> pa.Table:
+    """Phrases of two words and more, all of whose pairs and threes are candidates, with counts: one row per bucket."""
+    rows: dict[str, list] = {"bucket": [], "langs": [], "phrases": [], "counts": []}
+    if found := Shard.read(shard, kept):
+        places = found.rows.column("id").chunk(0)
+        words, langs = (_placed(places, found.rows.column(c).chunk(0), len(found.h)) for c in ("word", "lang"))
+        for phrase, counts in PhraseIndex(found.ids, depth).phrases(2, depth, found.possible):
+            bucket = (_hashed(found.h, phrase) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                if len(part):
+                    rows["bucket"].append(int(bucket[part[0]]))
+                    rows["langs"].append(langs.take(pa.array(phrase[part, 0])))
+                    rows["phrases"].append(_joined(words, phrase[part]))
+                    rows["counts"].append(pa.array(counts[part], pa.int64()))
+    settle()
+
+    def lists(arrays: list[pa.Array], kind: pa.DataType) -> pa.ListArray:
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([pa.array([], kind), *arrays]))
+
+    kinds = {"langs": pa.string(), "phrases": pa.string(), "counts": pa.int64()}
+    return pa.table({"bucket": pa.array(rows["bucket"], pa.int64()), **{name: lists(rows[name], kind) for name, kind in kinds.items()}})
+
+
+def _summed(least: int, bucket: pa.Table) -> pa.Table:
+    """Phrases of a bucket that occur ``least`` times or more over all shards."""
+    flat = pa.table({name: pc.list_flatten(bucket.column(name)) for name in ("langs", "phrases", "counts")})
+    total = flat.group_by(["langs", "phrases"]).aggregate([("counts", "sum")])
+    total = total.filter(pc.greater_equal(total.column("counts_sum"), least))
+    return pa.table({"lang": total.column("langs"), "phrase": total.column("phrases"), "a": total.column("counts_sum")})
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size: int = SHARD) -> tuple[DataFrame, DataFrame]:
@@ -337,8 +359,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, depth: int = DEPTH, size:
         candidates = found if candidates is None else candidates.unionByName(found)
     kept = words.drop("total").unionByName(candidates, allowMissingColumns=True)
     sides = texts.groupBy("name").cogroup(kept.groupBy("shard"))
-    found = sides.applyInArrow(lambda s, k: _phrases(depth, s, k), "lang string, phrase string, n bigint")
-    found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    found = sides.applyInArrow(lambda s, k: _phrases(depth, buckets, s, k), _SUMMED)
+    found = found.groupBy("bucket").applyInArrow(lambda b: _summed(least, b), "lang string, phrase string, a bigint")
     out = words.select("lang", F.col("word").alias("phrase"), F.col("total").alias("a")).distinct().unionByName(found)
     counts = stored(out.withColumn("words", F.size(F.split("phrase", " "))), "phrase-counts")
     for used in (made, words, candidates):
