@@ -250,13 +250,15 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     mixed_lists = postings.join(groups, "gid")
     open_lists = mixed_lists.groupBy("tok").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b").select("tok")
     still = mixed_lists.join(open_lists, "tok", "left_semi")
-    different = (F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high"))
-    pairs = still.alias("x").join(still.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.gid") < F.col("y.gid")) & different & _compatible(percent))
-    pairs = pairs.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
+    pairs = _differing(still, percent)
     left = labelled.select(F.col("gid").alias("ga"), F.col("doc_id").alias("a"), F.col("label").alias("la"))
     right = labelled.select(F.col("gid").alias("gb"), F.col("doc_id").alias("b"), F.col("label").alias("lb"))
     crossing = pairs.join(left, "ga").join(right, "gb").where("la <> lb").select("a", "b")
-    within = left.join(right.withColumnRenamed("gb", "ga"), "ga").where("la <> lb and a < b").select("a", "b")
+    # Inside a group only members of different labels meet: its labels are paired first, then their members.
+    mixed = left.join(groups.where("low < high").select(F.col("gid").alias("ga")), "ga", "left_semi")
+    owned = mixed.select("ga", "la").distinct()
+    apart = owned.join(owned.withColumnRenamed("la", "lb"), "ga").where("la < lb")
+    within = apart.join(mixed, ["ga", "la"]).join(mixed.select("ga", F.col("la").alias("lb"), F.col("a").alias("b")), ["ga", "lb"]).select("a", "b")
     second = _checked(crossing.unionByName(within), sketches, texts, shingle, percent)
     links = stored(first.unionByName(second), "links")
     for spent in (sketches, texts, held, members, postings, labelled):
@@ -275,6 +277,24 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
 
 
+def _differing(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups (ga < gb) that share a token, fit each other, and may hold sets of different labels.
+
+    Groups of one label stand in a sublist per (token, label); sublists are paired by their labels, so no two groups
+    of the same label meet. Groups of several labels meet every other group of their lists.
+    """
+    pure, mixed = lists.where("low = high"), lists.where("low < high")
+    labels = pure.select("tok", "low").distinct()
+    apart = labels.join(labels.withColumnRenamed("low", "other"), "tok").where("low < other")
+    own, fits = ["gid", "n", "pos"], _compatible(percent)
+    x = apart.join(pure.select("tok", "low", *own), ["tok", "low"]).select("tok", "other", *own)
+    y = pure.select("tok", F.col("low").alias("other"), *own)
+    between = x.alias("x").join(y.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.other") == F.col("y.other")) & fits)
+    every = mixed.alias("x").join(lists.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.gid") != F.col("y.gid")) & fits)
+    both = [d.select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb")) for d in (between, every)]
+    return both[0].unionByName(both[1]).distinct()
+
+
 def _several_sets(sets: DataFrame) -> DataFrame:
     """Each doc_id whose rows have different sets."""
     ends = [e for c in ("n", "high", "low") for e in (F.min(c).alias(f"{c}_a"), F.max(c).alias(f"{c}_b"))]
