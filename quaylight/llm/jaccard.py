@@ -13,8 +13,9 @@ prefixes. That is applied twice:
 
 Candidates pass an exact bound from shingle counts per hash bin before texts are fetched, and then the exact
 test on whole sets. Links are sought in two rounds: first each group with the first group of every list it is
-in; then, once linked sets carry one label, only pairs of different labels. A big group of copies so costs one
-link per member, not all pairs. No list is cut and no candidate dropped.
+in; then, once linked sets carry one label, only pairs of different labels, met under the sizes that their
+positions allow, so that no pair is made only to fall to a limit. A big group of copies so costs one link per
+member, not all pairs. No list is cut and no candidate dropped.
 """
 
 from __future__ import annotations
@@ -246,19 +247,17 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
 
     # Round 2: pairs of sets with different labels that the lists still allow.
     labelled = stored(members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "gid", F.coalesce("label", "doc_id").alias("label")), "labels")
-    groups = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed_lists = postings.join(groups, "gid")
-    open_lists = mixed_lists.groupBy("tok").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a < b").select("tok")
-    still = mixed_lists.join(open_lists, "tok", "left_semi")
-    pairs = _differing(still, percent)
+    owners = labelled.select("gid", "label").distinct()
+    labelled_lists = postings.join(owners, "gid")
+    open_lists = labelled_lists.groupBy("tok").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("tok")
+    pairs = _differing(labelled_lists.join(open_lists, "tok", "left_semi"), percent)
     left = labelled.select(F.col("gid").alias("ga"), F.col("doc_id").alias("a"), F.col("label").alias("la"))
     right = labelled.select(F.col("gid").alias("gb"), F.col("doc_id").alias("b"), F.col("label").alias("lb"))
-    crossing = pairs.join(left, "ga").join(right, "gb").where("la <> lb").select("a", "b")
+    crossing = pairs.join(left, ["ga", "la"]).join(right, ["gb", "lb"]).select("a", "b")
     # Inside a group only members of different labels meet: its labels are paired first, then their members.
-    mixed = left.join(groups.where("low < high").select(F.col("gid").alias("ga")), "ga", "left_semi")
-    owned = mixed.select("ga", "la").distinct()
+    owned = owners.select(F.col("gid").alias("ga"), F.col("label").alias("la"))
     apart = owned.join(owned.withColumnRenamed("la", "lb"), "ga").where("la < lb")
-    within = apart.join(mixed, ["ga", "la"]).join(mixed.select("ga", F.col("la").alias("lb"), F.col("a").alias("b")), ["ga", "lb"]).select("a", "b")
+    within = apart.join(left, ["ga", "la"]).join(right.withColumnRenamed("gb", "ga"), ["ga", "lb"]).select("a", "b")
     second = _checked(crossing.unionByName(within), sketches, texts, shingle, percent)
     links = stored(first.unionByName(second), "links")
     for spent in (sketches, texts, held, members, postings, labelled):
@@ -278,21 +277,32 @@ def jaccard_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHING
 
 
 def _differing(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of groups (ga < gb) that share a token, fit each other, and may hold sets of different labels.
+    """Pairs (ga, la, gb, lb) of groups of different labels that share a token and fit each other by ``_compatible``.
 
-    Groups of one label stand in a sublist per (token, label); sublists are paired by their labels, so no two groups
-    of the same label meet. Groups of several labels meet every other group of their lists.
+    ``lists`` has a posting per label of each group. A posting's position bounds the sizes it can meet (``most``), and
+    two postings fit if each one's size is within the other's bound. So under a pair of sizes every posting that can
+    meet one side's size fits all that can meet the other's: they stand in sublists per label, sublists of different
+    labels are paired, and only pairs that fit and differ are ever made.
     """
-    pure, mixed = lists.where("low = high"), lists.where("low < high")
-    labels = pure.select("tok", "low").distinct()
-    apart = labels.join(labels.withColumnRenamed("low", "other"), "tok").where("low < other")
-    own, fits = ["gid", "n", "pos"], _compatible(percent)
-    x = apart.join(pure.select("tok", "low", *own), ["tok", "low"]).select("tok", "other", *own)
-    y = pure.select("tok", F.col("low").alias("other"), *own)
-    between = x.alias("x").join(y.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.other") == F.col("y.other")) & fits)
-    every = mixed.alias("x").join(lists.alias("y"), (F.col("x.tok") == F.col("y.tok")) & (F.col("x.gid") != F.col("y.gid")) & fits)
-    both = [d.select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb")) for d in (between, every)]
-    return both[0].unionByName(both[1]).distinct()
+    most = f"(n - pos + 1) * {100 + percent} div {percent} - n"
+    lists = lists.select("tok", "gid", "n", "label", F.expr(most).alias("most"))
+    sizes = lists.groupBy("tok", "n").agg(F.max("most").alias("most"))
+    met = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+    met = met & (F.col("x.most") >= F.col("y.n")) & (F.col("y.most") >= F.col("x.n"))
+    pairs = sizes.alias("x").join(sizes.alias("y"), met).select("x.tok", F.col("x.n").alias("small"), F.col("y.n").alias("big"))
+
+    under = ["tok", "small", "big"]
+    x = lists.withColumnRenamed("n", "small").join(pairs, ["tok", "small"]).where("most >= big").select(*under, F.col("gid").alias("ga"), F.col("label").alias("la"))
+    y = lists.withColumnRenamed("n", "big").join(pairs, ["tok", "big"]).where("most >= small").select(*under, F.col("gid").alias("gb"), F.col("label").alias("lb"))
+    # Of equal sizes both sides are the same list: a pair of labels is taken once.
+    apart = (F.col("small") < F.col("big")) & (F.col("la") != F.col("lb")) | (F.col("la") < F.col("lb"))
+    labels = x.select(*under, "la").distinct().join(y.select(*under, "lb").distinct(), under).where(apart)
+    found = labels.join(x, [*under, "la"]).join(y, [*under, "lb"]).where("ga <> gb")
+    low = F.col("ga") < F.col("gb")
+    return found.select(
+        F.least("ga", "gb").alias("ga"), F.when(low, F.col("la")).otherwise(F.col("lb")).alias("la"),
+        F.greatest("ga", "gb").alias("gb"), F.when(low, F.col("lb")).otherwise(F.col("la")).alias("lb"),
+    ).distinct()
 
 
 def _several_sets(sets: DataFrame) -> DataFrame:

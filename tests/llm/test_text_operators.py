@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +161,45 @@ def test_jaccard_links_what_any_text_of_a_doc_id_links_with(spark):
     assert {d: {c for (e, _), c in found.items() if e == d} for d, _ in rows} == {5: {3}, 9: {3}, 12: {3}, 20: {3}, 3: {3}, 30: {30}, 31: {30}, 40: {40}, None: {None}}
 
 
+def rows_of_joins(node):
+    """The most rows that one join of an executed plan made."""
+    name, most = node.nodeName(), 0
+    if name == "AdaptiveSparkPlan":
+        return rows_of_joins(node.executedPlan())
+    if hasattr(node, "plan") and "QueryStage" in name:
+        return rows_of_joins(node.plan())
+    if "Join" in name:
+        most = node.metrics().apply("numOutputRows").value()
+    children = node.children()
+    return max([most, *(rows_of_joins(children.apply(i)) for i in range(children.size()))])
+
+
+def test_jaccard_pairs_of_labels_that_no_limit_allows_are_not_made(spark):
+    """One shingle in 400 sets of as many labels, too late in each for any pair but those of four sets."""
+    rows = [(7, i, 100, 1 if i < 4 else 12, i, i, i) for i in range(400)]
+    found = jaccard._differing(spark.createDataFrame(rows, "tok bigint, gid bigint, n bigint, pos bigint, low bigint, high bigint, label bigint"), 90)
+    assert {(r.ga, r.gb) for r in found.collect()} == {(a, b) for a in range(4) for b in range(a + 1, 4)}
+    assert rows_of_joins(found._jdf.queryExecution().executedPlan()) <= 400
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_jaccard_pairs_are_all_that_fit(spark, percent):
+    """Random lists with groups of one and of several labels, against the limits tried on each pair."""
+    rng = random.Random(percent)
+    size, owner = {g: rng.randrange(20, 28) for g in range(60)}, {g: {rng.randrange(25) for _ in range(rng.choice([1, 1, 3]))} for g in range(60)}
+    lists = {tok: {g: rng.randrange(1, size[g] - size[g] * percent // 100 + 2) for g in rng.sample(range(60), 25)} for tok in range(6)}
+    rows = [(tok, g, size[g], pos, label) for tok, held in lists.items() for g, pos in held.items() for label in owner[g]]
+    want = set()
+    for held in lists.values():
+        for a, b in combinations(sorted(held), 2):
+            n, m = size[a], size[b]
+            reach = 1 + min(n - held[a], m - held[b])
+            if min(n, m) * 100 >= max(n, m) * percent and reach * (100 + percent) >= (n + m) * percent:
+                want |= {(a, la, b, lb) for la in owner[a] for lb in owner[b] if la != lb}
+    found = [tuple(r) for r in jaccard._differing(spark.createDataFrame(rows, "tok bigint, gid bigint, n bigint, pos bigint, label bigint"), percent).collect()]
+    assert want and len(found) == len(set(found)) and set(found) == want
+
+
 ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
