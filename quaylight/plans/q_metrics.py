@@ -281,21 +281,20 @@ _SLO = (
 
 def _slo_samples(spark, folder):
     """Gauge, counter and bucket samples of every event, in one pass over the events."""
-    own = F.struct(
-        F.expr(sh.SAMPLE_COLUMNS["name"]).alias("name"),
-        F.create_map(F.lit("sink"), F.expr(sh.SAMPLE_COLUMNS["sink"]), F.lit("status"), F.expr(sh.SAMPLE_COLUMNS["status"]), F.lit("job"), F.lit("edge")).alias("labels"),
-        F.expr(sh.SAMPLE_COLUMNS["value"]).cast("double").alias("value"),
-    )
     operation = F.coalesce(*[F.when(F.col("event_type").isin(*kinds), F.lit(op)) for op, kinds in _OPERATIONS.items()])
-    below = [
-        F.struct(
-            F.concat(operation, F.lit("_seconds_bucket")).alias("name"),
-            F.create_map(F.lit("sink"), F.col("event_type"), F.lit("le"), F.lit(n)).alias("labels"),
-            F.when(F.col("value") <= b, F.col("event_id").cast("double")).otherwise(F.lit(0.0)).alias("value"),
-        )
-        for n, b in [*((repr(b), b) for b in BOUNDS), ("+Inf", float("inf"))]
-    ]
-    return table(spark, folder, "events").select("ts", F.inline(F.array(own, *below)))
+    # One short expression for all bounds: written out per bound, the code is too long to be compiled.
+    bounds = [*((repr(b), b) for b in BOUNDS), ("+Inf", float("inf"))]
+    kinds = F.array(*[F.struct(F.lit(n).cast("string").alias("le"), F.lit(b).cast("double").alias("bound")) for n, b in [(None, None), *bounds]])
+    rows = table(spark, folder, "events").select("*", F.inline(kinds))
+    own = F.col("le").isNull()
+    labels = F.create_map(F.lit("sink"), F.expr(sh.SAMPLE_COLUMNS["sink"]), F.lit("status"), F.expr(sh.SAMPLE_COLUMNS["status"]), F.lit("job"), F.lit("edge"))
+    below = F.when(F.col("value") <= F.col("bound"), F.col("event_id").cast("double")).otherwise(F.lit(0.0))
+    return rows.select(
+        "ts",
+        F.when(own, F.expr(sh.SAMPLE_COLUMNS["name"])).otherwise(F.concat(operation, F.lit("_seconds_bucket"))).alias("name"),
+        F.when(own, labels).otherwise(F.create_map(F.lit("sink"), F.col("event_type"), F.lit("le"), F.col("le"))).alias("labels"),
+        F.when(own, F.expr(sh.SAMPLE_COLUMNS["value"]).cast("double")).otherwise(below).alias("value"),
+    )
 
 
 @query(

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from quaylight.operators import alerts as al
 from quaylight.operators import metrics as m
 from quaylight.operators import series
+from quaylight.plans import q_metrics
 
 
 def samples(spark, name, points, **labels):
@@ -244,3 +246,21 @@ def test_availability_rules_keep_series_apart_and_burn_series_follow(spark):
     assert len(rows) == len(set(rows)) and {"a", "b"} == {r.i for r in rules.where("name LIKE '%availability%'").select(F.col("labels")["instance"].alias("i")).collect()}
     burns = m.burn_rules(rules).groupBy("name").agg(F.max("value").alias("v")).collect()
     assert {r.name: r.v for r in burns} == {"slo:error_budget_burn:fast:4h": 1.0, "slo:error_budget_burn:slow:30d": 1.0}
+
+
+def test_samples_of_the_rules_are_made_by_code_that_is_compiled(spark, tmp_path):
+    """The JVM interprets a method of more than 8000 bytes, which took most of the time of slo_rules."""
+    rows = [(1, "2024-01-01 00:00:10", 7, "click", 3.0), (2, "2024-01-01 00:05:00", 10, "signup", None), (3, None, None, "error", 1e9), (4, "2024-01-01 00:05:00", 1, None, 0.5)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    made = q_metrics._slo_samples(spark, str(tmp_path))
+    series = m.select_series(made, ["up", "requests_total", "ingest_seconds_bucket"], ("le", "sink", "status"))
+    code = series._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+    found = made.select("ts", "name", F.to_json("labels").alias("labels"), "value").collect()
+    assert len(found) == len(rows) * (len(q_metrics.BOUNDS) + 2)
+    own = {(r.name, r.value) for r in found if "job" in r["labels"]}
+    assert own == {("sink_written_total", 1.0), ("up", 0.0), ("sink_error_total", 3.0), ("sink_queue_bytes", 4.0)}
+    first = {r["labels"]: r.value for r in found if r.ts and r.ts.second == 10 and "le" in r["labels"]}
+    assert first == {f'{{"sink":"click","le":"{n}"}}': 1.0 if 3.0 <= float(n) else 0.0 for n in [*map(repr, q_metrics.BOUNDS), "+Inf"]}
