@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -313,36 +314,54 @@ def union_rules(rules: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
 
+#: Samples that one task orders at once, whatever the input: the number of tasks follows the samples.
+SAMPLES = 1 << 20
+
+
+def _series_keys(rows: DataFrame, by: Sequence[str]) -> tuple[DataFrame, Column, int]:
+    """The series (name, series, labels of ``by``), stored with a number each (``key``); that number of a sample; all samples."""
+    named = rows.groupBy("name", "series", *by).agg(F.count(F.lit(1)).alias("samples"))
+    for salt in count():
+        key = F.xxhash64(F.lit(salt), "name", "series")
+        found = cut_lineage(named.withColumn("key", key))
+        if found.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").isEmpty():
+            return found, key, found.agg(F.sum("samples")).first()[0] or 0
+    raise AssertionError
+
+
 def rule_cells(samples: DataFrame, steps: Mapping[str, int], by: Sequence[str] = ()) -> DataFrame:
-    """One pass over the samples for a whole set of rules, stored: all rules read the cells.
+    """A whole set of rules from one ordering of the samples, stored: all rules read the cells.
 
     ``steps`` gives each metric's step in seconds. A cell is (name, series, step) with the labels of ``by``: ``sum``
-    and ``n`` of its values, and ``increase``, its growth as a counter (see ``increase_per_step``).
+    and ``n`` of its values, and ``increase``, its growth as a counter (see ``increase_per_step``). Only numbers are
+    shuffled and ordered: a first pass gathers the series, and their texts come back to the cells.
     """
     rows = select_series(samples, list(steps), by)
     sizes = sorted(set(steps.values()))
     step = F.coalesce(
         *[F.when(F.col("name").isin(*[n for n, s in steps.items() if s == size]), step_number(F.col("ts"), size)) for size in sizes]
     )
-    rows = rows.withColumn("step", step)
     # The labels follow from the series, so the series alone tells cells apart.
-    near = Window.partitionBy("name", "series", "step").orderBy("ts")
+    series, key, total = _series_keys(rows, by)
+    tasks = max(samples.sparkSession.sparkContext.defaultParallelism, -(-total // SAMPLES))
+    rows = rows.select(step.alias("step"), key.alias("key"), "ts", "value").repartition(tasks, "step", "key")
+    near = Window.partitionBy("step", "key").orderBy("ts")
     rows = rows.withColumn("delta", _delta(F.col("value"), F.lag("value").over(near)))
-    cells = rows.groupBy("name", "series", "step").agg(
-        *[F.any_value(b).alias(b) for b in by],
+    cells = rows.groupBy("step", "key").agg(
         F.sum("value").alias("sum"),
         F.count("value").alias("n"),
         F.sum("delta").alias("inner"),
         F.min_by("value", "ts").alias("first"),
         F.max_by("value", "ts").alias("last"),
     )
-    along = Window.partitionBy("name", "series").orderBy("step")
+    along = Window.partitionBy("key").orderBy("step")
     edge = _delta(F.col("first"), F.lag("last").over(along))
-    return cut_lineage(cells.withColumn("increase", F.col("inner") + edge).drop("inner", "first", "last"))
+    cells = cells.withColumn("increase", F.col("inner") + edge).join(series, "key")
+    return cut_lineage(cells.select("name", "series", "step", *by, "sum", "n", "increase"))
 
 
 def slo_rules(samples: DataFrame, prefix: str = "slo", metric: str = "ingest", job: str | None = None) -> DataFrame:
-    """The recording rules of the service objectives, from one pass over the samples."""
+    """The recording rules of the service objectives, from one ordering of the samples."""
     names = {op: f"{op}_seconds_bucket" for op in dict.fromkeys((metric, "pipeline", "sink_write"))}
     if job:
         samples = samples.where((F.col("name") != "up") | (F.col("labels")["job"] == job))

@@ -264,3 +264,15 @@ def test_samples_of_the_rules_are_made_by_code_that_is_compiled(spark, tmp_path)
     assert own == {("sink_written_total", 1.0), ("up", 0.0), ("sink_error_total", 3.0), ("sink_queue_bytes", 4.0)}
     first = {r["labels"]: r.value for r in found if r.ts and r.ts.second == 10 and "le" in r["labels"]}
     assert first == {f'{{"sink":"click","le":"{n}"}}': 1.0 if 3.0 <= float(n) else 0.0 for n in [*map(repr, q_metrics.BOUNDS), "+Inf"]}
+
+
+def test_samples_of_a_task_are_bounded(spark, monkeypatch):
+    """More samples make more tasks, and the cells stay the same: two series, a reset, a range without samples."""
+    grown = samples(spark, "requests_total", [(t, (t * 7) % 90) for t in range(0, 4000, 9)], status="500").unionByName(samples(spark, "requests_total", [(t, t) for t in range(5000, 6000, 50)], status="200"))
+    want = sorted(m.rule_cells(grown, {"requests_total": 300}, ("status",)).collect())
+    tasks, dealt = [], type(grown).repartition
+    monkeypatch.setattr(m, "SAMPLES", 10)
+    monkeypatch.setattr(type(grown), "repartition", lambda df, n, *by: (tasks.append(n), dealt(df, n, *by))[1])
+    assert sorted(m.rule_cells(grown, {"requests_total": 300}, ("status",)).collect()) == want and len(want) > 10
+    assert tasks == [-(-grown.count() // 10)]
+    assert {r.status: r.n for r in m.rule_cells(grown, {"requests_total": 300}, ("status",)).groupBy("status").agg(F.sum("n").alias("n")).collect()} == {"500": 445, "200": 20}
